@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, near_dedup, quality, span_dedup, toxicity, url_filter
+from . import bpe, decontaminate, line_dedup, near_dedup, pii, quality, secrets, span_dedup, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,18 @@ def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for secrets in documents with the forest's verdict; a digest stands for the token."""
+    model = secrets.train(secrets.labelled_findings(spark))
+    found = secrets.findings(table(spark, sf_dir, "documents"), model)
+    return found.select("doc_id", "start", "length", F.sha2("token", 256).alias("token_sha256"), "score", "is_secret")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data."""
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key="motionloom")
+
+
 def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, deleted lines and the digest of what stays, for every document."""
     clean = line_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -81,6 +93,8 @@ QUERIES: dict[str, Query] = {
     "op4_spans": op4_spans,
     "op5_quality": op5_quality,
     "op6_setsketch": op6_setsketch,
+    "op7_secrets": op7_secrets,
+    "op8_pii": op8_pii,
     "op9_line_runs": op9_line_runs,
     "op10_urls": op10_urls,
 }
