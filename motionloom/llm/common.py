@@ -56,3 +56,12 @@ def words(text: Column) -> Column:
 def text_key(text: Column) -> Column:
     """Tells rows apart that repeat a doc_id with another text."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+#: Narrow rows (a few numbers each, so some tens of MB) up to which a written table is broadcast.
+MAX_BROADCAST = 1_000_000
+
+
+def bounded(small: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """A written narrow table with a broadcast hint if it is small; beyond, a join shuffles."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small

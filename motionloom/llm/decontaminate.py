@@ -14,12 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, written
+from .common import bounded, text_key, written
 
 SHINGLE = 5
 CONTAINMENT_PERCENT = 80
-#: Signature or candidate rows up to this many are broadcast (some 40 bytes each); beyond, a shuffled join follows.
-MAX_BROADCAST = 1_000_000
 
 
 def plain_words(text: Column) -> Column:
@@ -39,10 +37,6 @@ def _texts(size: Column) -> Column:
     return F.when(F.size("w") >= size, F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), at))
 
 
-def _bounded(small: DataFrame) -> DataFrame:
-    return F.broadcast(small) if small.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else small
-
-
 def signatures(items: DataFrame, percent: int = CONTAINMENT_PERCENT) -> DataFrame:
     """(item_id, size, n_item, h): each item's k least hashes; size is its shingle's number of words."""
     sized = items.withColumn("size", F.least(F.lit(SHINGLE), F.size("w")))
@@ -78,17 +72,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = CONTAINME
     hashes = rows[0] if rows else cut.select("doc_id", "tk", F.lit(0).cast("long").alias("h")).filter("false")
     for more in rows[1:]:
         hashes = hashes.union(more)
-    hits = hashes.join(_bounded(sought.select("h", "item_id", "size", "n_item")), "h")
+    hits = hashes.join(bounded(sought.select("h", "item_id", "size", "n_item")), "h")
     candidates = written(hits.groupBy("doc_id", "tk", "item_id", "size", "n_item").agg(F.count("*").alias("hits")).drop("hits"), "candidates")
 
-    of_doc = candidates.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "size").distinct()
+    of_doc = written(candidates.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "size").distinct(), "candidates")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk"))
-    again = keyed.join(_bounded(of_doc), same).select("doc_id", "tk", "size", plain_words(F.col("text")).alias("w"))
+    again = keyed.join(bounded(of_doc), same).select("doc_id", "tk", "size", plain_words(F.col("text")).alias("w"))
     in_doc = again.select("doc_id", "tk", "size", F.explode(F.array_distinct(_texts(F.col("size")))).alias("shingle"))
     in_item = items.withColumn("size", F.least(F.lit(SHINGLE), F.size("w")))
     in_item = in_item.select("item_id", "size", F.explode(F.array_distinct(_texts(F.col("size")))).alias("shingle"))
     in_item = written(in_item, "shingles")
-    both = in_doc.join(_bounded(in_item), ["size", "shingle"]).select("doc_id", "tk", "item_id", "shingle").distinct()
+    both = in_doc.join(bounded(in_item), ["size", "shingle"]).select("doc_id", "tk", "item_id", "shingle").distinct()
     found = both.groupBy("doc_id", "tk", "item_id").agg(F.count("*").alias("n_found"))
     total = in_item.groupBy("item_id").agg(F.count("*").alias("n_item"))
     full = found.join(total, "item_id").filter(100 * F.col("n_found") >= percent * F.col("n_item"))

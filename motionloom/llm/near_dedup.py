@@ -8,8 +8,9 @@ ROWS registers give the candidates, the similarity is estimated jointly by maxim
 likelihood from the counts of larger, smaller and equal registers, and what passes is
 confirmed on the full sets.
 
-At a similarity of exactly 0.8 no band agrees with probability (1 - 0.8**5)**32 = 3e-6;
-that is the only way in which a link can be missed.
+At a similarity of exactly 0.8 no band agrees with probability (1 - 0.8**7)**48 = 1e-5,
+and the estimate, whose standard error is 0.022 there, falls short by MARGIN with
+probability 2e-5; a link can be missed in no other way.
 """
 
 from __future__ import annotations
@@ -21,16 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import bounded, small_batches, written
 from .components import components
 from .wordhash import mixed, shingle_sets
 
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 48, 7
 M = BANDS * ROWS
 B, A, Q = 1.001, 20.0, 65534
-#: A pair goes on to the full sets if its estimate is at least the threshold less this (over five standard errors).
-MARGIN = 0.17
-#: Members of a bucket that one task compares at once.
+#: A pair goes on to the full sets if its estimate is at least the threshold less this (over four standard errors).
+MARGIN = 0.09
+#: Members of a bucket that one task holds.
 BLOCK = 512
 
 KEYS = ["n_shingles", "set_sum", "set_xor"]
@@ -108,72 +109,90 @@ def _likely(pairs: DataFrame, sketch: DataFrame, least: float) -> DataFrame:
                 keep = estimates(_regs(batch.column(4)), _regs(batch.column(5)), na, nb) >= least
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
-    side = lambda x: sketch.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
+    # Each side takes its registers apart, so these are shuffled for candidates only.
+    few = bounded(pairs)
+    side = lambda x: sketch.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}")).join(few, x)
+    joined = side("a").join(side("b"), ["a", "b"])
     return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of doc_ids those with 100 * |intersection| >= percent * |union| of their full sets."""
+def _sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, s): the sorted shingle hashes of the documents in ids (doc_id), written."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [s.tobytes() for s in shingle_sets(batch.column(1), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "s"])
 
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(source.join(bounded(written(ids, "ids")), "doc_id", "left_semi").mapInArrow(run, "doc_id long, s binary"), "sets")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of doc_ids those with 100 * |intersection| >= percent * |union| of their full sets."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = written(source.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary"), "sets")
+    found = _sets(ids, docs, shingle)
     joined = pairs.join(found.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     joined = joined.join(found.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     return joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _rest(mixed_members: DataFrame, least: float) -> DataFrame:
-    """Likely pairs between different components within the given buckets, block against block.
+def _rest(members: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) between different components within the given buckets.
 
-    A bucket of any size is cut into blocks of about BLOCK members; a task sees two
-    blocks and emits only likely pairs of different components, each in the first band
-    in which the two agree.
+    members has h, node, label, main, n, regs and s. A bucket's members outside its main
+    component meet all its members, in blocks of about BLOCK members, and are compared
+    on the full sets in the task itself, likeliest first, until one link to each other
+    component is found. So no pairs are emitted but links, at most one for each member,
+    block and component, and a task holds one block and the bucket's outsiders.
     """
 
     def run(group: pa.Table) -> pa.Table:
-        band = group.column("band")[0].as_py()
-        block, low, high = (group.column(x).to_numpy() for x in ("block", "low", "high"))
-        node, label, n = (group.column(x).to_numpy() for x in ("node", "label", "n_shingles"))
-        regs = _regs(group.column("regs").combine_chunks() if isinstance(group.column("regs"), pa.ChunkedArray) else group.column("regs"))
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        out_a, out_b = [], []
+        band = int(group.column("h")[0].as_py()) & 63
+        node, label, n, outside = (group.column(x).to_numpy() for x in ("node", "label", "n", "outside"))
+        regs = _regs(group.column("regs"))
+        each = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("s")]
+        left, right = np.flatnonzero(outside == 1), np.flatnonzero(outside == 0)
+        pairs_i, pairs_j = [], []
         for i in left:
-            j = right[(label[right] != label[i]) & (node[right] != node[i])]
-            if low[0] == high[0]:
-                j = j[node[j] > node[i]]
-            if not len(j):
-                continue
-            agree = (regs[j] == regs[i]).reshape(len(j), BANDS, ROWS).all(axis=2)
-            j = j[agree.argmax(axis=1) == band]
-            if len(j):
-                one = np.repeat(regs[i][None, :], len(j), axis=0)
-                j = j[estimates(one, regs[j], np.full(len(j), float(n[i])), n[j].astype(float)) >= least]
-                out_a += [int(node[i])] * len(j)
-                out_b += node[j].tolist()
-        a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            same = regs[right] == regs[i]
+            agree = same.reshape(len(right), BANDS, ROWS).all(axis=2)
+            j = right[(label[right] != label[i]) & (agree.argmax(axis=1) == band) & (same.sum(axis=1) >= (least - 0.1) * M)]
+            pairs_i.append(np.full(len(j), i))
+            pairs_j.append(j)
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pairs_i, pairs_j))
+        out: list[tuple[int, int]] = []
+        done: set[tuple[int, int]] = set()
+        if len(i):
+            value = np.concatenate([estimates(regs[i[k : k + 4096]], regs[j[k : k + 4096]], n[i[k : k + 4096]].astype(float), n[j[k : k + 4096]].astype(float)) for k in range(0, len(i), 4096)])
+            for k in np.argsort(-value, kind="stable"):
+                if value[k] < least:
+                    break
+                x, y = int(i[k]), int(j[k])
+                if (x, int(label[y])) not in done and _similar(each[x], each[y], percent):
+                    done.add((x, int(label[y])))
+                    out.append((int(node[x]), int(node[y])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     many = F.ceil(F.col("members") / BLOCK).cast("int")
-    blocks = mixed_members.withColumn("block", F.pmod(F.xxhash64("node"), many).cast("int"))
-    other = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
-    dealt = other.select("h", "band", "node", "label", "n_shingles", "regs", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    return dealt.groupBy("h", "low", "high").applyInArrow(run, "a long, b long").distinct()
+    columns = ["h", "node", "label", "n", "regs", "s", "block", "outside"]
+    inside = members.withColumn("block", F.pmod(F.xxhash64("node"), many).cast("int")).withColumn("outside", F.lit(0))
+    outside = members.filter("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0), many - 1))).withColumn("outside", F.lit(1))
+    dealt = inside.select(*columns).union(outside.select(*columns))
+    return dealt.groupBy("h", "block").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -185,7 +204,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     Copies collapse to one class by the name of their set before any comparison. In a
     band's bucket all members are compared with its least one; only buckets that then
-    still hold several components are compared block against block.
+    still hold several components are compared further, outsiders with all members.
 
     A null or empty text, or one without words, has no shingles and is linked with
     nothing. A row without doc_id is linked with nothing either: its component_id is
@@ -199,26 +218,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = written(real.groupBy(*KEYS).agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")), "classes")
 
     part = lambda i: F.substring("regs", i * 2 * ROWS + 1, 2 * ROWS)
-    hashes = F.array(*[F.xxhash64(F.lit(i), part(i)) for i in range(BANDS)])
-    buckets = classes.select("rep", F.posexplode(hashes).alias("band", "h"))
+    named = [F.shiftleft(F.xxhash64(part(i)), 6) + F.lit(i) for i in range(BANDS)]  # the last six bits are the band
+    buckets = classes.select("rep", F.explode(F.array(*named)).alias("h"))
     stars = buckets.groupBy("h").agg(F.min("rep").alias("a"), F.count("*").alias("members")).filter("members > 1")
     stars = written(stars, "stars")
-    pairs = buckets.join(stars, "h").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    held = written(buckets.join(bounded(stars), "h").filter("rep <> a"), "held")
+    pairs = written(held.select("a", F.col("rep").alias("b")).distinct(), "pairs")
     links = written(confirmed(written(_likely(pairs, classes, least), "pairs"), docs, shingle, percent), "links")
 
-    members = real.select("doc_id", *KEYS).join(classes.select(*KEYS, "rep"), KEYS)
+    keys = classes.select(*KEYS, "rep")
+    members = real.select("doc_id", *KEYS).join(keys, KEYS)
     several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("doc_id", "a")
     repeated = members.join(several, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links = links.union(repeated)
+    links = written(links.union(repeated), "links")
     labels = written(components(links.toDF("u", "v")), "labels")
 
-    seen = buckets.join(stars.filter("members > 2"), "h").filter("rep <> a").withColumnRenamed("rep", "node")
+    # Buckets of three and more whose members, but for the center, are in several components.
+    seen = held.filter("members > 2").select("h", "members", F.col("rep").alias("node"))
     seen = seen.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = seen.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("h")
-    rest = seen.join(open_, "h", "left_semi").join(classes.select(F.col("rep").alias("node"), "n_shingles", "regs"), "node")
-    rest = written(_rest(rest, least), "rest")
-    if not rest.isEmpty():
-        more = written(confirmed(rest, docs, shingle, percent), "links")
+    shares = seen.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h")
+    mixed_ = shares.agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
+    seen = written(seen.join(mixed_.select("h", F.col("top.label").alias("main")), "h"), "seen")
+    if not seen.isEmpty():
+        nodes = written(seen.select("node").distinct(), "nodes")
+        sets = _sets(nodes.withColumnRenamed("node", "doc_id"), docs, shingle)
+        whole = classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "regs").join(bounded(nodes), "node", "left_semi")
+        whole = whole.join(sets.withColumnRenamed("doc_id", "node"), "node")
+        more = written(_rest(seen.join(whole, "node"), least, percent), "rest")
         labels = written(components(links.union(more).toDF("u", "v")), "labels")
 
     owned = classes.select(*KEYS, "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
