@@ -34,6 +34,8 @@ from .common import small_batches, written
 
 #: Bytes of text in a block; a longer text makes a block of its own.
 BLOCK_BYTES = 32 << 20
+#: Bits of a place: partition of the scan, block within it, word within the block.
+_PART, _NUMBER, _CODE = 21, 14, 28
 #: Below this code point, letters and numbers are the same in all Unicode versions in use.
 _STABLE = 0x250
 
@@ -118,10 +120,11 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, path: str, of_words: bool) -> DataFrame:
-    """The blocks' distinct words (block, code, word), or their documents (block, doc_id, codes).
+    """The blocks' distinct words (place, word), or their documents (block, words, doc_id, codes).
 
-    Both come from the same scan; `seal` names a block's content, so that blocks that
-    were cut differently (rows that changed between the scans) can't meet.
+    A place is the block's number and the word's number in the block, in one long. Both
+    come from the same scan; `words` counts the block's distinct words, so that blocks
+    that were cut differently (rows that changed between the scans) are noticed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,39 +132,40 @@ def _blocks(docs: DataFrame, path: str, of_words: bool) -> DataFrame:
 
         split, part, number = splitter(path), TaskContext.get().partitionId(), 0
         code: defaultdict[str, int] = defaultdict(count().__next__)
-        size, seal, ids, coded = 0, 0, [], []
+        size, ids, coded = 0, [], []
 
         def block() -> Iterator[pa.RecordBatch]:
-            name = f"{part}.{number}.{size}.{seal}"
+            if part >> _PART or number >> _NUMBER or len(code) >> _CODE:
+                raise ValueError("more partitions, blocks or words than a place can name")
+            name = part << _NUMBER | number
             if of_words:
                 all_words = list(code)
                 for at in range(0, len(all_words), 20_000):
                     some = all_words[at : at + 20_000]
-                    columns = [pa.array([name] * len(some)), pa.array(np.arange(at, at + len(some))), pa.array(some, pa.string())]
-                    yield pa.RecordBatch.from_arrays(columns, ["block", "code", "word"])
+                    yield pa.RecordBatch.from_arrays([pa.array((name << _CODE) + np.arange(at, at + len(some))), pa.array(some, pa.string())], ["place", "word"])
             else:
                 for at in range(0, len(ids), 2000):
                     some = coded[at : at + 2000]
-                    columns = [pa.array([name] * len(some)), pa.array(ids[at : at + 2000], pa.int64()), pa.array(some, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "codes"])
+                    columns = [pa.array([name] * len(some), pa.int64()), pa.array([len(code)] * len(some), pa.int64()), pa.array(ids[at : at + 2000], pa.int64()), pa.array(some, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["block", "words", "doc_id", "codes"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 if size and size + len(text) > BLOCK_BYTES:
                     yield from block()
-                    code, size, seal, ids, coded, number = defaultdict(count().__next__), 0, 0, [], [], number + 1
+                    code, size, ids, coded, number = defaultdict(count().__next__), 0, [], [], number + 1
                 found = split(text)
                 numbers = list(map(code.__getitem__, found))
-                size, seal = size + len(text), (seal * 31 + len(numbers) + (doc_id or 0)) % (1 << 61)
+                size += len(text)
+                ids.append(doc_id)
                 if not of_words:
-                    ids.append(doc_id)
                     coded.append(packed(np.array(numbers, np.int64)))
-        if size or ids:
+        if ids:
             yield from block()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "block string, code long, word string" if of_words else "block string, doc_id long, codes binary")
+    return source.mapInArrow(run, "place long, word string" if of_words else "block long, words long, doc_id long, codes binary")
 
 
 def _encode_words(words: DataFrame, path: str) -> DataFrame:
@@ -171,16 +175,16 @@ def _encode_words(words: DataFrame, path: str) -> DataFrame:
         encode = tokenizer(path).encode_batch
         last, last_ids = None, b""
         for batch in batches:
-            coded = batch.column(2).dictionary_encode()
+            coded = batch.column(1).dictionary_encode()
             distinct = coded.dictionary.to_pylist()
             known = distinct[:1] == [last] and last is not None
             ids = [last_ids] * known + [np.array(e.ids, "<u4").tobytes() for e in encode(distinct[known:], add_special_tokens=False)]
             if distinct:
                 last, last_ids = distinct[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()).take(coded.indices)], ["block", "code", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()).take(coded.indices)], ["place", "ids"])
 
     dealt = words.repartition("word").sortWithinPartitions("word")
-    return dealt.mapInArrow(run, "block string, code long, ids binary")
+    return dealt.mapInArrow(run, "place long, ids binary")
 
 
 def decoded(ids: np.ndarray, piece: list[bytes]) -> str:
@@ -190,7 +194,7 @@ def decoded(ids: np.ndarray, piece: list[bytes]) -> str:
 
 def _join_back(docs: DataFrame, encoded: DataFrame, finish: Callable[[list, list[np.ndarray], Callable], pa.Table], schema: str) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch] | pa.Table:
-        order = np.argsort(right.column("code").to_numpy(), kind="stable")
+        order = np.argsort(right.column("place").to_numpy(), kind="stable")
         raw = right.column("ids").combine_chunks().take(pa.array(order)) if right.num_rows else pa.array([], pa.binary())
         if isinstance(raw, pa.ChunkedArray):
             raw = raw.combine_chunks()
@@ -198,17 +202,18 @@ def _join_back(docs: DataFrame, encoded: DataFrame, finish: Callable[[list, list
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         flat, begin = np.frombuffer(b"".join(each), "<u4"), np.cumsum(size) - size
         comma = [",".join(map(str, flat[b : b + n].tolist())) for b, n in zip(begin.tolist(), size.tolist(), strict=True)]
+        if any(n != len(size) for n in left.column("words").unique().to_pylist()):
+            raise ValueError("a block's documents and words differ; the input changed between two scans")
         sequences = []
         for data in left.column("codes").to_pylist():
             codes = unpacked(data)
-            if len(codes) and codes.max() >= len(size):
-                raise ValueError("a block's documents and words differ; the input changed between two scans")
             n = size[codes]
             ids = flat[np.repeat(begin[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(codes) else flat[:0]
             sequences.append((ids, codes))
         return finish(left.column("doc_id").to_pylist(), sequences, comma)
 
-    return docs.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(run, schema)
+    block = F.shiftright("place", _CODE).alias("block")
+    return docs.groupBy("block").cogroup(encoded.groupBy(block)).applyInArrow(run, schema)
 
 
 def _plain_scan(docs: DataFrame) -> bool:
