@@ -65,3 +65,10 @@ MAX_BROADCAST = 1_000_000
 def bounded(small: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
     """A written narrow table with a broadcast hint if it is small; beyond, a join shuffles."""
     return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
+
+def numbered(docs: DataFrame, without: tuple[str, ...] = ()) -> tuple[DataFrame, list[str], str, str]:
+    """docs with columns c0, c1, ... so that none clashes with an operator's own; their names, doc_id's and text's number."""
+    names = [c for c in docs.columns if c not in without]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    return rows, names, f"c{names.index('doc_id')}", f"c{names.index('text')}"

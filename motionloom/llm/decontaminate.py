@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, text_key, written
+from .common import bounded, numbered, text_key, written
 
 SHINGLE = 5
 CONTAINMENT_PERCENT = 80
@@ -92,5 +92,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = CONTAINME
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = CONTAINMENT_PERCENT) -> DataFrame:
     """The rows of docs, with all their columns, that hold no benchmark item."""
     found = contaminated(docs, benchmark, percent).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_tk"))
-    return docs.join(found.hint("shuffle_hash"), same, "left_anti")
+    rows, names, doc_id, text = numbered(docs)
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (text_key(F.col(text)) == F.col("_tk"))
+    return rows.join(bounded(written(found, "found")), same, "left_anti").toDF(*names)

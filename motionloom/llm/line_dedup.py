@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, text_key, written
+from .common import SPACES, numbered, text_key, written
 
 #: Lines that a run must have.
 MIN_LINES = 2
@@ -98,19 +98,16 @@ def without_repeats(docs: DataFrame, lines: int = MIN_LINES) -> DataFrame:
     runs = repeated_runs(docs, lines)
     gone = runs.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("first_line", "last_line")).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("gone").alias("_gone"))
-    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    whole = docs.select(*[F.col(f"`{c}`") for c in kept_columns]).withColumn("_key", text_key(F.col("text")))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tk"))
-    joined = whole.join(gone.hint("shuffle_hash"), on, "left").withColumn("_lines", _lines(F.col("text")))
+    rows, names, doc_id, text = numbered(docs, ("n_lines", "n_deleted"))
+    whole = rows.withColumn("_key", text_key(F.col(text)))
+    on = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tk"))
+    joined = whole.join(gone.hint("shuffle_hash"), on, "left").withColumn("_lines", _lines(F.col(text)))
     indices = F.flatten(F.transform("_gone", lambda r: F.sequence(r["first_line"], r["last_line"])))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), indices)
     joined = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
     cut = F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n")
-    none = F.col("text").isNull()
-    joined = joined.withColumns({
-        "n_lines": F.when(none, 0).otherwise(F.size("_lines")).cast("long"),
-        "n_deleted": F.when(F.col("_kept").isNull(), 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long"),
-        "_text": F.when(F.col("_kept").isNull(), F.col("text")).otherwise(cut),
-    })
-    columns = [F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in kept_columns]
-    return joined.select(*columns, "n_lines", "n_deleted")
+    whole_text = F.col("_kept").isNull()
+    columns = [F.when(whole_text, F.col(text)).otherwise(cut) if f"c{i}" == text else F.col(f"c{i}") for i in range(len(names))]
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines")).cast("long")
+    n_deleted = F.when(whole_text, 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long")
+    return joined.select(*columns, n_lines, n_deleted).toDF(*names, "n_lines", "n_deleted")

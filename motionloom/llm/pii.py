@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, written
+from .common import numbered, text_key, written
 
 # Forms of address by gender.
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
@@ -141,22 +141,21 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     rows alike in both get the same result; a null doc_id is allowed. An empty table
     gives an empty result. A column named n_entities is replaced.
     """
-    kept = [c for c in docs.columns if c != "n_entities"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    found = written(_found(rows).distinct(), "entities")
+    rows, names, doc_id, text = numbered(docs, ("n_entities",))
+    found = written(_found(rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).distinct(), "entities")
     mapped = surrogates(found.select("kind", "gender", "bare").distinct(), key)
     shown = found.join(mapped, ["kind", "gender", "bare"])
     shown = shown.select("doc_id", "tk", "place", _shown(F.col("value"), F.col("kind"), F.col("surrogate")).alias("shown"))
     per_doc = shown.groupBy("doc_id", "tk").agg(F.map_from_entries(F.collect_list(F.struct("place", "shown"))).alias("_shown"))
     per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "_shown")
 
-    hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tk"))
-    touched = rows.filter(hinted).withColumn("_key", text_key(F.col("text"))).join(per_doc.hint("shuffle_hash"), same, "left")
-    touched = touched.withColumns({"_parts": F.split("text", ANY), "_values": F.regexp_extract_all("text", F.lit(ANY), F.lit(0))})
+    hinted = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tk"))
+    touched = rows.filter(hinted).withColumn("_key", text_key(F.col(text))).join(per_doc.hint("shuffle_hash"), same, "left")
+    touched = touched.withColumns({"_parts": F.split(text, ANY), "_values": F.regexp_extract_all(text, F.lit(ANY), F.lit(0))})
     pieces = F.transform(F.col("_parts"), lambda p, i: F.concat(p, F.coalesce(F.try_element_at("_shown", i), F.get("_values", i), F.lit(""))))
-    text = F.when(F.col("_shown").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
-    columns = lambda t: [t.alias("text") if c == "text" else F.col(f"`{c}`") for c in kept]
-    changed = touched.select(*columns(text), F.coalesce(F.size("_shown"), F.lit(0)).cast("long").alias("n_entities"))
-    rest = rows.filter(~hinted).select(*columns(F.col("text")), F.lit(0).cast("long").alias("n_entities"))
-    return changed.union(rest)
+    new = F.when(F.col("_shown").isNull(), F.col(text)).otherwise(F.array_join(pieces, ""))
+    columns = lambda t: [t if f"c{i}" == text else F.col(f"c{i}") for i in range(len(names))]
+    changed = touched.select(*columns(new), F.when(F.col("_shown").isNull(), 0).otherwise(F.size("_shown")).cast("long"))
+    rest = rows.filter(~hinted).select(*columns(F.col(text)), F.lit(0).cast("long"))
+    return changed.toDF(*names, "n_entities").union(rest.toDF(*names, "n_entities"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_key, written
+from .common import numbered, small_batches, text_key, written
 from .wordhash import mixed, word_hashes
 
 SENTENCES, MIN_WORDS, LONG = 2, 12, 40
@@ -94,7 +94,7 @@ def _spans(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, tk, low, high): spans of docs (doc_id, tk, text) whose hash stands at an earlier place."""
-    all_spans = written(_spans(docs).drop("tk") if "tk" not in docs.columns else _spans(docs), "spans")
+    all_spans = written(_spans(docs), "spans")
     place = F.struct("doc_id", "tk", "low", "high")
     first = all_spans.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("h", "first")
     return all_spans.join(first, "h").filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "tk", "low", "high")
@@ -115,16 +115,16 @@ def without_passages(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"), F.col("text").cast("string").alias("text"))
     found = repeated_spans(keyed).groupBy("doc_id", "tk").agg(F.array_distinct(F.collect_list(F.struct("low", "high"))).alias("_spans"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "_spans")
-    kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    whole = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("_key", text_key(F.col("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tk"))
-    joined = whole.join(found.hint("shuffle_hash"), same, "left").select(*[F.col(f"`{c}`") for c in kept], "_spans")
-    at = kept.index("text")
+    rows, names, doc_id, text_column = numbered(docs, ("n_sentences", "n_removed"))
+    whole = rows.withColumn("_key", text_key(F.col(text_column)))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tk"))
+    joined = whole.join(found.hint("shuffle_hash"), same, "left").select(*rows.columns, "_spans")
+    at, size, inner = names.index("text"), len(names), list(rows.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, total, gone = [], [], []
-            for text, cut in zip(batch.column(at), batch.column(len(kept)).to_pylist(), strict=True):
+            for text, cut in zip(batch.column(at), batch.column(size).to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else None
                 cuts = sentences(raw) if raw is not None else [0]
                 total.append(len(cuts) - 1)
@@ -139,8 +139,9 @@ def without_passages(docs: DataFrame) -> DataFrame:
                 else:
                     gone.append(0)
                 texts.append(None if raw is None else raw.decode())
-            columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*kept, "n_sentences", "n_removed"])
+            columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(size)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*inner, "n_sentences", "n_removed"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString() if c != 'text' else 'string'}" for c in kept)
-    return joined.mapInArrow(run, f"{fields}, n_sentences long, n_removed long")
+    kinds = [rows.schema[c].dataType.simpleString() if c != text_column else "string" for c in rows.columns]
+    fields = ", ".join(f"{c} {kind}" for c, kind in zip(rows.columns, kinds, strict=True))
+    return joined.mapInArrow(run, f"{fields}, n_sentences long, n_removed long").toDF(*names, "n_sentences", "n_removed")

@@ -1,0 +1,488 @@
+"""The ten operators against brute force on small tables, and on awkward rows."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from motionloom.llm import bpe, decontaminate, line_dedup, near_dedup, pii, quality, queries, secrets, span_dedup, toxicity, url_filter
+from motionloom.llm.wordhash import shingle_sets
+
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+
+#: Nulls, empty and blank texts, ties, repeated rows, a long text, columns named like the operators' own.
+LONG = " ".join(f"w{i}" for i in range(5000))
+AWKWARD = [
+    (1, "One two three four five six seven.\nEight nine ten eleven twelve.\n\nA b c d e f g h i j k l m n.", "en", 1, "x"),
+    (2, None, "en", 2, None),
+    (3, "", None, 3, "y"),
+    (4, " \n\t ", "de", 4, "y"),
+    (5, LONG, "en", 5, "z"),
+    (6, LONG, "en", 6, "z"),
+    (7, "One two three four five six seven.\nEight nine ten eleven twelve.\nMore.", "en", 7, None),
+    (7, "One two three four five six seven.\nEight nine ten eleven twelve.\nMore.", "en", 7, None),
+    (8, "word", None, None, None),
+    (None, "no id at all", "fr", 9, "q"),
+    (9, "same id, one text", "en", 10, None),
+    (9, "same id, another text", "en", 11, None),
+]
+SCHEMA = "doc_id long, text string, lang string, tk long, _id string"
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return spark.createDataFrame(AWKWARD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+
+
+# 1
+
+
+def reference_round_trip(text, path):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    ids = own.encode(text or "", add_special_tokens=False).ids
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    return len(ids), sha(",".join(map(str, ids))), sha(own.decode(ids, skip_special_tokens=False))
+
+
+def test_bpe_equals_the_library(spark, awkward, empty, texts, docs):
+    path = queries.vocabulary()
+    odd = ["it's  \n\n a<|endoftext|>b", "\u4e2d\u6587 \U0001f600", "\u00b2\u2167 \u0969", "x\x1c\x85\xa0 y", "'S don't 'll", "a" * 3000, "e\u0301 \u200b\u3000 z"]
+    rows = [(r[0], r[1]) for r in AWKWARD] + [(100 + i, t) for i, t in enumerate(odd)]
+    found = bpe.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    wanted = Counter((i, *reference_round_trip(t, path)) for i, t in rows)
+    assert Counter(tuple(r) for r in found) == wanted
+    some = docs.filter("doc_id % 20 = 0")
+    for r in bpe.round_trip(some, path).collect():
+        assert tuple(r)[1:] == reference_round_trip(texts[r.doc_id], path)
+    assert bpe.round_trip(empty, path).count() == 0
+
+
+def test_bpe_decodes_what_it_encodes(awkward):
+    path = queries.vocabulary()
+    back = bpe.decode(bpe.encode(awkward, path), path).collect()
+    assert Counter(r.text for r in back) == Counter(t or "" for _, t, *_ in AWKWARD)
+
+
+def test_packed_numbers_round_trip():
+    codes = np.array([0, 1, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28, 2**30], np.int64)
+    assert bpe.unpacked(bpe.packed(codes)).tolist() == codes.tolist()
+    assert bpe.unpacked(bpe.packed(codes[:0])).tolist() == []
+
+
+# 2
+
+
+def test_toxicity_on_held_out_rows(spark):
+    path = "/root/testdata/sf0.01"
+    found = queries.op2_toxicity(spark, path).toPandas()
+    labels = spark.read.parquet(f"{path}/labels.parquet").toPandas()
+    assert len(found) == spark.read.parquet(f"{path}/documents.parquet").count()
+    assert (found.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in found.doc_id]).all()
+    assert found.score.between(0, 1).all() and ((found.score >= 0.3) == (found.predicted == 1)).all()
+    held = found[found.held_out].merge(labels, on="doc_id")
+    bad, good = held[held.toxic == 1].score.to_numpy(), held[held.toxic == 0].score.to_numpy()
+    auc = (bad[:, None] > good[None, :]).mean() + 0.5 * (bad[:, None] == good[None, :]).mean()
+    assert auc > 0.85
+
+
+def test_toxicity_tolerates_inserted_and_left_out_characters(awkward, empty):
+    clean = ["the cat sat on the mat", "a fine day by the sea", "of this and that", "we were there at noon"] * 5
+    insult = ["you are an idiot today", "what an idiot he is", "the idiot sat there", "no idiot here please"] * 5
+    model = toxicity.fit(clean + insult, np.array([0] * 20 + [1] * 20))
+    scores = model.scores(["such an id-i-ot", "you idxiot there", "such an idiiot", "the mat by the sea", "", None])
+    assert scores[:3].min() > scores[3:].max()
+    rows = toxicity.scored(awkward, model)
+    assert rows.count() == len(AWKWARD) and rows.filter("score is null").count() == 0
+    assert toxicity.scored(empty, model).count() == 0
+
+
+def test_toxicity_never_trains_on_held_out_rows(spark, sf, docs):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    seen, _ = toxicity.training_rows(docs, labels)
+    held = {r.doc_id for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    by_text = defaultdict(set)
+    for r in docs.collect():
+        by_text[r.text].add(r.doc_id)
+    assert all(by_text[t] - held for t in seen)
+
+
+# 3
+
+
+def plain(text):
+    return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+
+
+def shingles(w, n=5):
+    n = min(n, len(w))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+
+
+def test_decontamination_equals_brute_force(spark, sf, docs, texts, awkward, empty):
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = {r.item_id: shingles(plain(r.text)) for r in benchmark.collect()}
+    wanted = set()
+    for i, t in texts.items():
+        have = shingles(plain(t))
+        wanted |= {(i, k, len(v), len(v & have)) for k, v in items.items() if 100 * len(v & have) >= 80 * len(v)}
+    found = queries.op3_decontamination(spark, sf).collect()
+    assert {(r.doc_id, r.item_id, r.n_item, r.n_found) for r in found} == wanted and wanted
+    kept = decontaminate.clean(docs, benchmark)
+    assert {r.doc_id for r in kept.collect()} == set(texts) - {w[0] for w in wanted}
+    short = spark.createDataFrame([(1, "nine ten eleven"), (2, "w7 w8 w9 w10 w11 w12 w13"), (3, None), (4, ""), (5, "word")], "item_id long, text string")
+    hits = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(awkward, short).collect()}
+    assert hits == {(1, 1), (7, 1), (5, 2), (6, 2), (8, 5)}
+    assert decontaminate.clean(awkward, short).columns == awkward.columns
+    assert decontaminate.contaminated(empty, short).count() == 0
+    assert decontaminate.clean(awkward, short.limit(0)).count() == len(AWKWARD)
+
+
+# 4
+
+
+def brute_force_spans(rows):
+    """rows of (doc_id, text): the sentences that stay, by the operator's span rule with words instead of hashes."""
+    found = []
+    for doc, text in rows:
+        raw = (text or "").encode()
+        cuts = span_dedup.sentences(raw).tolist()
+        words = [tuple(raw[a:b].lower().split()) for a, b in zip(cuts, cuts[1:], strict=False)]
+        spans = set()
+        n = len(words)
+        for i in range(n):
+            for j in range(i + 1, n):
+                if sum(map(len, words[i : j + 1])) >= span_dedup.MIN_WORDS:
+                    if words[i]:
+                        spans.add((i, j))
+                    break
+            for j in range(i - 1, -1, -1):
+                if sum(map(len, words[j : i + 1])) >= span_dedup.MIN_WORDS:
+                    if words[i]:
+                        spans.add((j, i))
+                    break
+            if len(words[i]) >= span_dedup.LONG:
+                spans.add((i, i))
+        found.append((doc, raw, cuts, {(a, b): sum(words[a : b + 1], ()) for a, b in spans}))
+    first = {}
+    for doc, _, _, spans in found:
+        for at, name in spans.items():
+            place = (doc, *at)
+            first[name] = min(first.get(name, place), place)
+    out = {}
+    for doc, raw, cuts, spans in found:
+        gone = {k for at, name in spans.items() if first[name] != (doc, *at) for k in range(at[0], at[1] + 1)}
+        out[doc] = b"".join(raw[a:b] for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if k not in gone).decode()
+    return out
+
+
+def test_span_dedup_equals_brute_force(spark, docs, texts, awkward, empty):
+    wanted = brute_force_spans(sorted(texts.items()))
+    found = {r.doc_id: r.text for r in span_dedup.without_passages(docs.select("doc_id", "text")).collect()}
+    assert found == wanted
+    rows = span_dedup.without_passages(awkward)
+    assert rows.columns == [*awkward.columns, "n_sentences", "n_removed"] and rows.count() == len(AWKWARD)
+    assert rows.filter("doc_id = 2 and text is null").count() == 1
+    assert span_dedup.without_passages(empty).count() == 0
+
+
+def test_span_dedup_finds_a_passage_between_other_sentences(spark):
+    passage = " ".join(f"Word{i} goes on and on here." if i % 3 else f"Short{i}." for i in range(14))
+    rows = [(1, f"Opening words of one. {passage} And its end."), (2, f"Quite another beginning stands here. {passage} Then more."), (3, "Nothing of the kind is found in this text. It is clean.")]
+    found = {r.doc_id: r.text for r in span_dedup.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1] == rows[0][1] and found[3] == rows[2][1]
+    assert found[2] == "Quite another beginning stands here. Then more."
+
+
+# 5
+
+
+def base_figures(text):
+    w = WORD.findall(text or "")
+    grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {k for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_equals_brute_force(spark, sf, texts, docs, awkward, empty):
+    found = quality.quality(docs).toPandas().set_index("doc_id")
+    for i, t in texts.items():
+        r = found.loc[i]
+        n_words, *_, repeated = base = base_figures(t)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base
+        assert r.base_failed == (n_words < 10 or 100 * repeated > 20 * n_words)
+        assert r.kept == (not r.base_failed and not r.char_distance > quality.MAX_CHAR_DISTANCE and not r.word_distance > quality.MAX_WORD_DISTANCE)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").toPandas()
+    good = found.loc[labels.doc_id]
+    assert good[~good.base_failed].kept.mean() > 0.98
+    rows = quality.quality(awkward, ["doc_id", "_id"])
+    assert rows.count() == len(AWKWARD) and rows.filter("kept is null").count() == 0
+    assert quality.quality(empty).count() == 0
+
+
+def test_quality_distances_equal_brute_force(docs, texts):
+    """Characters and common words of every judged document against numpy."""
+    rows = quality.quality(docs, ["doc_id", "lang"]).toPandas()
+    common = {w for line in quality.COMMON_WORDS.values() for w in line.split()}
+
+    def counts(t):
+        plain_words = [w for w in re.split(r"[\W\d_]+", t.lower()) if w]
+        c = Counter(w for w in plain_words if w in common)
+        return c, len(plain_words)
+
+    def jsd(p, q):
+        m = (p + q) / 2
+        part = lambda x: np.sum(np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(m > 0, m, 1)), 0))
+        return float(np.sqrt(max(0.0, (part(p) + part(q)) / 2)))
+
+    good = rows[~rows.base_failed & (rows.n_words >= quality.MIN_WORDS)]
+    order = sorted(common)
+    for lang in good.lang.unique():
+        ids = good[good.lang == lang].doc_id.tolist()
+        total, size = Counter(), 0
+        for i in ids:
+            c, n = counts(texts[i])
+            total.update(c)
+            size += n
+        q = np.array([total[w] for w in order] + [size - sum(total.values())]) / size
+        for i in ids[:20]:
+            c, n = counts(texts[i])
+            if n >= quality.MIN_COMMON and good[good.doc_id == i].word_distance.notna().all():
+                p = np.array([c[w] for w in order] + [n - sum(c.values())]) / n
+                assert abs(jsd(p, q) - good[good.doc_id == i].word_distance.iloc[0]) < 1e-6
+
+
+# 6
+
+
+def brute_force_components(rows, size, percent):
+    lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+    sets = []
+    for _, t in rows:
+        w = re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().translate(lower))
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set()))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and min(len(a), len(b)) * 100 >= 75 * max(len(a), len(b)):
+                both = len(a & b)
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    root[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), doc), doc)
+    return {doc: (len(sets[i]), least[find(i)]) for i, (doc, _) in enumerate(rows)}
+
+
+def test_near_dedup_equals_brute_force(docs, texts, empty):
+    rows = sorted(texts.items())
+    for size in (2, 5):
+        wanted = brute_force_components(rows, size, 80)
+        found = near_dedup.near_duplicates(docs, size, 80).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == wanted
+        assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+    assert near_dedup.near_duplicates(empty).count() == 0
+
+
+def test_near_dedup_links_a_large_group_of_edited_copies(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(700):
+        w = list(base)
+        for at in rng.integers(0, len(w), int(rng.integers(0, 9))):
+            w[at] = f"x{k}_{at}"
+        rows.append((int(k), " ".join(w)))
+    wanted = brute_force_components(rows, 2, 80)
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == wanted
+
+
+def test_near_dedup_on_awkward_rows(awkward):
+    found = near_dedup.near_duplicates(awkward, 2, 80).collect()
+    assert len(found) == len(AWKWARD)
+    component = defaultdict(set)
+    for r in found:
+        component[r.doc_id].add(r.component_id)
+    assert component[5] == component[6] == {5} and component[7] == {7} and component[9] == {9}
+    assert {r.kept for r in found if r.doc_id in (2, 3, 4, None)} == {True} and component[None] == {None}
+
+
+def test_estimates_are_near_the_truth():
+    rng = np.random.default_rng(1)
+    for share in (0.3, 0.6, 0.8, 0.9):
+        pool = rng.integers(0, 2**63, 4000, dtype=np.int64).astype(np.uint64)
+        both = int(2 * share / (1 + share) * 2000)
+        a, b = pool[:2000], np.concatenate([pool[:both], pool[2000 : 4000 - both]])
+        true = both / (4000 - both)
+        ra, rb = near_dedup.registers(a)[None], near_dedup.registers(b)[None]
+        assert abs(near_dedup.estimates(ra, rb, np.array([2000.0]), np.array([2000.0]))[0] - true) < 0.1
+        assert (near_dedup.merged(ra, rb)[0] == near_dedup.registers(np.union1d(a, b))).all()
+
+
+def test_shingle_sets_tell_texts_apart():
+    import pyarrow as pa
+
+    texts_ = ["A b\tc", "a B c", "a b", "ab", "", None, "a", "b a c", "\u00c9 b c"]
+    sets = [s.tolist() for s in shingle_sets(pa.array(texts_), 2)]
+    assert sets[0] == sets[1] and len(sets[0]) == 2 and sets[2] != sets[3] and sets[4] == sets[5] == []
+    assert len({tuple(s) for s in sets}) == 7
+
+
+# 7
+
+
+def test_secret_forest_tells_findings_apart(spark, awkward, empty):
+    labelled = secrets.labelled_findings(spark).cache()
+    model = secrets.train(labelled.filter("xxhash64(token) % 4 <> 0"))
+    held = model.transform(secrets._assembled(labelled.filter("xxhash64(token) % 4 = 0"))).select("label", "prediction").toPandas()
+    assert (held.label == held.prediction).mean() > 0.97
+    key = hashlib.sha1(b"x").hexdigest()
+    rows = [(1, f'set api_key = "{key}" here'), (2, f"commit {key} is fine"), (3, "call 4929348385146306 now"), (4, None), (5, "")]
+    found = {r.doc_id: r for r in secrets.findings(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert set(found) == {1, 2, 3}
+    assert found[1].is_secret and not found[2].is_secret and not found[3].is_secret
+    assert rows[0][1][found[1].start : found[1].start + found[1].length] == found[1].token == key
+    assert secrets.findings(awkward, model).count() >= 0 and secrets.findings(empty, model).count() == 0
+
+
+# 8
+
+
+def test_pii_surrogates_are_consistent_distinct_and_formatted(spark, awkward, empty):
+    text = "Mr. Smith met Mrs. Jones and Herr Smith; a.b@x.org, A.B@X.ORG, c.d@x.org; +1 (017) 555-7713 or +1 017 555 7713; 10.0.0.1 and 10.0.0.2; 4111 1111 1111 1111, 4111111111111111; \u0413\u043e\u0441\u043f\u043e\u0434\u0438\u043d \u0418\u0432\u0430\u043d\u043e\u0432."
+    rows = [(1, text), (2, "write to a.b@x.org"), (3, "nothing private here, not 12 or 3.14"), (4, None), (5, "")]
+    found = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    out = found[1].text
+    for private in ("Smith", "Jones", "a.b@x.org", "A.B@X.ORG", "c.d@x.org", "555-7713", "555 7713", "10.0.0.1", "10.0.0.2", "4111", "\u0418\u0432\u0430\u043d\u043e\u0432"):
+        assert private not in out
+    names = re.findall(r"(?:Mr\.|Mrs\.|Herr) (\w+)", out)
+    assert names[0] == names[2] != names[1] and names[1].endswith("na") and not names[0].endswith("a")
+    mails = re.findall(r"\S+@\S+\.org", out, re.IGNORECASE)
+    assert mails[0].lower().strip(",") == mails[1].lower().strip(",") != mails[2].lower().strip(";,")
+    assert mails[0].strip(",") in found[2].text
+    phones = re.findall(r"\+1 \(?(\d{3})\)? (\d{3})[ -](\d{4})", out)
+    assert len(phones) == 2 and phones[0] == phones[1]
+    cards = re.findall(r"\d{4} ?\d{4} ?\d{4} ?\d{4}", out)
+    assert cards[0].replace(" ", "") == cards[1]
+    assert re.search("\u0413\u043e\u0441\u043f\u043e\u0434\u0438\u043d [\u0430-\u044f\u0410-\u042f]+\\.", out)
+    assert found[3].text == rows[2][1] and found[4].text is None and found[5].text == ""
+    again = pii.pseudonymised(awkward, "k")
+    assert again.columns == [*awkward.columns, "n_entities"] and again.count() == len(AWKWARD)
+    assert pii.pseudonymised(empty, "k").count() == 0
+
+
+def test_pii_surrogates_never_collide(spark):
+    rows = [("ip", "", f"10.0.{i // 250}.{i % 250 + 1}") for i in range(3000)] + [("phone", "", f"1{i:04d}") for i in range(3000)]
+    found = pii.surrogates(spark.createDataFrame(rows, "kind string, gender string, bare string"), "k").toPandas()
+    assert len(found) == len(rows) and not found.duplicated(["kind", "surrogate"]).any()
+    assert not set(zip(found.kind, found.surrogate, strict=True)) & {(k, b) for k, _, b in rows}
+
+
+# 9
+
+
+def brute_force_lines(rows, least):
+    seen, out = set(), {}
+    for doc, text in rows:
+        lines = text.split("\n")
+        real = [i for i, x in enumerate(lines) if WORD.search(x)]
+        gone = set()
+        for k in range(len(real) - least + 1):
+            run = tuple(lines[i] for i in real[k : k + least])
+            if run in seen:
+                gone |= set(range(real[k], real[k + least - 1] + 1))
+            seen.add(run)
+        out[doc] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("least", [2, 3, 4])
+def test_line_dedup_equals_brute_force(docs, texts, least):
+    wanted = brute_force_lines(sorted(texts.items()), least)
+    found = {r.doc_id: r.text for r in line_dedup.without_repeats(docs, least).collect()}
+    assert found == wanted
+
+
+def test_line_dedup_on_awkward_rows(awkward, empty):
+    found = line_dedup.without_repeats(awkward)
+    rows = {r.doc_id: r for r in found.collect()}
+    assert found.columns == [*awkward.columns, "n_lines", "n_deleted"] and found.count() == len(AWKWARD)
+    assert rows[7].text == "More." and rows[1].n_deleted == 0 and rows[2].text is None and rows[3].text == ""
+    assert line_dedup.without_repeats(empty).count() == 0
+
+
+# 10
+
+
+def judge(url):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+    best = None
+    for verdict, h, p in queries.URL_RULES:
+        if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(h + p) > len(best[1])):
+            best = (verdict, h + p)
+    return host, path, best
+
+
+def test_url_rules_equal_brute_force(spark, sf):
+    odd = ["HTTP://A.Example.COM/en/7?x#y", "ftp://com/en/", "https://xcom/en/1", "nothing", None, "https://a.net", "https://a.net?x=/de/", "a://b.org/es/://c", "https://example.net/de/81", "x\ny://a.com/en/"]
+    own = spark.createDataFrame([(i, u, None, 1) for i, u in enumerate(odd)], "page_id long, url string, html string, host int")
+    for pages in (own, spark.read.parquet(f"{sf}/pages.parquet")):
+        urls = {r.page_id: r.url for r in pages.collect()}
+        for r in url_filter.judged(pages, queries.URL_RULES).collect():
+            host, path, best = judge(urls[r.page_id])
+            assert (r.host, r.path, r.rule) == (host, path, best and best[1])
+            assert r.verdict in ("allow", "block") and (best is None or r.verdict == best[0])
+    assert url_filter.judged(own.limit(0), queries.URL_RULES).count() == 0
+
+
+def test_distrust_flows_against_links(spark):
+    pages = [
+        (1, "https://bad.org/es/1", ""), (2, "https://links.biz/1", '<a href="https://bad.org/x">'), (3, "https://far.biz/1", "<a href='//links.biz/1'>"),
+        (4, "https://good.net/de/1", '<a href="https://fine.biz/">'), (5, "https://fine.biz/1", None), (6, "https://alone.biz/", "<a href=/local>"),
+    ]
+    found = {r.page_id: r.verdict for r in url_filter.judged(spark.createDataFrame(pages, "page_id long, url string, html string"), queries.URL_RULES).collect()}
+    assert found == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
+
+
+def test_personalised_rank_equals_power_iteration(spark):
+    edges = [("a", "b", 1), ("b", "c", 2), ("b", "a", 1), ("c", "a", 1), ("a", "d", 3)]
+    names = ["a", "b", "c", "d"]
+    found = url_filter.personalised_rank(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame([("a", 1.0), ("b", 3.0)], "host string, weight double"))
+    ranks = {r.host: r["rank"] for r in found.collect()}
+    assert abs(sum(ranks.values()) - 1) < 1e-9 and ranks["a"] > ranks["c"] and set(ranks) == set(names)
