@@ -169,18 +169,21 @@ def _features(kernel: Kernel, whiten: np.ndarray, texts: list[str | None]) -> np
 
 def choose_landmarks(texts: list[str | None], toxic: np.ndarray, most: int = LANDMARKS) -> list[str]:
     """Words and beginnings of words that stand out in toxic texts, none too near another."""
-    seen = [Counter(), Counter()]
-    for text, y in zip(texts, toxic.tolist(), strict=True):
-        found = set(words_of(text))
-        seen[int(y)].update(found | {w[:k] for w in found for k in range(4, min(9, len(w)))})
+    def parts(text: str | None) -> set[str]:
+        found = {w for w in words_of(text) if len(w) <= 64}
+        return found | {w[:k] for w in found for k in range(4, min(9, len(w)))}
+
+    bad = Counter(chain.from_iterable(parts(t) for t, y in zip(texts, toxic.tolist(), strict=True) if y == 1))
+    bad = {w: n for w, n in bad.items() if n >= 3 and len(w) <= 24}
+    good = Counter(w for t, y in zip(texts, toxic.tolist(), strict=True) if y == 0 for w in parts(t) if w in bad)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
 
     def stands_out(w: str) -> float:
-        a, b = seen[1][w], seen[0][w]
+        a, b = bad[w], good[w]
         p = (a + b) / (n1 + n0)
         return (a / n1 - b / n0) / math.sqrt(max(1e-12, p * (1 - p)) * (1 / n1 + 1 / n0))
 
-    value = {w: stands_out(w) for w, n in seen[1].items() if n >= 3 and len(w) <= 24}
+    value = {w: stands_out(w) for w in bad}
     ranked = sorted(value, key=lambda w: (-value[w], w))
     chosen: list[str] = []
     for w in ranked[: 16 * most]:
