@@ -96,7 +96,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, tk, low, high): spans of docs (doc_id, tk, text) whose hash stands at an earlier place."""
     all_spans = written(_spans(docs), "spans")
     place = F.struct("doc_id", "tk", "low", "high")
-    first = all_spans.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("h", "first")
+    first = all_spans.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
     return all_spans.join(first, "h").filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "tk", "low", "high")
 
 
