@@ -9,7 +9,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from motionloom.plans import pose_queries, registry, table_queries, window_queries  # noqa: F401
+from motionloom.plans import extra_queries, pose_queries, registry, table_queries, window_queries  # noqa: F401
 
 
 @pytest.fixture(scope="module")
