@@ -226,11 +226,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     pairs = written(held.select("a", F.col("rep").alias("b")).distinct(), "pairs")
     links = written(confirmed(written(_likely(pairs, classes, least), "pairs"), docs, shingle, percent), "links")
 
-    keys = classes.select(*KEYS, "rep")
-    members = real.select("doc_id", *KEYS).join(keys, KEYS)
-    several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("doc_id", "a")
-    repeated = members.join(several, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links = written(links.union(repeated), "links")
+    if not real.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
+        members = real.select("doc_id", *KEYS).join(classes.select(*KEYS, "rep"), KEYS)
+        several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("doc_id", "a")
+        repeated = members.join(several, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+        links = written(links.union(repeated), "links")
     labels = written(components(links.toDF("u", "v")), "labels")
 
     # Buckets of three and more whose members, but for the center, are in several components.
