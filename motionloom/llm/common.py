@@ -15,30 +15,43 @@ SPACES = "[\\x20\\x09-\\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only on one machine (tests), where the session names none, a temporary folder is set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext.getCheckpointDir()
         folder = known.rsplit("/", 1)[0] if known else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="motionloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/motionloom/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df once to the shared folder and read it back.
 
     A written table survives the loss of executors, and costs one pass where a
-    reliable checkpoint() would compute the plan twice.
+    reliable checkpoint() would compute the plan twice. Results read these tables until
+    they are written themselves; forget() removes them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/motionloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Remove all tables that this application has written with written()."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what an Arrow batch of long texts holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
