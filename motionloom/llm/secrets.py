@@ -116,11 +116,11 @@ def candidates(docs: DataFrame, path_column: str | None = None) -> DataFrame:
     path = F.col(f"`{path_column}`").cast("string") if path_column else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), path.alias("path"))
     rows = rows.filter(F.col("text").rlike("[0-9]")).withColumns({"tk": text_key(F.col("text")), "parts": F.split("text", TOKEN), "tokens": F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))})
-    each = F.transform(F.col("tokens"), lambda t, i: F.struct(t.alias("token"), F.get("parts", i).alias("left"), F.get("parts", i + 1).alias("right")))
+    each = F.transform(F.col("tokens"), lambda t, i: F.struct(t.alias("token"), F.length(F.get("parts", i)).alias("gap"), F.right(F.get("parts", i), F.lit(CONTEXT)).alias("before"), F.left(F.get("parts", i + 1), F.lit(CONTEXT)).alias("after")))
     found = rows.filter(F.size("tokens") > 0).select("doc_id", "tk", "path", F.posexplode(each).alias("ordinal", "c")).distinct()
     until = Window.partitionBy("doc_id", "tk").orderBy("ordinal")
-    start = F.sum(F.length("c.left")).over(until) + F.coalesce(F.sum(F.length("c.token")).over(until.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return found.select("doc_id", "tk", "ordinal", start.cast("long").alias("start"), F.col("c.token").alias("token"), F.right("c.left", F.lit(CONTEXT)).alias("before"), F.left("c.right", F.lit(CONTEXT)).alias("after"), "path")
+    start = F.sum("c.gap").over(until) + F.coalesce(F.sum(F.length("c.token")).over(until.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return found.select("doc_id", "tk", "ordinal", start.cast("long").alias("start"), F.col("c.token").alias("token"), F.col("c.before").alias("before"), F.col("c.after").alias("after"), "path")
 
 
 def findings(docs: DataFrame, model: RandomForestClassificationModel, path_column: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
