@@ -202,6 +202,37 @@ def flipped_short_runs(states: list[int], most: int) -> list[int]:
     return out
 
 
+def grasp_by_distance(distance: np.ndarray, threshold: float, size: int, most: int) -> list[int]:
+    """Distances interpolated, averaged over a window with the ends repeated, compared, and short flips undone."""
+    x = np.asarray(distance, float)
+    known = np.flatnonzero(np.isfinite(x))
+    if not len(known):
+        return [0] * len(x)
+    x = np.interp(np.arange(len(x)), known, x[known])
+    padded = np.pad(x, (size // 2, size - 1 - size // 2), mode="edge")
+    mean = np.convolve(padded, np.ones(size) / size, mode="valid")
+    return flipped_short_runs((mean < threshold).astype(int).tolist(), most)
+
+
+def grasp_by_state(states: list[int | None], size: int, most: int) -> list[int]:
+    """States (missing ones open) averaged over a reflected window, cut at a half; short open, then short closed runs flip."""
+    x = np.array([0 if s is None else s for s in states], float)
+    if not len(x):
+        return []
+    padded = np.pad(x, (size // 2, size - 1 - size // 2), mode="symmetric") if len(x) >= size else np.pad(x, (size // 2, size - 1 - size // 2), mode="edge")
+    out = (np.convolve(padded, np.ones(size) / size, mode="valid") > 0.5).astype(int).tolist()
+    for value in (0, 1):
+        k = 0
+        while k < len(out):
+            end = k
+            while end + 1 < len(out) and out[end + 1] == out[k]:
+                end += 1
+            if out[k] == value and k > 0 and end + 1 < len(out) and end - k + 1 <= most:
+                out[k : end + 1] = [1 - value] * (end - k + 1)
+            k = end + 1
+    return out
+
+
 def per_series(df: DataFrame, by: list[str], order: str, columns: list[str], function, out: str, out_type: str) -> DataFrame:
     """A function of a series' columns (as arrays, in order) gives column `out`, row for row."""
     schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*by, order).dtypes) + f", {out} {out_type}"

@@ -319,6 +319,11 @@ _numeric("w22_debounce", ["px"], lambda x: numeric.debounced([int(v > 0) for v i
 _numeric("w23_w24_flip_short_runs", ["px"], lambda x: numeric.flipped_short_runs([int(v > 0) for v in x], 2), "int")
 
 
+_numeric("w23_grasp_by_distance", ["px"], lambda x: numeric.grasp_by_distance(np.abs(x), 0.1, 5, 2), "int")
+_numeric("w24_grasp_by_state", ["px"], lambda x: numeric.grasp_by_state([int(v > 0) for v in x], 5, 2), "int")
+_numeric("x3_gripper_export", ["px"], lambda x: numeric.debounced([int(abs(v) < 0.1) for v in numeric.limited(x[:, None], np.isfinite(x), 0.05)[:, 0]], 3), "int")
+
+
 @query("a12_a13_mean_rotation")
 def _a12(p: DataFrame) -> DataFrame:
     """Sums of q q^T come from a shuffled aggregation; only the 4x4 eigenproblem is NumPy."""

@@ -144,3 +144,34 @@ def read_joint_arrays(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, frame_idx long, left array<double>, right array<double>")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(episode_id, path) of a manifest with an `episodes` list; an id given twice is an error when read."""
+    schema = "schema string, schema_version int, episodes array<struct<episode_index: long, path: string>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("episodes").alias("e"))
+    found = rows.groupBy(F.col("e.episode_index").cast("string").alias("episode_id")).agg(F.count(F.lit(1)).alias("n"), F.min("e.path").alias("path"))
+    twice = F.raise_error(F.concat(F.lit("episode listed twice: "), F.col("episode_id")))
+    return found.select("episode_id", F.when(F.col("n") == 1, F.col("path")).otherwise(twice).alias("path"))
+
+
+def read_catalog(spark: SparkSession, root: str, data_path: str, video_key: str | None = None) -> DataFrame:
+    """Episodes of root/meta/episodes with their file by the template data_path ({chunk}, {file}), and their video's first frame time."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{root}/meta/episodes")
+    chunk, file = F.col("`data/chunk_index`"), F.col("`data/file_index`")
+    template = data_path.replace("{chunk}", "%03d").replace("{file}", "%03d")
+    columns = [F.col("episode_index"), F.col("length"), F.format_string(template, chunk, file).alias("data_file")]
+    if video_key:
+        columns.append(F.col(f"`videos/{video_key}/from_timestamp`").alias("from_timestamp"))
+    return rows.select(*columns).orderBy("episode_index")
+
+
+def in_scene(rows: DataFrame, transforms: DataFrame) -> DataFrame:
+    """rows with poses moved by each side's scene transform (side, m: 4x4); a side without one takes the right side's."""
+    sides = transforms.groupBy(F.lit(1).alias("one")).agg(F.map_from_entries(F.collect_list(F.struct("side", "m"))).alias("by_side"))  # two rows
+    joined = rows.crossJoin(F.broadcast(sides.select("by_side")))
+    m = F.coalesce(F.try_element_at("by_side", F.col("side")), F.try_element_at("by_side", F.lit("right")))
+    at = lambda i: F.get(m, i)
+    p = lambda j: F.get("pose", j)
+    moved = [F.get(at(i), 0) * p(0) + F.get(at(i), 1) * p(1) + F.get(at(i), 2) * p(2) + F.get(at(i), 3) for i in range(3)]
+    return joined.withColumn("position", F.when(F.col("pose").isNotNull(), F.array(*moved))).drop("by_side")

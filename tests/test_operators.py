@@ -214,3 +214,35 @@ def test_streaming_sessions_and_streaks(spark, tmp_path):
 
     assert [(r.key, r.streak) for r in run(monitor.bad_streaks(stream, "k", "ts", "bad", 2), "streaks")] == [(1, 3)]
     assert sorted(r.n for r in run(monitor.sessions(stream, "k", "ts"), "sessions")) == [1, 3]
+
+
+def test_driver_side_metadata(tmp_path):
+    from motionloom.plans import config
+
+    assert config.merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}, "d": 4}) == {"a": {"b": 3, "c": 2}, "d": 4}
+    assert config.names("all", ["x", "y"]) == ["x", "y"] and config.names("y,x", ["x", "y"]) == ["x", "y"]
+    assert config.segment("first:3") == (None, 3) and config.segment("0:last") == (0, None) and config.segment(":") == (None, None)
+    assert [r["id"] for r in config.run_product({"p": 1, "q": 2}, {"z": 3})] == ["p+z", "q+z"]
+    assert config.leaked({"sides": {"calibration_episode_ids": [1, 2], "ego_calibration_episodes": [3]}, "calibration": [4]}, {"2", "3", "4"}) == {"2", "4"}
+    assert config.stable_seed(1, "a") == config.stable_seed(1, "a") != config.stable_seed(2, "a")
+    mean, covariance = np.zeros(3), np.eye(3)
+    x = config.sampled_target(mean, covariance, "draw", 5, 1.0)
+    assert np.linalg.norm(x) <= 1 and (config.sampled_target(mean, covariance, "mean", 5, 1.0) == mean).all()
+    with pytest.raises(ValueError):
+        config.trajectory_options({"arm_mode": "single", "sides": ["left", "right"]})
+    (tmp_path / "b").mkdir()
+    assert config.first_existing([tmp_path / "a", tmp_path / "b"]) == tmp_path / "b"
+
+
+def test_manifest_and_catalog(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps({"schema": "m", "schema_version": 1, "episodes": [{"episode_index": 1, "path": "a"}, {"episode_index": 2, "path": "b"}]}))
+    assert {(r.episode_id, r.path) for r in trajectories.read_manifest(spark, str(tmp_path / "m.json")).collect()} == {("1", "a"), ("2", "b")}
+    rows = spark.createDataFrame([(7, 60, 0, 3, 2.0)], "`episode_index` long, length long, `data/chunk_index` long, `data/file_index` long, `videos/head/from_timestamp` double")
+    rows.write.parquet(str(tmp_path / "set" / "meta" / "episodes"))
+    found = trajectories.read_catalog(spark, str(tmp_path / "set"), "data/chunk-{chunk}/file-{file}.parquet", "head").first()
+    assert found.data_file == "data/chunk-000/file-003.parquet" and found.from_timestamp == 2.0
+
+
+def test_grasp_smoothing():
+    assert numeric.grasp_by_distance(np.array([0.2, np.nan, 0.2, 0.0, 0.0, 0.0, 0.0]), 0.1, 1, 0) == [0, 0, 0, 1, 1, 1, 1]
+    assert numeric.grasp_by_state([0, 0, 0, 1, 1, None, 1, 1, 1], 3, 2) == [0, 0, 0, 1, 1, 1, 1, 1, 1]
