@@ -113,7 +113,7 @@ def without_passages(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"), F.col("text").cast("string").alias("text"))
-    found = repeated_spans(keyed).groupBy("doc_id", "tk").agg(F.array_distinct(F.collect_list(F.struct("low", "high"))).alias("_spans"))
+    found = repeated_spans(keyed).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("low", "high")).alias("_spans"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "_spans")
     rows, names, doc_id, text_column = numbered(docs, ("n_sentences", "n_removed"))
     whole = rows.withColumn("_key", text_key(F.col(text_column)))
