@@ -132,20 +132,26 @@ def _blocks(docs: DataFrame, path: str, of_words: bool) -> DataFrame:
 
         split, part, number = splitter(path), TaskContext.get().partitionId(), 0
         code: defaultdict[str, int] = defaultdict(count().__next__)
-        size, ids, coded = 0, [], []
+        size, ids, coded = 0, [], []  # coded: each text's word numbers, by first use
 
         def block() -> Iterator[pa.RecordBatch]:
             if part >> _PART or number >> _NUMBER or len(code) >> _CODE:
                 raise ValueError("more partitions, blocks or words than a place can name")
             name = part << _NUMBER | number
+            # The commonest words get the smallest numbers, which take the fewest bytes.
+            uses = np.bincount(np.concatenate(coded), minlength=len(code))
+            order = np.argsort(-uses, kind="stable")
             if of_words:
-                all_words = list(code)
+                own = list(code)
+                all_words = [own[k] for k in order.tolist()]
                 for at in range(0, len(all_words), 20_000):
                     some = all_words[at : at + 20_000]
                     yield pa.RecordBatch.from_arrays([pa.array((name << _CODE) + np.arange(at, at + len(some))), pa.array(some, pa.string())], ["place", "word"])
             else:
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
                 for at in range(0, len(ids), 2000):
-                    some = coded[at : at + 2000]
+                    some = [packed(rank[c]) for c in coded[at : at + 2000]]
                     columns = [pa.array([name] * len(some), pa.int64()), pa.array([len(code)] * len(some), pa.int64()), pa.array(ids[at : at + 2000], pa.int64()), pa.array(some, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["block", "words", "doc_id", "codes"])
 
@@ -156,11 +162,9 @@ def _blocks(docs: DataFrame, path: str, of_words: bool) -> DataFrame:
                     yield from block()
                     code, size, ids, coded, number = defaultdict(count().__next__), 0, [], [], number + 1
                 found = split(text)
-                numbers = list(map(code.__getitem__, found))
                 size += len(text)
                 ids.append(doc_id)
-                if not of_words:
-                    coded.append(packed(np.array(numbers, np.int64)))
+                coded.append(np.fromiter(map(code.__getitem__, found), np.int32, len(found)))
         if ids:
             yield from block()
 
@@ -168,8 +172,14 @@ def _blocks(docs: DataFrame, path: str, of_words: bool) -> DataFrame:
     return source.mapInArrow(run, "place long, word string" if of_words else "block long, words long, doc_id long, codes binary")
 
 
+def _id_type(path: str) -> str:
+    """The narrowest type of an id."""
+    return "<u2" if len(pieces(path)) <= 1 << 16 else "<u4"
+
+
 def _encode_words(words: DataFrame, path: str) -> DataFrame:
-    """Adds the ids (four bytes each) of each row's word; a distinct word is encoded once."""
+    """Adds the ids of each row's word; a distinct word is encoded once."""
+    kind = _id_type(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode_batch
@@ -178,7 +188,7 @@ def _encode_words(words: DataFrame, path: str) -> DataFrame:
             coded = batch.column(1).dictionary_encode()
             distinct = coded.dictionary.to_pylist()
             known = distinct[:1] == [last] and last is not None
-            ids = [last_ids] * known + [np.array(e.ids, "<u4").tobytes() for e in encode(distinct[known:], add_special_tokens=False)]
+            ids = [last_ids] * known + [np.array(e.ids, kind).tobytes() for e in encode(distinct[known:], add_special_tokens=False)]
             if distinct:
                 last, last_ids = distinct[-1], ids[-1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()).take(coded.indices)], ["place", "ids"])
@@ -192,15 +202,17 @@ def decoded(ids: np.ndarray, piece: list[bytes]) -> str:
     return b"".join(map(piece.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def _join_back(docs: DataFrame, encoded: DataFrame, finish: Callable[[list, list[np.ndarray], Callable], pa.Table], schema: str) -> DataFrame:
+def _join_back(docs: DataFrame, encoded: DataFrame, path: str, finish: Callable[[list, list[np.ndarray], Callable], pa.Table], schema: str) -> DataFrame:
+    kind = np.dtype(_id_type(path))
+
     def run(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch] | pa.Table:
         order = np.argsort(right.column("place").to_numpy(), kind="stable")
         raw = right.column("ids").combine_chunks().take(pa.array(order)) if right.num_rows else pa.array([], pa.binary())
         if isinstance(raw, pa.ChunkedArray):
             raw = raw.combine_chunks()
         each = raw.to_pylist()
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        flat, begin = np.frombuffer(b"".join(each), "<u4"), np.cumsum(size) - size
+        size = np.fromiter(map(len, each), np.int64, len(each)) // kind.itemsize
+        flat, begin = np.frombuffer(b"".join(each), kind), np.cumsum(size) - size
         comma = [",".join(map(str, flat[b : b + n].tolist())) for b, n in zip(begin.tolist(), size.tolist(), strict=True)]
         if any(n != len(size) for n in left.column("words").unique().to_pylist()):
             raise ValueError("a block's documents and words differ; the input changed between two scans")
@@ -227,7 +239,7 @@ def _run(docs: DataFrame, path: str, finish: Callable, schema: str) -> DataFrame
     docs = docs.select("doc_id", "text")
     if not _plain_scan(docs):
         docs = written(docs, "docs")
-    return _join_back(_blocks(docs, path, of_words=False), _encode_words(_blocks(docs, path, of_words=True), path), finish, schema)
+    return _join_back(_blocks(docs, path, of_words=False), _encode_words(_blocks(docs, path, of_words=True), path), path, finish, schema)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
