@@ -1,8 +1,9 @@
 """Operator 5: quality rules by distribution divergence.
 
-A document's histogram of character classes and of common words is compared with the
-histogram of all documents of its language, by Jensen-Shannon distance (base 2, so 0
-to 1). Short documents and small references are not judged. Everything about one
+A document's histograms of character classes, of runs of symbols among its words and of
+common words are compared with those of all documents of its language, by
+Jensen-Shannon distance (base 2, so 0 to 1). Runs of symbols have a bin for each symbol,
+as a symbol between all words is a small share of the characters. Short documents and small references are not judged. Everything about one
 document is computed within its row; only the references are aggregated.
 """
 
@@ -39,10 +40,15 @@ def _left(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, "")).cast("long")
 
 
+def _starting(array: str, first: str) -> Column:
+    """How many of an array's strings start with `first`."""
+    return F.size(F.filter(array, lambda x: x.startswith(first))).cast("long")
+
+
 def features(docs: DataFrame) -> DataFrame:
     """docs with _words, the base figures, character classes and the common words' counts."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    symbols = "[^" + SYMBOLS + "]+"
+    runs = F.array_remove(F.split(F.regexp_replace(text, "[^" + SYMBOLS + "]+", " "), " "), "")
     first = docs.withColumns({"_text": text, "_words": words(F.col("text")), "_plain": F.array_remove(F.split(F.lower(text), "\\P{L}+"), "")})
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(SPACES.replace("[", "[^", 1)))
     grams = F.transform(
@@ -52,7 +58,7 @@ def features(docs: DataFrame) -> DataFrame:
     second = first.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": _left(F.col("_text"), symbols),
+        "_runs": runs,
         "_lines": lines,
         "_grams": F.when(F.size("_words") > 5, F.slice(grams, 1, F.size("_words") - 4)),
         "_upper": _left(F.col("_text"), "\\P{Lu}+"),
@@ -63,6 +69,8 @@ def features(docs: DataFrame) -> DataFrame:
         "_n_plain": F.size("_plain").cast("long"),
     })
     third = second.withColumns({
+        "n_symbols": F.length(F.array_join("_runs", "")).cast("long"),
+        "_marks": F.array(*[_starting("_runs", s) for s in SYMBOLS], F.col("_n_plain")),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_again": F.size(F.array_distinct("_grams")) < F.size("_grams"),
         "_present": F.array_distinct("_common"),
@@ -102,8 +110,8 @@ def quality(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     base_failed: fewer than 10 words, or over a fifth of the words in 5-word windows found
     twice or more. A document that passes goes if it has MIN_WORDS words, its language's
-    reference MIN_REFERENCE, and the distance of its characters is over MAX_CHAR_DISTANCE
-    or that of its words, if MIN_COMMON, over MAX_WORD_DISTANCE; references come from all documents that
+    reference MIN_REFERENCE, and the distance of its characters (the larger one of character
+    classes and of runs of symbols among words) is over MAX_CHAR_DISTANCE or that of its words, if MIN_COMMON, over MAX_WORD_DISTANCE; references come from all documents that
     pass and have MIN_WORDS words.
 
     A null or empty text has no words, so base_failed is true and both distances are
@@ -118,12 +126,13 @@ def quality(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     found = found.withColumn("base_failed", failed)
     names = [f"k{i}" for i in range(len(keep))]
-    found = written(found.select(*names, "_lang", *base, "base_failed", "_counts", "_classes", "_n_plain"), "quality")
+    found = written(found.select(*names, "_lang", *base, "base_failed", "_counts", "_classes", "_marks", "_n_plain"), "quality")
 
     good = found.filter(~F.col("base_failed") & (F.col("n_words") >= MIN_WORDS))
-    sums = [F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
+    bins = {"classes": len(CLASSES), "marks": len(SYMBOLS) + 1}
+    sums = [F.sum(F.col(f"_{b}")[i]).alias(f"{b}{i}") for b, n in bins.items() for i in range(n)]
     chars = good.groupBy("_lang").agg(*sums, F.sum("_n_plain").alias("n"), F.sum("n_words").alias("words"))
-    chars = chars.select("_lang", "n", "words", F.array(*[f"c{i}" for i in range(len(CLASSES))]).alias("ref_classes"))
+    chars = chars.select("_lang", "n", "words", *[F.array(*[f"{b}{i}" for i in range(n)]).alias(f"ref_{b}") for b, n in bins.items()])
     common = good.select("_lang", F.explode("_counts").alias("c")).groupBy("_lang", F.col("c.word").alias("word")).agg(F.sum("c.n").alias("n"))
     common = common.groupBy("_lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("ref_words"))
     reference = written(chars.join(common, "_lang", "left"), "reference").withColumnRenamed("n", "ref_n").withColumnRenamed("words", "ref_size")
@@ -131,7 +140,8 @@ def quality(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     joined = found.join(F.broadcast(reference) if few else reference, "_lang", "left")
 
     share = lambda array, i: F.get(array, i) / F.greatest(F.lit(1.0), _sum(F.transform(array, lambda x: x.cast("double"))))
-    char = sum((_part(share(F.col("_classes"), F.lit(i)), share(F.col("ref_classes"), F.lit(i))) for i in range(len(CLASSES))), F.lit(0.0)) / 2
+    apart = lambda b: sum((_part(share(F.col(f"_{b}"), F.lit(i)), share(F.col(f"ref_{b}"), F.lit(i))) for i in range(bins[b])), F.lit(0.0)) / 2
+    char = F.greatest(apart("classes"), apart("marks"))
     p = lambda c: c["n"] / F.col("_n_plain")
     q = lambda c: F.coalesce(F.try_element_at("ref_words", c["word"]), F.lit(0)) / F.col("ref_n")
     rest_p = 1 - _sum(F.transform("_counts", p))

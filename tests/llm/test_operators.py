@@ -274,6 +274,24 @@ def test_quality_distances_equal_brute_force(docs, texts):
                 assert abs(jsd(p, q) - good[good.doc_id == i].word_distance.iloc[0]) < 1e-6
 
 
+@pytest.mark.parametrize("joint", [" | ", "|", " # "])
+def test_quality_finds_symbols_between_all_words(spark, joint):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k, j: f"{letters[k % 26]}o{letters[j // 8]}e{letters[j % 8]}s{letters[k // 26]}"
+    prose = lambda k: " ".join(f"the {word(k, j)} of" for j in range(50))
+    rows = [(k, prose(k), "en") for k in range(60)]
+    rows += [(100 + k, "\n".join(f"the{joint}{word(k, j)}{joint}of" for j in range(50)), "en") for k in range(4)]
+    found = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(kept == (i < 100) for i, kept in found.items())
+
+
+def test_quality_recall_on_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    judged = quality.quality(docs).filter("not base_failed and n_words >= 50").join(labels, "doc_id").select("quality", "kept").toPandas()
+    assert (~judged[judged.quality == 0].kept).mean() > 0.95 and judged[judged.quality == 1].kept.mean() > 0.99
+
+
 # 6
 
 
