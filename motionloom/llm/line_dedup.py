@@ -9,7 +9,8 @@ round already drops all lines that occur once.
 
 Every suffix of an interval is matched to the interval's first suffix. Neighbouring
 matches along one diagonal chain up to the whole common prefix of the two: a maximal
-repeated run. Copies other than the first are deleted.
+repeated run. Copies other than the first are deleted. Lines of many words can count
+as runs by themselves, whatever stands around them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, numbered, text_key, written
+from .common import SPACES, numbered, text_key, words, written
 
 #: Lines that a run must have.
 MIN_LINES = 2
@@ -29,11 +30,12 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _suffixes(docs: DataFrame) -> DataFrame:
-    """One row for each line with a word: k counts these lines, i all lines; name is the line's id."""
+def _suffixes(docs: DataFrame, least_words: int = 1) -> DataFrame:
+    """One row for each line with so many words: k counts these lines, i all lines; name is the line's id."""
+    counts = lambda x: x.rlike(SPACES.replace("[", "[^", 1)) if least_words == 1 else F.size(words(x)) >= least_words
     ids = F.transform(
         _lines(F.col("text")),
-        lambda x, i: F.struct(i.alias("i"), F.when(x.rlike(SPACES.replace("[", "[^", 1)), F.xxhash64(x)).alias("name")),
+        lambda x, i: F.struct(i.alias("i"), F.when(counts(x), F.xxhash64(x)).alias("name")),
     )
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"), F.filter(ids, lambda s: s["name"].isNotNull()).alias("ids"))
     rows = keyed.select("doc_id", "tk", F.posexplode("ids").alias("k", "s"))
@@ -82,20 +84,30 @@ def repeated_runs(docs: DataFrame, lines: int = MIN_LINES) -> DataFrame:
     return found.select("doc_id", "tk", "first_line", "last_line", "n_lines", "source_doc_id")
 
 
-def without_repeats(docs: DataFrame, lines: int = MIN_LINES) -> DataFrame:
+def repeated_lines(docs: DataFrame, least_words: int) -> DataFrame:
+    """Lines of so many words that copy an earlier one: doc_id, tk, first and last line (the same one)."""
+    shared = written(_shared(_suffixes(docs, least_words)).distinct(), "long")
+    first = shared.groupBy("name").agg(F.min(F.struct(*_AT)).alias("first"))
+    same = F.struct(*_AT).eqNullSafe(F.col("first"))
+    return shared.join(first, "name").filter(~same).select("doc_id", "tk", F.col("i").alias("first_line"), F.col("i").alias("last_line"))
+
+
+def without_repeats(docs: DataFrame, lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """docs with all its columns, its text without repeated runs, n_lines and n_deleted.
 
     A run is `lines` or more successive lines with a word, equal in every character to
     lines at an earlier place (by doc_id, then by line); lines without a word neither
-    break a run nor count, and go only inside a deleted one. Columns named n_lines or
-    n_deleted are replaced.
+    break a run nor count, and go only inside a deleted one. With long_words, a single
+    line of so many words is a run too. Columns named n_lines or n_deleted are replaced.
 
     A null text stays null and an empty one empty (no lines and one line). Rows that
     repeat a doc_id are told apart by their text; rows alike in both are one document
     and get the same result. A row without doc_id comes before all others. An empty
     table gives an empty result.
     """
-    runs = repeated_runs(docs, lines)
+    runs = repeated_runs(docs, lines).select("doc_id", "tk", "first_line", "last_line")
+    if long_words is not None:
+        runs = runs.union(repeated_lines(docs, long_words))
     gone = runs.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("first_line", "last_line")).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("gone").alias("_gone"))
     rows, names, doc_id, text = numbered(docs, ("n_lines", "n_deleted"))

@@ -452,6 +452,27 @@ def test_line_dedup_equals_brute_force(docs, texts, least):
     assert found == wanted
 
 
+@pytest.mark.parametrize("long_words", [20, 40])
+def test_line_dedup_of_long_lines_equals_brute_force(spark, docs, texts, long_words):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [*sorted(texts.items()), (10**6, f"one before\n{passage}\none after"), (10**6 + 1, f"other before\n\n{passage}\nother after"), (10**6 + 2, passage), (10**6 + 3, f"{passage}\n{passage}")]
+    runs, seen, wanted = brute_force_lines(rows, 2), set(), {}
+    for doc, text in rows:
+        kept, left = [], runs[doc].split("\n")
+        for line in text.split("\n"):
+            stays = bool(left) and left[0] == line
+            left = left[stays:]
+            if stays and (len(WORD.findall(line)) < long_words or line not in seen):
+                kept.append(line)
+            seen.add(line)
+        wanted[doc] = "\n".join(kept)
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.text for r in line_dedup.without_repeats(made, long_words=long_words).collect()}
+    assert found == wanted
+    assert [found[10**6 + k] for k in range(4)] == [rows[-4][1], "other before\n\nother after", "", ""]
+    assert line_dedup.without_repeats(made).filter(f"doc_id = {10**6 + 2}").first().n_deleted == 0
+
+
 def test_line_dedup_on_awkward_rows(awkward, empty):
     found = line_dedup.without_repeats(awkward)
     rows = {r.doc_id: r for r in found.collect()}
