@@ -18,7 +18,23 @@ from .common import numbered, text_key, written
 # Forms of address by gender.
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"]
-_SYLLABLES = {"latin": "ba de fi lo mu na pe ri so tu ka le mi no ru va", "cyrillic": "ба де фи ло му на пе ри со ту ка ле ми но ру ва"}
+_SYLLABLES = {
+    "latin": "ba de fi lo mu na pe ri so tu ka le mi no ru va",
+    "cyrillic": "ба де фи ло му на пе ри со ту ка ле ми но ру ва",
+    "greek": "βα δε φι λο μυ να πε ρι σο τυ κα λε μι νο ρυ ζα", "arabic": "با دي فا لو مو نا بي ري سو تو كا لي مي نو رو زا",
+    "hebrew": "בא די פי לו מו נה פה רי סו תו קה לה מי נו רו זה", "han": "安 宝 成 德 方 国 海 建 君 林 明 宁 平 文 永 志",
+    "hiragana": "あ き す て な ふ み ゆ ら を か し つ と に ほ", "katakana": "ア キ ス テ ナ フ ミ ユ ラ ヲ カ シ ツ ト ニ ホ",
+    "hangul": "가 나 다 라 마 바 사 아 자 차 카 타 파 하 도 미", "devanagari": "का ना मा रा ला वि शि दे पे सो तो कु मु रु जा हा",
+}
+ENDINGS = {
+    "cyrillic": ("на", "н"), "greek": ("να", "ς"), "arabic": ("ة", "ن"), "hebrew": ("ית", "ן"), "han": ("娜", "强"),
+    "hiragana": ("こ", "お"), "katakana": ("コ", "オ"), "hangul": ("희", "수"), "devanagari": ("नी", "न"),
+}
+
+LETTERS = {
+    "greek": "αβγδεζηικλμνοπρσ", "arabic": "ابتدرسصطعفقكلمنه", "hebrew": "אבגדהוזחטיכלמנסע", "han": "安宝成德方国海建君林明宁平文永志",
+    "hiragana": "あきすてなふみゆらをかしつとにほ", "katakana": "アキステナフミユラヲカシツトニホ", "hangul": "가나다라마바사아자차카타파하도미", "devanagari": "कनमरलवशदपसतजहगबय",
+}
 
 # Patterns by kind; a form of address needs a capitalised name, all else ignores case.
 PATTERNS = {
@@ -58,21 +74,32 @@ def _filled(bare: Column, stream: Column) -> Column:
         F.when(c.rlike("[0-9]"), at(i, "0123456789135792"))
         .when(c.rlike("[\\p{IsCyrillic}]"), at(i, "абвгдежзиклмнопр"))
         .when(c.rlike("[A-Z]"), at(i, "ABCDEFGHKLMNPRST"))
-        .when(c.rlike("\\p{L}"), at(i, "abcdefghklmnprst"))
-        .otherwise(c)
+        .when(c.rlike("[a-z]"), at(i, "abcdefghklmnprst"))
+        .otherwise(elsewhere(c, i))
     )
+
+    def elsewhere(c: Column, i: Column) -> Column:
+        letter = F.when(c.rlike("\\p{L}"), at(i, "abcdefghklmnprst")).otherwise(c)
+        for script, alphabet in LETTERS.items():
+            letter = F.when(c.rlike(f"\\p{{Is{script.capitalize()}}}"), at(i, alphabet)).otherwise(letter)
+        return letter
+
     return F.array_join(F.transform(F.split(bare, ""), one), "")
 
 
-def _name(bare: Column, gender: Column, stream: Column) -> Column:
-    """A name of four syllables and a gendered ending, in the script of bare."""
+def _name(bare: Column, gender: Column, stream: Column, attempt: Column) -> Column:
+    """A name of four syllables, one more for each later attempt, and a gendered ending, in the script of bare."""
 
     def of(script: str, endings: tuple[str, str]) -> Column:
         table = F.array(*[F.lit(s) for s in _SYLLABLES[script].split()])
-        syllable = lambda k: F.element_at(table, (F.conv(F.substring(stream, k, 1), 16, 10).cast("int") + 1))
-        return F.concat(*[syllable(k) for k in range(1, 5)], F.when(gender == "f", endings[0]).otherwise(endings[1]))
+        syllable = lambda k: F.element_at(table, (F.conv(F.substring(stream, k, F.lit(1)), 16, 10).cast("int") + 1))
+        syllables = F.transform(F.sequence(F.lit(1), F.least(attempt + 4, F.lit(120))), syllable)
+        return F.concat(F.array_join(syllables, ""), F.when(gender == "f", endings[0]).otherwise(endings[1]))
 
-    return F.when(bare.rlike("\\p{IsCyrillic}"), of("cyrillic", ("на", "н"))).otherwise(of("latin", ("na", "n")))
+    name = of("latin", ("na", "n"))
+    for script, endings in ENDINGS.items():
+        name = F.when(bare.rlike(f"\\p{{Is{script.capitalize()}}}"), of(script, endings)).otherwise(name)
+    return name
 
 
 def _drawn(entities: DataFrame, key: str) -> DataFrame:
@@ -83,7 +110,7 @@ def _drawn(entities: DataFrame, key: str) -> DataFrame:
     domain = F.regexp_extract("bare", "(\\.[^.]*)$", 1)  # an address keeps its top-level domain, a number its first two places
     email = F.concat(_filled(F.regexp_replace("bare", "\\.[^.]*$", ""), stream), domain)
     number = F.concat(F.substring("bare", 1, 1), _filled(F.substring("bare", 2, 60), stream))
-    surrogate = F.when(F.col("kind") == "ip", ip).when(F.col("kind") == "email", email).when(F.col("kind") == "name", _name(F.col("bare"), F.col("gender"), stream)).otherwise(number)
+    surrogate = F.when(F.col("kind") == "ip", ip).when(F.col("kind") == "email", email).when(F.col("kind") == "name", _name(F.col("bare"), F.col("gender"), stream, F.col("attempt"))).otherwise(number)
     return entities.withColumn("surrogate", surrogate)
 
 

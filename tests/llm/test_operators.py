@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -443,6 +444,17 @@ def test_pii_surrogates_never_collide(spark):
     assert not set(zip(found.kind, found.surrogate, strict=True)) & {(k, b) for k, _, b in rows}
 
 
+def test_pii_names_are_never_exhausted_and_keep_their_script(spark):
+    rows = spark.range(70_000).selectExpr("'name' AS kind", "'m' AS gender", "concat('x', id) AS bare")
+    found = pii.surrogates(rows, "k")
+    assert found.count() == found.select("surrogate").distinct().count() == 70_000
+    scripts = {"Παπαδόπουλος": "GREEK", "محمد": "ARABIC", "王伟": "CJK", "Иванов": "CYRILLIC", "김민수": "HANGUL", "Smith": "LATIN"}
+    made = spark.createDataFrame([("name", g, b.lower()) for b in scripts for g in "mf"], "kind string, gender string, bare string")
+    for r in pii.surrogates(made, "k").collect():
+        script = next(s for b, s in scripts.items() if b.lower() == r.bare)
+        assert all(unicodedata.name(c).startswith(script) for c in r.surrogate)
+
+
 # 9
 
 
