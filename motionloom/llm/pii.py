@@ -1,7 +1,8 @@
 """Operator 8: personal data replaced by surrogates.
 
 E-mail and IP addresses, phone, card and bank account numbers, and names after a form of
-address are found by pattern. Each distinct value gets one surrogate, drawn from a keyed
+address are found by pattern, and the parts of such a name wherever else they stand in
+the document. Each distinct value gets one surrogate, drawn from a keyed
 hash: digits for digits and letters for letters in the same script, names that fit the
 form of address's gender and the name's script. A surrogate that two values would share,
 or that is itself a value of the corpus, is drawn again, so distinct values stay
@@ -36,31 +37,37 @@ LETTERS = {
     "hiragana": "あきすてなふみゆらをかしつとにほ", "katakana": "アキステナフミユラヲカシツトニホ", "hangul": "가나다라마바사아자차카타파하도미", "devanagari": "कनमरलवशदपसतजहगबय",
 }
 
+# A name's part: a capitalised word or one of a script without capitals, an initial; small words may stand between parts.
+_PART = "(?:\\p{Lu}['’])?[\\p{Lu}\\p{Lo}][\\p{L}\\p{M}]*(?:['’-][\\p{Lu}\\p{Lo}][\\p{L}\\p{M}]*)*"
+_FORMS = "(?:" + "|".join(MALE + FEMALE) + ")\\.? "
+
 # Patterns by kind; a form of address needs a capitalised name, all else ignores case.
 PATTERNS = {
     "email": "[\\p{L}\\p{N}_%+-]+(?:\\.[\\p{L}\\p{N}_%+-]+)*@[\\p{L}\\p{N}-]+(?:\\.[\\p{L}\\p{N}-]+)+",
     "iban": "\\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\\b",
-    "phone": "(?<![\\p{L}\\p{N}])\\+[0-9]{1,3}[ .-]?\\(?[0-9]{2,4}\\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])",
-    "card": "(?<![0-9.])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
+    "phone": "(?<![\\p{L}\\p{N}])\\+[0-9]{1,3}[ .-]?\\(?[0-9]{2,4}\\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
+    "|(?<![\\p{L}\\p{N}.+-])(?:\\([0-9]{2,5}\\) ?[0-9]{3,4}[ .-]?[0-9]{3,5}|0[0-9]{1,4}[ /-][0-9]{3,8}(?:[ -][0-9]{2,5}){0,3}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|[0-9]{3} [0-9]{3} [0-9]{4})(?![0-9])",
+    "card": "(?<![0-9.])(?:[0-9]{4}(?:[ -]?[0-9]{4}){3}(?:[ -]?[0-9]{3})?|3[0-9]{3}[ -]?[0-9]{6}[ -]?[0-9]{4,5}|4[0-9]{12}|[456][0-9]{16,17})(?![0-9])",
     "ip": "(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\\.[0-9])",
-    "name": "(?<!\\p{L})(?:" + "|".join(MALE + FEMALE) + ")\\.? \\p{Lu}\\p{L}+",
+    "ip6": "(?<![\\p{L}\\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}))(?![\\p{L}\\p{N}:])",
+    "name": f"(?<!\\p{{L}}){_FORMS}{_PART}\\.?(?:(?<=\\p{{L}}| \\p{{Lu}}\\.) (?:(?:van|von|der|den|de|da|di|la|le|bin|al) ){{0,2}}{_PART}){{0,3}}(?<!\\.)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must hold for the patterns to be tried at all.
-HINT = "[0-9]{2}|@|" + "|".join(MALE + FEMALE)
+HINT = "[0-9@]|::|" + "|".join(MALE + FEMALE)
 DIGITS = ["phone", "card", "iban"]
 
 
 def _kind(value: Column) -> Column:
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(PATTERNS.items()):
-        kind = F.when(value.rlike(f"^(?:{pattern})$" if name not in ("phone", "card", "ip", "name") else "^(?:" + pattern.replace("(?<![\\p{L}\\p{N}])", "").replace("(?<![0-9.])", "").replace("(?<!\\p{L})", "") + ")$"), name).otherwise(kind)
+        kind = F.when(value.rlike(f"^(?:{pattern})$"), name).otherwise(kind)
     return kind
 
 
 def _bare(kind: Column, value: Column) -> Column:
-    """The value without its format: digits of numbers, the name without its form of address."""
-    return F.when(kind.isin(DIGITS), F.upper(F.regexp_replace(value, "[^\\p{L}\\p{N}]", ""))).when(kind == "name", F.lower(F.regexp_extract(value, "(\\p{L}+)$", 1))).otherwise(F.lower(value))
+    """The value without its format: digits of numbers, a name's part in lower case."""
+    return F.when(kind.isin(DIGITS), F.upper(F.regexp_replace(value, "[^\\p{L}\\p{N}]", ""))).otherwise(F.lower(value))
 
 
 def _address(value: Column) -> Column:
@@ -110,7 +117,8 @@ def _drawn(entities: DataFrame, key: str) -> DataFrame:
     domain = F.regexp_extract("bare", "(\\.[^.]*)$", 1)  # an address keeps its top-level domain, a number its first two places
     email = F.concat(_filled(F.regexp_replace("bare", "\\.[^.]*$", ""), stream), domain)
     number = F.concat(F.substring("bare", 1, 1), _filled(F.substring("bare", 2, 60), stream))
-    surrogate = F.when(F.col("kind") == "ip", ip).when(F.col("kind") == "email", email).when(F.col("kind") == "name", _name(F.col("bare"), F.col("gender"), stream, F.col("attempt"))).otherwise(number)
+    ip6 = F.concat_ws(":", *[F.substring(stream, 4 * k + 61, 4) for k in range(8)])
+    surrogate = F.when(F.col("kind") == "ip", ip).when(F.col("kind") == "ip6", ip6).when(F.col("kind") == "email", email).when(F.col("kind") == "name", _name(F.col("bare"), F.col("gender"), stream, F.col("attempt"))).otherwise(number)
     return entities.withColumn("surrogate", surrogate)
 
 
@@ -145,19 +153,38 @@ def _shown(value: Column, kind: Column, surrogate: Column) -> Column:
     place = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), "[^\\p{L}\\p{N}]", ""))
     number = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[\\p{L}\\p{N}]"), F.substring(surrogate, place(i), F.lit(1))).otherwise(c)), "")
     cased = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("\\p{Lu}"), F.upper(F.substring(surrogate, i + 1, F.lit(1)))).otherwise(F.substring(surrogate, i + 1, F.lit(1)))), "")
-    head = F.regexp_extract(value, "^(\\p{L}+\\.? )", 1)
-    loud = F.regexp_extract(value, "(\\p{L}+)$", 1).rlike("^\\p{Lu}{2,}$")
-    name = F.concat(head, F.when(loud, F.upper(surrogate)).otherwise(F.initcap(surrogate)))
+    name = F.when(value.rlike("^\\p{Lu}{2,}$"), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     return F.when(kind.isin(DIGITS), number).when(kind == "email", cased).when(kind == "name", name).otherwise(surrogate)
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """(doc_id, tk, place, value, kind, gender, bare) of docs' entities."""
+    """(doc_id, tk, place, kind, gender, part, value, bare) of docs' entities, names part by part."""
     hinted = docs.filter(F.col("text").rlike(HINT))
     values = hinted.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"), F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("place", "value"))
-    kind = _kind(F.col("value"))
+    values = values.withColumn("kind", _kind(F.col("value"))).filter("kind is not null")
     gender = F.when(F.col("kind") != "name", "").when(_address(F.col("value")).isin(FEMALE), "f").otherwise("m")
-    return values.withColumn("kind", kind).filter("kind is not null").withColumn("gender", gender).withColumn("bare", _bare(F.col("kind"), F.col("value")))
+    pieces = F.when(F.col("kind") == "name", _parts(F.col("value"))).otherwise(F.array("value"))
+    each = values.withColumn("gender", gender).select("doc_id", "tk", "place", "kind", "gender", F.posexplode(pieces).alias("part", "value"))
+    return each.withColumn("bare", _bare(F.col("kind"), F.col("value")))
+
+
+def _parts(name: Column) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(name, "^" + _FORMS, ""), F.lit(_PART), F.lit(0))
+
+
+def _rewritten(value: Column, place: Column) -> Column:
+    """value with what _shown has for its place, for a name part by part."""
+    at = lambda j: F.try_element_at("_shown", F.struct(place.alias("place"), j.alias("part")))
+    rest = F.regexp_replace(value, "^" + _FORMS, "")
+    named = F.transform(F.split(rest, _PART), lambda gap, j: F.concat(gap, F.coalesce(at(j), F.get(_parts(value), j), F.lit(""))))
+    return F.when(value.rlike("^" + _FORMS), F.concat(F.regexp_extract(value, "^" + _FORMS, 0), F.array_join(named, ""))).otherwise(F.coalesce(at(F.lit(0)), value))
+
+
+def _mentions(text: Column) -> Column:
+    """text with the surrogates of the document's names, which stand in _names, where a name's part stands alone."""
+    edge = "(?![\\p{L}\\p{N}])"
+    swap = lambda t, n: F.regexp_replace(t, F.concat(F.lit("(?<![\\p{L}\\p{N}])\\Q"), n["value"], F.lit("\\E" + edge)), n["shown"])
+    return F.when(F.size("_names") > 0, F.aggregate("_names", text, swap)).otherwise(text)
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
@@ -172,17 +199,20 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     found = written(_found(rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).distinct(), "entities")
     mapped = surrogates(found.select("kind", "gender", "bare").distinct(), key)
     shown = found.join(mapped, ["kind", "gender", "bare"])
-    shown = shown.select("doc_id", "tk", "place", _shown(F.col("value"), F.col("kind"), F.col("surrogate")).alias("shown"))
-    per_doc = shown.groupBy("doc_id", "tk").agg(F.map_from_entries(F.collect_list(F.struct("place", "shown"))).alias("_shown"))
-    per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "_shown")
+    shown = shown.select("doc_id", "tk", "place", "part", "kind", "gender", "value", _shown(F.col("value"), F.col("kind"), F.col("surrogate")).alias("shown"))
+    places = F.map_from_entries(F.collect_list(F.struct(F.struct("place", "part"), "shown")))
+    alone = (F.col("kind") == "name") & (F.length("value") > 1)
+    names_of = F.sort_array(F.collect_set(F.when(alone, F.struct((-F.length("value")).alias("size"), "value", "gender", "shown"))))
+    per_doc = shown.groupBy("doc_id", "tk").agg(places.alias("_shown"), names_of.alias("_names"))
+    per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "_shown", "_names")
 
     hinted = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tk"))
     touched = rows.filter(hinted).withColumn("_key", text_key(F.col(text))).join(per_doc.hint("shuffle_hash"), same, "left")
     touched = touched.withColumns({"_parts": F.split(text, ANY), "_values": F.regexp_extract_all(text, F.lit(ANY), F.lit(0))})
-    pieces = F.transform(F.col("_parts"), lambda p, i: F.concat(p, F.coalesce(F.try_element_at("_shown", i), F.get("_values", i), F.lit(""))))
+    pieces = F.transform(F.col("_parts"), lambda p, i: F.concat(_mentions(p), F.coalesce(_rewritten(F.get("_values", i), i), F.lit(""))))
     new = F.when(F.col("_shown").isNull(), F.col(text)).otherwise(F.array_join(pieces, ""))
     columns = lambda t: [t if f"c{i}" == text else F.col(f"c{i}") for i in range(len(names))]
-    changed = touched.select(*columns(new), F.when(F.col("_shown").isNull(), 0).otherwise(F.size("_shown")).cast("long"))
+    changed = touched.select(*columns(new), F.when(F.col("_shown").isNull(), 0).otherwise(F.size(F.array_distinct(F.transform(F.map_keys("_shown"), lambda k: k["place"])))).cast("long"))
     rest = rows.filter(~hinted).select(*columns(F.col(text)), F.lit(0).cast("long"))
     return changed.toDF(*names, "n_entities").union(rest.toDF(*names, "n_entities"))

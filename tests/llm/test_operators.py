@@ -444,6 +444,22 @@ def test_pii_surrogates_never_collide(spark):
     assert not set(zip(found.kind, found.surrogate, strict=True)) & {(k, b) for k, _, b in rows}
 
 
+def test_pii_whole_names_later_mentions_and_other_formats(spark):
+    gone = {
+        1: ("ask 8.8.8.8", ["8.8.8.8"]),
+        2: ("Mr John Smith and Mrs. O'Brien came. Later Smith told O'Brien and John.", ["John", "Smith", "O'Brien", "Brien"]),
+        3: ("call (030) 123-4567 or 030 1234567 or 555-123-4567", ["123-4567", "1234567"]),
+        4: ("amex 3782 822463 10005, visa 4222222222222", ["822463", "4222222222222"]),
+        5: ("host 2001:db8::ff00:42:8329 up", ["2001:db8", "8329"]),
+    }
+    rows = [(i, text) for i, (text, _) in gone.items()]
+    found = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, (_, values) in gone.items():
+        assert not any(v in found[i].text for v in values), found[i].text
+    m = re.fullmatch(r"Mr (\w+) (\w+) and Mrs\. (\w+) came\. Later (\w+) told (\w+) and (\w+)\.", found[2].text)
+    assert (m[1], m[2], m[3]) == (m[6], m[4], m[5]) and found[2].n_entities == 2
+
+
 def test_pii_names_are_never_exhausted_and_keep_their_script(spark):
     rows = spark.range(70_000).selectExpr("'name' AS kind", "'m' AS gender", "concat('x', id) AS bare")
     found = pii.surrogates(rows, "k")
