@@ -22,13 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
         known = spark.sparkContext.getCheckpointDir()
         folder = known.rsplit("/", 1)[0] if known else None
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="motionloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Tables written by this driver, which forget() removes.
+_paths: list[str] = []
+
+
 def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/motionloom/{spark.sparkContext.applicationId}"
 
@@ -38,23 +42,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     A written table survives the loss of executors, and costs one pass where a
     reliable checkpoint() would compute the plan twice. Results read these tables until
-    they are written themselves; forget() removes them.
+    they are written themselves; then forget() removes them.
     """
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Remove all tables that this application has written with written()."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def mark() -> int:
+    """How many tables have been written so far; for forget()."""
+    return len(_paths)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what an Arrow batch of long texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def forget(spark: SparkSession, since: int = 0) -> None:
+    """Remove the tables written with written() since a mark(), once the results that read them are written."""
+    while len(_paths) > since:
+        remove(spark, _paths.pop())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, small_batches, written
+from .common import bounded, written
 from .components import components
 from .wordhash import mixed, shingle_sets
 
@@ -211,7 +211,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     null and it is kept. Rows that repeat a doc_id are one vertex, linked through any
     of their texts. An empty table gives an empty result; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     least = percent / 100 - MARGIN
     sketch = written(sketches(docs, shingle), "sketches")
     real = sketch.filter("doc_id is not null and n_shingles > 0")

@@ -1,12 +1,14 @@
 """Operator 4: repeated passages, by sliding sentence spans.
 
-Every run of several consecutive sentences is hashed: the shortest runs of SENTENCES or
-more with MIN_WORDS words that start, or end, at each sentence, and single sentences of
-LONG words. Hashes are joined over all documents; sentences that a span covers which
-is not the first of its hash (by doc_id, then place) are removed.
-
-Runs that start at a sentence and runs that end at one are both taken, so that the
-sentences at either end of a repeated passage are covered whatever stands around it.
+A span is a run of SENTENCES or more consecutive sentences with MIN_WORDS words, or one
+sentence of LONG words. Sentences that a span covers which is not the first of its words
+(by doc_id, then place) are removed.
+
+Of all these runs only the shortest that start, and the shortest that end, at each
+sentence need hashes. If a run repeats an earlier one, so does every run inside it, and
+each of its sentences lies in a shortest one inside it: one that starts or ends at the
+sentence, or else (few words on either side) one that starts at the run's beginning. So
+what is removed is what all runs of all lengths would remove, from two hashes a sentence.
 """
 
 from __future__ import annotations
@@ -19,13 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, small_batches, text_key, written
+from .common import numbered, text_key, written
 from .wordhash import mixed, word_hashes
 
-SENTENCES, MIN_WORDS, LONG = 2, 12, 40
+SENTENCES, MIN_WORDS, LONG = 2, 20, 40
 
-#: A sentence ends after its mark, or at a line's end; what follows up to the next one belongs to it.
-_END = re.compile(rb"(?:[.!?\xe2\x80\xa6]+[\"'\xc2\xbb)\]]*(?=[\x09-\x0d\x20])|(?=\n)|$)[\x09-\x0d\x20]*")
+#: A sentence ends after its marks and what closes it (brackets, quotation marks) if white space
+#: follows, after a full-width mark, or at a line's end; white space up to the next one belongs
+#: to it. Signs beyond ASCII are written as their UTF-8 sequences.
+_CLOSE = rb"(?:[\"')\]]|\xc2\xbb|\xe2\x80[\x99\x9c\x9d])*"
+_END = re.compile(
+    rb"(?:(?:[.!?]|\xe2\x80\xa6)+" + _CLOSE + rb"(?=[\x09-\x0d\x20])"
+    rb"|(?:\xe3\x80\x82|\xef\xbc[\x81\x9f])+" + _CLOSE + rb"|(?=\n)|$)[\x09-\x0d\x20]*"
+)
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -93,11 +101,16 @@ def _spans(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, tk, low, high): spans of docs (doc_id, tk, text) whose hash stands at an earlier place."""
+    """(doc_id, tk, low, high): spans of docs (doc_id, tk, text) whose hash stands at an earlier place.
+
+    Counts and first places are aggregated before the shuffle, and written, so that the
+    spans meet them in a plain join: a hash that very many documents hold is one row on
+    the one side, and adaptive execution splits it on the other.
+    """
     all_spans = written(_spans(docs), "spans")
     place = F.struct("doc_id", "tk", "low", "high")
     first = all_spans.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
-    return all_spans.join(first, "h").filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "tk", "low", "high")
+    return all_spans.join(written(first, "first"), "h").filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "tk", "low", "high")
 
 
 def without_passages(docs: DataFrame) -> DataFrame:
@@ -107,18 +120,18 @@ def without_passages(docs: DataFrame) -> DataFrame:
     text stays as it is, and a text without repeats is untouched. Columns named
     n_sentences or n_removed are replaced.
 
-    A null text stays null (no sentences), an empty one empty. Rows that repeat a doc_id
-    are told apart by their text; rows alike in both are one document and get the same
-    result. A row without doc_id comes first. An empty table gives an empty result.
+    A null text stays null (no sentences), an empty one empty. A very long text is taken
+    whole; a task holds it and its hashes, two for each sentence. Rows that repeat a
+    doc_id are told apart by their text; rows alike in both are one document and get the
+    same result. A row without doc_id comes first. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"), F.col("text").cast("string").alias("text"))
     found = repeated_spans(keyed).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("low", "high")).alias("_spans"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "_spans")
     rows, names, doc_id, text_column = numbered(docs, ("n_sentences", "n_removed"))
     whole = rows.withColumn("_key", text_key(F.col(text_column)))
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tk"))
-    joined = whole.join(found.hint("shuffle_hash"), same, "left").select(*rows.columns, "_spans")
+    joined = whole.join(found, same, "left").select(*rows.columns, "_spans")
     at, size, inner = names.index("text"), len(names), list(rows.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

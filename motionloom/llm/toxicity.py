@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 LAMBDA, GAPS, POWER = 0.6, 2, 4
 #: Kernel values below this count as none; before the power is taken.
@@ -249,7 +248,6 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     a null doc_id stays null, an empty table gives an empty result; other columns are
     ignored.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

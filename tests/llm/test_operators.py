@@ -163,38 +163,54 @@ def test_decontamination_equals_brute_force(spark, sf, docs, texts, awkward, emp
 # 4
 
 
+def split_sentences(text):
+    """Sentences by a walk over characters, apart from the operator's pattern over bytes."""
+    cuts, i, n, space = [0], 0, len(text), "\t\n\v\f\r "
+    run = lambda k, chars: next((m for m in range(k, n) if text[m] not in chars), n)
+    while i < n:
+        end = None
+        for marks, bare in ((".!?\u2026", False), ("\u3002\uff01\uff1f", True)):
+            k = run(i, marks)
+            if k > i and end is None:
+                m = run(k, "\"')]\u00bb\u2019\u201c\u201d")
+                if bare or (m < n and text[m] in space):
+                    end = m
+        if end is None and text[i] == "\n":
+            end = i
+        if end is None:
+            i += 1
+            continue
+        i = run(end, space)
+        if i:
+            cuts.append(i)
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], n], strict=True) if a < b]
+
+
 def brute_force_spans(rows):
-    """rows of (doc_id, text): the sentences that stay, by the operator's span rule with words instead of hashes."""
-    found = []
+    """rows of (doc_id, text): what stays if all runs of two and more sentences, of any length, are compared word by word."""
+    found, first = [], {}
     for doc, text in rows:
-        raw = (text or "").encode()
-        cuts = span_dedup.sentences(raw).tolist()
-        words = [tuple(raw[a:b].lower().split()) for a, b in zip(cuts, cuts[1:], strict=False)]
-        spans = set()
-        n = len(words)
-        for i in range(n):
-            for j in range(i + 1, n):
-                if sum(map(len, words[i : j + 1])) >= span_dedup.MIN_WORDS:
-                    if words[i]:
-                        spans.add((i, j))
-                    break
-            for j in range(i - 1, -1, -1):
-                if sum(map(len, words[j : i + 1])) >= span_dedup.MIN_WORDS:
-                    if words[i]:
-                        spans.add((j, i))
-                    break
+        parts = split_sentences(text or "")
+        words = [tuple(p.encode().lower().split()) for p in parts]
+        spans = {}
+        for i in range(len(words)):
             if len(words[i]) >= span_dedup.LONG:
-                spans.add((i, i))
-        found.append((doc, raw, cuts, {(a, b): sum(words[a : b + 1], ()) for a, b in spans}))
-    first = {}
-    for doc, _, _, spans in found:
+                spans[i, i] = words[i]
+            run = words[i]
+            for j in range(i + 1, len(words)):
+                run = run + words[j]
+                if words[i] and words[j] and len(run) >= span_dedup.MIN_WORDS:
+                    spans[i, j] = run
+                if len(run) > 400:  # longer runs repeat only what shorter ones repeat
+                    break
+        found.append((doc, parts, spans))
         for at, name in spans.items():
             place = (doc, *at)
             first[name] = min(first.get(name, place), place)
     out = {}
-    for doc, raw, cuts, spans in found:
+    for doc, parts, spans in found:
         gone = {k for at, name in spans.items() if first[name] != (doc, *at) for k in range(at[0], at[1] + 1)}
-        out[doc] = b"".join(raw[a:b] for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if k not in gone).decode()
+        out[doc] = "".join(p for k, p in enumerate(parts) if k not in gone)
     return out
 
 
@@ -216,6 +232,24 @@ def test_span_dedup_finds_a_passage_between_other_sentences(spark):
     assert found[2] == "Quite another beginning stands here. Then more."
 
 
+def test_span_dedup_splits_like_the_walk_in_any_script(spark):
+    odd = [
+        "\u043c\u0438\u0440 \u043c\u043e\u0439 \u0434\u043e\u043c. \u041e\u043d \u0440\u0430\u0434\u2026 \u0414\u0430!", "f\u00e6r\u00f8sk l\u00e6 og mer. \u00c5 v\u00e6re.", "\u00c0 toi. \u00abOui.\u00bb Non\u2026",
+        "\u4f60\u597d\u3002\u4e16\u754c\uff01\u518d\u89c1", "a.b c... d?! e.) f.\u201d g", "\n\nx\n y.", "", " ", "...", ". .",
+    ]
+    for text in odd:
+        raw = text.encode()
+        cuts = span_dedup.sentences(raw).tolist()
+        assert [raw[a:b].decode() for a, b in zip(cuts, cuts[1:], strict=False)] == split_sentences(text), text
+
+
+def test_span_dedup_of_a_span_that_most_documents_hold(spark):
+    passage = "This line stands in very many of them. It has two sentences, and more than twenty words in all, so that it is a passage."
+    rows = [(i, f"{passage} Own words number {i} here.") for i in range(3000)]
+    found = span_dedup.without_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert all(r.text == (rows[0][1] if r.doc_id == 0 else f"Own words number {r.doc_id} here.") for r in found)
+
+
 # 5
 
 
