@@ -37,8 +37,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document; the model never sees a held-out label."""
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(*toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
