@@ -8,6 +8,13 @@ ROWS registers give the candidates, the similarity is estimated jointly by maxim
 likelihood from the counts of larger, smaller and equal registers, and what passes is
 confirmed on the full sets.
 
+A band's members all meet its least one. If they are then in several components, the
+others meet too: in one task if they are few; else by prefixes. Sets of similarity t that
+are sorted alike share an element among their first (1 - t) * n + 1. Sorted by rarity,
+these are a text's own shingles and not those of a template that very many texts share, so
+unlike texts part at once. What even then is in a large group is compared by registers, a
+block against a block in a task, and only pairs over the estimate fetch their full sets.
+
 At a similarity of exactly 0.8 no band agrees with probability (1 - 0.8**7)**48 = 1e-5,
 and the estimate, whose standard error is 0.022 there, falls short by MARGIN with
 probability 2e-5; a link can be missed in no other way.
@@ -15,6 +22,7 @@ probability 2e-5; a link can be missed in no other way.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +39,12 @@ M = BANDS * ROWS
 B, A, Q = 1.001, 20.0, 65534
 #: A pair goes on to the full sets if its estimate is at least the threshold less this (over four standard errors).
 MARGIN = 0.09
-#: Members of a bucket that one task holds.
-BLOCK = 512
+#: Members of a bucket that one task compares (of each of two sides), and those that meet by a join.
+BLOCK, FEW = 512, 32
+#: Bins of the histogram that tells rare shingles from common ones.
+BINS = 1 << 20
 
-KEYS = ["n_shingles", "set_sum", "set_xor"]
+KEYS = ["n_shingles", "set_name"]
 _MULTIPLIERS = mixed(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -78,21 +88,20 @@ def estimates(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, size of the shingle set, two sums that name the set, registers."""
+    """doc_id, size of the shingle set, a digest of 128 bits that names the set, registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, total, xor, regs = [], [], [], []
+            n, names, regs = [], [], []
             for s in shingle_sets(batch.column(1), shingle):
                 n.append(len(s))
-                total.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
-                xor.append(int(np.bitwise_xor.reduce(mixed(s)).astype(np.int64)) if len(s) else 0)
+                names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 regs.append(registers(s).tobytes())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(xor, pa.int64()), pa.array(regs, pa.binary())]
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(regs, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *KEYS, "regs"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, set_sum long, set_xor long, regs binary")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, set_name binary, regs binary")
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -150,27 +159,33 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _rest(members: DataFrame, least: float, percent: int) -> DataFrame:
-    """Links (a, b) between different components within the given buckets.
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members (h, node, ...) of groups h in several components, with label; main, the label most of them have, a member of it, and their number."""
+    seen = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    shares = seen.groupBy("h", "label").agg(F.count("*").alias("c"), F.min("node").alias("center")).groupBy("h")
+    groups = shares.agg(F.max(F.struct("c", "label", "center")).alias("top"), F.count("*").alias("labels"), F.sum("c").alias("members")).filter("labels > 1")
+    groups = written(groups.select("h", F.col("top.label").alias("main"), F.col("top.center").alias("center"), "members"), "groups")
+    return written(seen.join(bounded(groups), "h"), "mixed")
+
 
-    members has h, node, label, main, n, regs and s. A bucket's members outside its main
-    component meet all its members, in blocks of about BLOCK members, and are compared
-    on the full sets in the task itself, likeliest first, until one link to each other
-    component is found. So no pairs are emitted but links, at most one for each member,
-    block and component, and a task holds one block and the bucket's outsiders.
+def _met(members: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) between components within buckets of BLOCK members at most.
+
+    members has h, node, label, main, n, regs and s. In a task, members outside the main
+    component meet all others, likeliest first, on the full sets, until one link to each
+    other component is found. Of the bands that a pair shares only the first takes it.
     """
 
     def run(group: pa.Table) -> pa.Table:
         band = int(group.column("h")[0].as_py()) & 63
-        node, label, n, outside = (group.column(x).to_numpy() for x in ("node", "label", "n", "outside"))
+        node, label, main, n = (group.column(x).to_numpy() for x in ("node", "label", "main", "n"))
         regs = _regs(group.column("regs"))
         each = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("s")]
-        left, right = np.flatnonzero(outside == 1), np.flatnonzero(outside == 0)
         pairs_i, pairs_j = [], []
-        for i in left:
-            same = regs[right] == regs[i]
-            agree = same.reshape(len(right), BANDS, ROWS).all(axis=2)
-            j = right[(label[right] != label[i]) & (agree.argmax(axis=1) == band) & (same.sum(axis=1) >= (least - 0.1) * M)]
+        for i in np.flatnonzero(label != main):
+            same = regs == regs[i]
+            agree = same.reshape(len(regs), BANDS, ROWS).all(axis=2)
+            j = np.flatnonzero((label != label[i]) & (agree.argmax(axis=1) == band) & (same.sum(axis=1) >= (least - 0.1) * M))
             pairs_i.append(np.full(len(j), i))
             pairs_j.append(j)
         i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pairs_i, pairs_j))
@@ -187,12 +202,113 @@ def _rest(members: DataFrame, least: float, percent: int) -> DataFrame:
                     out.append((int(node[x]), int(node[y])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    many = F.ceil(F.col("members") / BLOCK).cast("int")
-    columns = ["h", "node", "label", "n", "regs", "s", "block", "outside"]
-    inside = members.withColumn("block", F.pmod(F.xxhash64("node"), many).cast("int")).withColumn("outside", F.lit(0))
-    outside = members.filter("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0), many - 1))).withColumn("outside", F.lit(1))
-    dealt = inside.select(*columns).union(outside.select(*columns))
-    return dealt.groupBy("h", "block").applyInArrow(run, "a long, b long").distinct()
+    return members.groupBy("h").applyInArrow(run, "a long, b long").distinct()
+
+
+def _prefixes(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(h, node, place, n): the rarest shingles h of each node's set of n, as many as sets of that similarity must share one of; written.
+
+    A histogram of BINS bins over all the nodes' shingles tells how rare each is; any one
+    order loses nothing, so bins that hold several shingles do no harm.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BINS, np.int64)
+        for batch in batches:
+            for x in batch.column(1):
+                total += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(44)).astype(np.int64), minlength=BINS)
+        bins = np.flatnonzero(total)
+        for k in range(0, len(bins), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(bins[k : k + 50_000]), pa.array(total[bins[k : k + 50_000]])], ["bin", "n"])
+
+    sets = _sets(nodes.select(F.col("node").alias("doc_id")), docs, shingle)
+    found = sets.mapInArrow(counted, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # BINS rows at most
+    often = np.zeros(BINS, np.int32)
+    often[found.column("bin").to_numpy()] = found.column("n").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[np.ndarray] = []
+            for node, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                size = len(s) + (-percent * len(s)) // 100 + 1
+                first = s[np.lexsort((s, often[(s >> np.uint64(44)).astype(np.int64)]))[:size]]
+                found.append(np.stack([first.view(np.int64), np.full(size, node), np.arange(size), np.full(size, len(s))]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], ["h", "node", "place", "n"])
+
+    return written(sets.mapInArrow(run, "h long, node long, place long, n long"), "prefixes")
+
+
+def _pairs_of_few(groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components within groups of FEW members at most, if sizes and places allow the similarity."""
+    side = lambda x: groups.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "place", "n")])
+    both = side("a").join(side("b"), "h").filter("node_a < node_b and label_a <> label_b")
+    rest = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) - 1 + F.least("place_a", "place_b")
+    able = (100 + percent) * rest >= percent * (F.col("n_a") + F.col("n_b"))
+    return both.filter(able).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _pairs_of_blocks(groups: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different components over the estimate within groups, those outside the main component against all, a block against a block in a task."""
+
+    def run(group: pa.Table) -> pa.Table:
+        node, label, n, outside = (group.column(x).to_numpy() for x in ("node", "label", "n", "outside"))
+        regs = _regs(group.column("regs"))
+        right = np.flatnonzero(outside == 0)
+        out_a, out_b = [], []
+        for i in np.flatnonzero(outside == 1):
+            j = right[(label[right] != label[i]) & ((regs[right] == regs[i]).sum(axis=1) >= (least - 0.1) * M)]
+            if len(j):
+                j = j[estimates(np.broadcast_to(regs[i], (len(j), M)), regs[j], np.full(len(j), float(n[i])), n[j].astype(float)) >= least]
+            out_a.append(np.minimum(node[i], node[j]))
+            out_b.append(np.maximum(node[i], node[j]))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    outsiders = groups.filter("label <> main").groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("lefts"))
+    sized = groups.select("h", "node", "label", "main", F.ceil(F.col("members") / BLOCK).cast("int").alias("rights")).join(bounded(written(outsiders, "outsiders")), "h")
+    place = lambda many: F.pmod(F.xxhash64("node"), F.col(many)).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    inside = sized.select("h", "node", "label", every("lefts").alias("left"), place("rights").alias("right"), F.lit(0).alias("outside"))
+    outside = sized.filter("label <> main").select("h", "node", "label", place("lefts").alias("left"), every("rights").alias("right"), F.lit(1).alias("outside"))
+    dealt = inside.union(outside).join(classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "regs"), "node")
+    return dealt.groupBy("h", "left", "right").applyInArrow(run, "a long, b long").distinct()
+
+
+def _linked(links: DataFrame) -> DataFrame:
+    return written(components(links.toDF("u", "v")), "labels")
+
+
+def _completed(held: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, label) after links between members of a bucket, other than its center, that are still in different components.
+
+    held has h and node, links a and b.
+    """
+    least = percent / 100 - MARGIN
+    labels = _linked(links)
+    mixed_ = _mixed(held, labels)
+    if mixed_.isEmpty():
+        return labels
+    small, large = mixed_.filter(F.col("members") <= BLOCK), mixed_.filter(F.col("members") > BLOCK)
+    nodes = written(small.select("node").distinct(), "nodes")
+    sets = _sets(nodes.withColumnRenamed("node", "doc_id"), docs, shingle)
+    whole = classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "regs").join(bounded(nodes), "node", "left_semi")
+    whole = whole.join(sets.withColumnRenamed("doc_id", "node"), "node")
+    links = written(links.union(_met(small.join(whole, "node"), least, percent)), "links")
+    if large.isEmpty():
+        return _linked(links)
+
+    sure = lambda pairs: written(confirmed(written(_likely(written(pairs, "pairs"), classes, least), "pairs"), docs, shingle, percent), "links")
+    prefixes = _prefixes(large.select("node").distinct(), docs, shingle, percent)
+    groups = _mixed(prefixes, _linked(links))
+    wide = groups.filter((F.col("members") > BLOCK) & (F.col("label") != F.col("main")))
+    if not wide.isEmpty():  # first against one of the main component
+        links = written(links.union(sure(wide.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())), "links")
+        groups = _mixed(prefixes, _linked(links))
+    pairs = _pairs_of_few(groups.filter(F.col("members") <= FEW), percent)
+    pairs = pairs.union(_pairs_of_blocks(groups.filter(F.col("members") > FEW), classes, least)).distinct()
+    return _linked(links.union(sure(pairs)))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -202,11 +318,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     100 * |intersection| >= percent * |union| are linked; component_id is the least
     doc_id reachable and kept is doc_id = component_id.
 
-    Copies collapse to one class by the name of their set before any comparison. In a
-    band's bucket all members are compared with its least one; only buckets that then
-    still hold several components are compared further, outsiders with all members.
+    Copies collapse to one class by the digest of their set before any comparison.
 
-    A null or empty text, or one without words, has no shingles and is linked with
+    A very long text is taken whole; a task holds its shingles. A null or empty text, or one without words, has no shingles and is linked with
     nothing. A row without doc_id is linked with nothing either: its component_id is
     null and it is kept. Rows that repeat a doc_id are one vertex, linked through any
     of their texts. An empty table gives an empty result; other columns are ignored.
@@ -230,21 +344,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("doc_id", "a")
         repeated = members.join(several, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
         links = written(links.union(repeated), "links")
-    labels = written(components(links.toDF("u", "v")), "labels")
-
-    # Buckets of three and more whose members, but for the center, are in several components.
-    seen = held.filter("members > 2").select("h", "members", F.col("rep").alias("node"))
-    seen = seen.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    shares = seen.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h")
-    mixed_ = shares.agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
-    seen = written(seen.join(mixed_.select("h", F.col("top.label").alias("main")), "h"), "seen")
-    if not seen.isEmpty():
-        nodes = written(seen.select("node").distinct(), "nodes")
-        sets = _sets(nodes.withColumnRenamed("node", "doc_id"), docs, shingle)
-        whole = classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "regs").join(bounded(nodes), "node", "left_semi")
-        whole = whole.join(sets.withColumnRenamed("doc_id", "node"), "node")
-        more = written(_rest(seen.join(whole, "node"), least, percent), "rest")
-        labels = written(components(links.union(more).toDF("u", "v")), "labels")
+    labels = _completed(held.filter("members > 2").select("h", F.col("rep").alias("node")), links, classes, docs, shingle, percent)
 
     owned = classes.select(*KEYS, "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     owned = owned.select(*KEYS, F.coalesce("label", "rep").alias("label"))
