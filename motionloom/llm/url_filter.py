@@ -11,12 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded, written
 
 DAMPING = 0.85
 ROUNDS = 20
-#: Rounds between two written tables.
-STEP = 5
 #: Share of a host's distrust in trust and distrust from which on it is blocked.
 MAX_DISTRUST = 0.5
 
@@ -41,9 +39,13 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return pages.withColumns({"rule": rule, "ruled": verdict})
 
 
+#: A host after `http://` or `https://` anywhere in a page, or after `//` at the start of an attribute or a refresh.
+_LINK = "(?i)(?:https?://|(?:=\\s{0,9}[\"']?|;\\s{0,9}url=)\\s{0,9}//)(?:[^/?#@\"'\\s<>]{0,99}@)?([^/?#:@\"'\\s<>&,;()]+)"
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): links between different hosts in the pages' html, absolute or protocol-relative."""
-    links = F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit("(?i)(?:href|src)\\s*=\\s*[\"']?\\s*(?:https?:)?//([^/?#\"'\\s>]+)"), F.lit(1))
+    """(src, dst, n): pages of host src that link to, or name a url of, another host dst."""
+    links = F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(_LINK), F.lit(1))
     each = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(links, F.lower))).alias("dst"))
     return each.filter("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
@@ -51,8 +53,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(host, rank) by rounds of PageRank over edges (src, dst, n), restarting at seeds (host, weight).
 
-    Weights are scaled to a sum of one; a host without outgoing edges passes its rank
-    back to the seeds. Without edges the ranks are the seeds' weights.
+    Weights are scaled to a sum of one. In each round a host passes DAMPING of its rank
+    along its edges; all that is not passed on, which includes the whole rank of hosts
+    without outgoing edges, goes back to the seeds, so the ranks always add up to one.
+    Without edges the ranks are the seeds' weights.
+
+    A round joins the ranks that came along edges, and the seeds' share, as they are (the
+    step is linear), so both sides of the join are plain tables and adaptive execution
+    can split a hub's edges.
     """
     weight = seeds.agg(F.sum("weight")).first()[0] or 0.0
     if not weight:
@@ -60,18 +68,15 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS)
     start = written(seeds.select("host", (F.col("weight") / weight).alias("rank")), "seeds")
     if edges.isEmpty():
         return start
-    total = edges.groupBy("src").agg(F.sum("n").alias("out"))
-    share = written(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")), "edges")
+    total = written(edges.groupBy("src").agg(F.sum("n").alias("out")), "out")
+    share = written(edges.join(bounded(total), "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")), "shares")
     now = start
-    for k in range(1, rounds + 1):
-        moved = now.join(share, now.host == share.src).select(F.col("dst").alias("host"), (F.lit(DAMPING) * F.col("rank") * F.col("share")).alias("rank"))
-        kept = start.select("host", ((1 - DAMPING) * F.col("rank")).alias("rank"))
-        now = moved.union(kept).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % STEP == 0 or k == rounds:
-            now = written(now, "rank")
-            lost = 1 - (now.agg(F.sum("rank")).first()[0] or 0.0)  # from hosts without outgoing edges
-            now = now.union(start.select("host", (F.lit(lost) * F.col("rank")).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
-    return now
+    for _ in range(rounds):
+        along = now.join(share, now.host == share.src).groupBy(F.col("dst").alias("host"))
+        passed = written(along.agg((DAMPING * F.sum(F.col("rank") * F.col("share"))).alias("rank")), "rank")
+        back = 1 - (passed.agg(F.sum("rank")).first()[0] or 0.0)
+        now = passed.union(start.select("host", F.lit(back) * F.col("rank")))
+    return now.groupBy("host").agg(F.sum("rank").alias("rank"))
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]], max_distrust: float = MAX_DISTRUST) -> DataFrame:
@@ -83,7 +88,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], max_distrust: fl
     allowed.
 
     A null url, or one without `://`, has an empty host and path, which no rule fits, and
-    is allowed. Null html has no links. Repeated rows give repeated rows; an empty table
+    is allowed. Null html has no links; very long html is searched whole. Repeated rows give repeated rows; an empty table
     gives an empty result; other columns are ignored.
     """
     rows = pages.select("page_id", "html", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
@@ -96,8 +101,8 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], max_distrust: fl
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = personalised_rank(back, seeds.filter("b > 0").select("host", F.col("b").alias("weight")))
     both = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full_outer")
-    both = both.fillna(0.0, ["trust", "distrust"])
-    joined = marked.drop("html").join(both, "host", "left").fillna(0.0, ["trust", "distrust"])
+    both = written(both.fillna(0.0, ["trust", "distrust"]), "hosts")
+    joined = marked.drop("html").join(bounded(both), "host", "left").fillna(0.0, ["trust", "distrust"])
     suspect = F.col("distrust") > max_distrust * (F.col("trust") + F.col("distrust"))
     verdict = F.coalesce("ruled", F.when(suspect, "block").otherwise("allow"))
     return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
