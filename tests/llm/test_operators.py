@@ -121,12 +121,54 @@ def test_toxicity_tolerates_inserted_and_left_out_characters(awkward, empty):
 
 def test_toxicity_never_trains_on_held_out_rows(spark, sf, docs):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    seen, _ = toxicity.training_rows(docs, labels)
+    rows = toxicity.training_rows(docs, labels).collect()
     held = {r.doc_id for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
-    by_text = defaultdict(set)
-    for r in docs.collect():
-        by_text[r.text].add(r.doc_id)
-    assert all(by_text[t] - held for t in seen)
+    assert rows and not held & {r.doc_id for r in rows} and {r.weight for r in rows} == {1.0}
+    texts = dict(docs.select("doc_id", "text").collect())
+    assert all(r.text == texts[r.doc_id] for r in rows)
+
+
+def test_toxicity_sample_keeps_the_odds(spark):
+    """A sample of equal parts, weighted, scores much like all rows, whose odds are 9 to 1."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("aeioulnrst"), 5))
+    rows = [(i, " ".join([word() for _ in range(12)] + (["grumpf"] if (i % 10 == 0) != (i % 37 == 0) else []))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    whole, part = toxicity.train(docs, labels, 10_000), toxicity.train(docs, labels, 150)
+    weights = toxicity.training_rows(docs, labels, 150).groupBy("toxic").sum("weight").toPandas().set_index("toxic")["sum(weight)"]
+    assert abs(weights[1] / (weights[0] + weights[1]) - 0.1) < 0.02
+    probe = ["aeiou lnrst oiuae", "grumpf aeiou lnrst", "grxumpf oiuae", ""]
+    assert np.abs(whole.scores(probe) - part.scores(probe)).max() < 0.15
+
+
+def kernel_by_definition(a, b):
+    """Sum over common subsequences of three characters, each pair of occurrences weighted by what they leave out."""
+
+    def spectrum(w):
+        w, found = "\x01" + w, Counter()
+        for i in range(len(w)):
+            for j in range(i + 1, len(w)):
+                for k in range(j + 1, len(w)):
+                    if (left_out := k - i - 2) <= toxicity.GAPS:
+                        found[w[i], w[j], w[k]] += toxicity.LAMBDA**left_out
+        return found
+
+    x, y = spectrum(a), spectrum(b)
+    size = lambda s: sum(v * v for v in s.values())
+    return sum(v * y[g] for g, v in x.items()) / (size(x) * size(y)) ** 0.5 if x and y else 0.0
+
+
+def test_toxicity_kernel_equals_its_definition():
+    rng = np.random.default_rng(6)
+    landmarks = ["idiot", "scum", "papas", "aaaa", "\u0434\u0443\u0440\u0430\u043a", "\u03bc\u03c9\u03c1\u03cc\u03c2"]
+    words = [*landmarks, "id", "idxiot", "idiiot", "tdiot", "aaaaaaa", "", "a", "\u0434\u0443\u0440\u0430", "\u03b4\u03c5\u03c1\u03b1"]
+    words += ["".join(rng.choice(list("idiotscum"), int(rng.integers(1, 9)))) for _ in range(300)]
+    value = toxicity.Kernel(landmarks)(words)
+    for i, w in enumerate(words):
+        for j, m in enumerate(landmarks):
+            want = kernel_by_definition(w, m)
+            assert abs(value[i, j] - (want if want >= toxicity.CUT else 0)) < 1e-5 or abs(want - toxicity.CUT) < 1e-5, (w, m)
 
 
 # 3
@@ -381,6 +423,44 @@ def test_near_dedup_links_a_large_group_of_edited_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == wanted
 
 
+def template_rows(n, own, template=60):
+    """Texts that share a template and have words of their own; every tenth but one copies its neighbour almost."""
+    shared = [f"t{i}" for i in range(template)]
+    rows = []
+    for k in range(n):
+        mine = [f"o{k - (k % 10 == 9)}_{i}" for i in range(own)]
+        if k % 10 == 9:
+            mine[-1] = "changed"
+        rows.append((k, " ".join(shared + mine)))
+    return rows
+
+
+@pytest.mark.parametrize(("block", "few"), [(512, 32), (64, 4)])
+def test_near_dedup_of_unlike_texts_with_a_common_template(spark, monkeypatch, block, few):
+    """Buckets larger than a block, in which only a few are linked and none with the center."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    rows = template_rows(1500, 30)
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert {r.doc_id: r.component_id for r in found} == {k: k - (k % 10 == 9) for k, _ in rows}
+
+
+def test_near_dedup_of_edited_copies_in_blocks(spark, monkeypatch):
+    """Near copies around the threshold, by prefixes and in several blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    monkeypatch.setattr(near_dedup, "FEW", 3)
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for k in range(300):
+        w = list(base)
+        for at in rng.integers(0, len(w), int(rng.integers(4, 9))):
+            w[at] = f"x{rng.integers(0, 40)}"
+        rows.append((int(k), " ".join(w)))
+    wanted = brute_force_components(rows, 2, 80)
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == wanted
+
+
 def test_near_dedup_on_awkward_rows(awkward):
     found = near_dedup.near_duplicates(awkward, 2, 80).collect()
     assert len(found) == len(AWKWARD)
@@ -551,6 +631,47 @@ def test_line_dedup_of_long_lines_equals_brute_force(spark, docs, texts, long_wo
     assert line_dedup.without_repeats(made).filter(f"doc_id = {10**6 + 2}").first().n_deleted == 0
 
 
+def test_levels_are_the_intervals_of_the_suffix_array(spark):
+    """Ranks against sorted suffixes, and maximal runs against a walk over all pairs of places."""
+    rng = np.random.default_rng(5)
+    rows = [(d, "\n".join(f"line {x}" for x in rng.integers(0, 3, int(rng.integers(1, 14))))) for d in range(30)]
+    longest_text = max((t for _, t in rows), key=len)
+    rows += [(100, longest_text + "\nend"), (101, longest_text)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = {d: t.split("\n") for d, t in rows}
+    for size, found in line_dedup.levels(made, 2):
+        got = found.collect()
+        prefixes = Counter(tuple(x[k : k + size]) for x in lines.values() for k in range(len(x) - size + 1))
+        assert {(r.doc_id, r.k) for r in got} == {(d, k) for d, x in lines.items() for k in range(len(x) - size + 1) if prefixes[tuple(x[k : k + size])] > 1}
+        at = defaultdict(set)
+        for r in got:
+            at[r["rank"], r.n_suffixes].add(tuple(lines[r.doc_id][r.k : r.k + size]))
+        assert all(len(v) == 1 and prefixes[next(iter(v))] == n for (_, n), v in at.items())
+        ends = sorted((a, a + n) for a, n in at)
+        assert ends[0][0] == 0 and all(a == b for (_, a), (b, _) in zip(ends, ends[1:], strict=False))
+        longest = size
+    assert longest < 2 * max(map(len, lines.values()))
+    runs = line_dedup.repeated_runs(made, 2).collect()
+    places = sorted((d, k) for d, x in lines.items() for k in range(len(x)))
+
+    def common(a, b):
+        n = 0
+        while a[1] + n < len(lines[a[0]]) and b[1] + n < len(lines[b[0]]) and lines[a[0]][a[1] + n] == lines[b[0]][b[1] + n]:
+            n += 1
+        return n
+
+    reach = {p: max([0, *(common(p, q) for q in places if q < p)]) for p in places}
+    maximal, end = set(), {}
+    for d, k in places:
+        if reach[d, k] >= 2 and k + reach[d, k] > end.get(d, 0):
+            maximal.add((d, k, k + reach[d, k] - 1))
+            end[d] = k + reach[d, k]
+    covered = lambda found: {(d, k) for d, a, b in found for k in range(a, b + 1)}
+    found = {(r.doc_id, r.first_line, r.last_line) for r in runs}
+    assert covered(found) == covered(maximal) and all(b - a + 1 <= reach[d, a] for d, a, b in found)
+    assert (101, 0, len(lines[101]) - 1) in found
+
+
 def test_line_dedup_on_awkward_rows(awkward, empty):
     found = line_dedup.without_repeats(awkward)
     rows = {r.doc_id: r for r in found.collect()}
@@ -597,9 +718,46 @@ def test_distrust_flows_against_links(spark):
     assert found == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
 
 
+def power_iteration(edges, seeds, rounds):
+    """Ranks by a dense matrix, hosts without edges restarting at the seeds."""
+    names = sorted({x for a, b, _ in edges for x in (a, b)} | set(seeds))
+    at = {x: i for i, x in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    for a, b, n in edges:
+        m[at[b], at[a]] += n
+    out = m.sum(axis=0)
+    v = np.array([seeds.get(x, 0.0) for x in names])
+    v = v / v.sum()
+    m = np.where(out > 0, m / np.where(out > 0, out, 1), v[:, None])
+    r = v
+    for _ in range(rounds):
+        r = url_filter.DAMPING * m @ r + (1 - url_filter.DAMPING) * v
+    return dict(zip(names, r, strict=True))
+
+
 def test_personalised_rank_equals_power_iteration(spark):
-    edges = [("a", "b", 1), ("b", "c", 2), ("b", "a", 1), ("c", "a", 1), ("a", "d", 3)]
-    names = ["a", "b", "c", "d"]
-    found = url_filter.personalised_rank(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame([("a", 1.0), ("b", 3.0)], "host string, weight double"))
-    ranks = {r.host: r["rank"] for r in found.collect()}
-    assert abs(sum(ranks.values()) - 1) < 1e-9 and ranks["a"] > ranks["c"] and set(ranks) == set(names)
+    rng = np.random.default_rng(2)
+    small = [("a", "b", 1), ("b", "c", 2), ("b", "a", 1), ("c", "a", 1), ("a", "d", 3)]
+    ends = rng.integers(0, 1000, (4000, 2)) ** 2 // 1000  # low numbers are hubs
+    counts = Counter((f"h{a}.org", f"h{b}.org") for a, b in ends.tolist() if a != b and a % 7)
+    large = [(a, b, n) for (a, b), n in sorted(counts.items())]
+    for edges, seeds in ((small, {"a": 1.0, "b": 3.0}), (large, {f"h{k}.org": float(k) for k in range(1, 40, 3)})):
+        for rounds in (3, url_filter.ROUNDS):
+            found = url_filter.personalised_rank(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(list(seeds.items()), "host string, weight double"), rounds)
+            ranks, wanted = {r.host: r["rank"] for r in found.collect()}, power_iteration(edges, seeds, rounds)
+            assert abs(sum(ranks.values()) - 1) < 1e-9
+            assert all(abs(ranks.get(x, 0.0) - r) < 1e-9 for x, r in wanted.items())
+
+
+def test_hosts_of_links(spark):
+    html = """<a href="//A.org/x"><img src='https://b.net:80/y'> see http://u:p@c.de?q <meta http-equiv=refresh content="0; url=//d.fr"> <a href=/local> a//b <a href="https://own.com/">"""
+    rows = [(1, "https://own.com/1", html), (2, "https://own.com/2", '<a href=https://b.net>'), (3, "nothing", "https://b.net"), (4, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", url_filter.host("url"))
+    assert {tuple(r) for r in url_filter.host_edges(pages).collect()} == {("own.com", "a.org", 1), ("own.com", "b.net", 2), ("own.com", "c.de", 1), ("own.com", "d.fr", 1)}
+
+
+def test_a_host_with_most_pages_and_clashing_columns(spark):
+    rows = [(i, f"https://hot.biz/{i}", '<a href="https://bad.org/x">', 0.5, "x") for i in range(2000)] + [(9000, "https://bad.org/es/1", None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, trust double, host string")
+    found = url_filter.judged(pages, queries.URL_RULES).groupBy("host", "verdict").count().collect()
+    assert {tuple(r) for r in found} == {("hot.biz", "block", 2000), ("bad.org", "block", 1)}
