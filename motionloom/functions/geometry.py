@@ -24,7 +24,8 @@ def norm(a: Vector) -> Column:
 
 
 def unit(a: Vector) -> Vector:
-    n = norm(a)
+    """a at length one; nulls for a vector of length zero."""
+    n = F.nullif(norm(a), F.lit(0.0))
     return tuple(x / n for x in a)
 
 
@@ -137,10 +138,35 @@ def from_six_numbers(o: Vector) -> Vector:
 
 
 def mirrored(p: Vector, q: Vector) -> tuple[Vector, Vector]:
-    """A pose seen in the mirror x -> -x."""
+    """A pose seen in the mirror x -> -x, its own x axis mirrored too."""
     return (-p[0], p[1], p[2]), (q[0], -q[1], -q[2], q[3])
 
 
+def mirrored_intrinsics(fx: Column, fy: Column, cx: Column, cy: Column, width: Column) -> Vector:
+    """The intrinsics of the mirrored image."""
+    return fx, fy, width - cx, cy
+
+
+def transformed(rotation: Vector, translation: Vector, point: Vector) -> Vector:
+    """A point moved by a pose (quaternion, translation)."""
+    return tuple(r + t for r, t in zip(rotate(rotation, point), translation, strict=True))
+
+
+def seen_from(rotation: Vector, translation: Vector, point: Vector) -> Vector:
+    """A point in the frame of a pose: the inverse of `transformed`."""
+    return rotate(conjugate(rotation), tuple(p - t for p, t in zip(point, translation, strict=True)))
+
+
+def pose_product(qa: Vector, pa: Vector, qb: Vector, pb: Vector) -> tuple[Vector, Vector]:
+    """(quaternion, translation) of the pose b seen through the pose a."""
+    return quaternion_product(qa, qb), transformed(qa, pa, pb)
+
+
+def pose_in(qa: Vector, pa: Vector, qb: Vector, pb: Vector) -> tuple[Vector, Vector]:
+    """(quaternion, translation) of the pose b in the frame of the pose a."""
+    return quaternion_product(conjugate(qa), qb), seen_from(qa, pa, pb)
+
+
 def projected(p: Vector, fx: float, fy: float, cx: float, cy: float, width: float, height: float) -> tuple[Column, Column, Column]:
     """Pinhole image of a point and whether it lies in front and inside; outside it is (0, 0)."""
     u, v = fx * p[0] / F.when(p[2] != 0, p[2]) + cx, fy * p[1] / F.when(p[2] != 0, p[2]) + cy
@@ -148,7 +174,47 @@ def projected(p: Vector, fx: float, fy: float, cx: float, cy: float, width: floa
     return F.when(inside, u).otherwise(0.0), F.when(inside, v).otherwise(0.0), inside
 
 
-def ray_depth(point: Vector) -> tuple[Column, Vector]:
-    """Depth along the camera's ray through a point, and the ray's direction."""
-    n = norm(point)
-    return n, tuple(x / n for x in point)
+def on_ray(source: Vector, target: Vector, rotation: Vector, translation: Vector) -> dict[str, Column | Vector]:
+    """The point nearest to target on the camera's ray through source, for a camera at (rotation, translation).
+
+    depth is the source's, delta what the point lies deeper, point itself, residual its
+    distance from the target. A source at depth zero (under 1e-8) is an error.
+    """
+    seen = seen_from(rotation, translation, source)
+    depth = F.when(F.abs(seen[2]) >= 1e-8, seen[2]).otherwise(F.raise_error(F.lit("a point in the camera's plane has no ray")).cast("double"))
+    ray = rotate(rotation, tuple(x / depth for x in seen))
+    gap = tuple(t - o for t, o in zip(target, translation, strict=True))
+    deep = dot(ray, gap) / F.greatest(dot(ray, ray), F.lit(1e-12))
+    found = tuple(o + r * deep for o, r in zip(translation, ray, strict=True))
+    return {"depth": depth, "delta": deep - depth, "point": found, "residual": norm(tuple(f - t for f, t in zip(found, target, strict=True)))}
+
+
+def deeper(source: Vector, delta: Column, rotation: Vector, translation: Vector) -> Vector:
+    """source moved along its camera ray until it lies `delta` deeper."""
+    seen = seen_from(rotation, translation, source)
+    depth = F.when(F.abs(seen[2]) >= 1e-8, seen[2]).otherwise(F.raise_error(F.lit("a point in the camera's plane has no ray")).cast("double"))
+    return transformed(rotation, translation, tuple(x / depth * (depth + delta) for x in seen))
+
+
+def pose_deviation(p: Vector, q: Vector, other_p: Vector, other_q: Vector) -> tuple[Column, Column]:
+    """Distance (m) and angle (degrees) between two poses."""
+    return norm(tuple(a - b for a, b in zip(p, other_p, strict=True))), angle_degrees(q, other_q)
+
+
+def from_matrix(m: Vector) -> Vector:
+    """The unit quaternion of a rotation (nine columns), by its largest part, w not negative; null for nulls."""
+    trace = m[0] + m[4] + m[8]
+    a, b, c = m[7] - m[5], m[2] - m[6], m[3] - m[1]
+    xy, xz, yz = m[1] + m[3], m[2] + m[6], m[5] + m[7]
+    ways = [(trace, (a, b, c), 3), (m[0] - m[4] - m[8], (xy, xz, a), 0), (m[4] - m[0] - m[8], (xy, yz, b), 1), (m[8] - m[0] - m[4], (xz, yz, c), 2)]
+    largest = F.greatest(*[t for t, _, _ in ways])
+    parts = []
+    for k in range(4):
+        value = F.lit(None).cast("double")
+        for t, others, lead in ways:
+            s = F.sqrt(t + 1) * 2
+            own = s / 4 if k == lead else others[k if k < lead else k - 1] / s
+            last = s / 4 if lead == 3 else others[2] / s
+            value = F.when(t == largest, F.coalesce(value, own * F.when(last < 0, -1.0).otherwise(1.0))).otherwise(value)
+        parts.append(value)
+    return tuple(parts)

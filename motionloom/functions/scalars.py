@@ -38,9 +38,59 @@ def reprojection_confidence(error_share: Column) -> Column:
     return clipped(1 / (1 + F.exp(200 * (error_share - 0.025))), 0.05, 0.99)
 
 
-def short_variant(name: Column) -> Column:
-    """A variant's name without the hysteresis suffix."""
-    return F.regexp_replace(name, "_hys085", "")
+# Short names of corrections; `none` adds nothing, any other its own name.
+CORRECTION_NAMES = {"xyz_mean_target_min_bending": "xyz", "xyz_mean_target_min_bending_all_anchors": "xyz_all"}
+
+
+def short_variant(hand: Column, correction: Column | None = None) -> Column:
+    """A variant's name without the hysteresis suffix, and its correction's short name behind a plus sign."""
+    name = F.regexp_replace(hand, "_hys085$", "")
+    if correction is None:
+        return name
+    short = F.coalesce(correction, F.lit("none"))
+    for long, brief in CORRECTION_NAMES.items():
+        short = F.when(short == long, brief).otherwise(short)
+    return F.when(short == "none", name).otherwise(F.concat(name, F.lit("+"), short))
+
+
+def checked_vector(values: Column, width: int, name: str = "vector") -> Column:
+    """The first `width` values; fewer, a null or one that is not finite is an error."""
+    part = F.slice(values, 1, width)
+    ok = (F.size(part) == width) & F.forall(part, lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x) < float("inf")), F.lit(False)))
+    return F.when(F.coalesce(ok, F.lit(False)), part).otherwise(F.raise_error(F.lit(f"{name}: not {width} finite values")).cast("array<double>"))
+
+
+def policy_input(state: Column, actions: Column, mask: Column, images: list[Column], width: int = 16) -> Column:
+    """A sample for a policy: state and actions of `width` finite values, the mask of [head, left, right] cameras, and their images, blank where masked.
+
+    The head camera must be there, and the mask must have three places.
+    """
+    sound = F.coalesce((F.size(mask) == 3) & F.get(mask, 0), F.lit(False))
+    flags = F.when(sound, mask).otherwise(F.raise_error(F.lit("the head camera must be there, in a mask of three")).cast("array<boolean>"))
+    blank = lambda k, image: F.when(F.get(flags, k), image).otherwise(F.transform(image, lambda x: x * 0))
+    return F.struct(checked_vector(state, width, "state").alias("state"), checked_vector(actions, width, "actions").alias("actions"), flags.alias("mask"), *[blank(k, image).alias(f"image_{k}") for k, image in enumerate(images)])
+
+
+def column_of(names: list[str], wanted: list[str], values: Column) -> Column:
+    """The values at the places of the wanted names, in their order; a name that is missing is an error at once."""
+    if missing := [n for n in wanted if n not in names]:
+        raise ValueError(f"no column named {', '.join(missing)}")
+    return F.array(*[F.get(values, names.index(n)) for n in wanted])
+
+
+def first_name(*candidates: Column) -> Column:
+    """The first of several names that is neither null nor empty; none is an error."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates], F.raise_error(F.lit("no frame name")).cast("string"))
+
+
+def first_valid(*poses: Column) -> Column:
+    """The first of several 4x4 matrices (arrays of arrays) that has that shape and finite values only; null if none has."""
+
+    def sound(m: Column) -> Column:
+        rows = F.forall(m, lambda r: (F.size(r) == 4) & F.forall(r, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))))
+        return F.coalesce((F.size(m) == 4) & rows, F.lit(False))
+
+    return F.coalesce(*[F.when(sound(m), m) for m in poses])
 
 
 def id_list(spec: Column) -> Column:
@@ -59,3 +109,9 @@ def arm_masked(values: Column, active: list[bool], fill: float = 0.0) -> Column:
     """A feature vector whose inactive places hold `fill`."""
     flags = F.array(*[F.lit(a) for a in active])
     return F.transform(values, lambda x, i: F.when(F.get(flags, i), x).otherwise(F.lit(fill)))
+
+
+def stable_seed(base: int, *parts: Column) -> Column:
+    """A seed (decimal text) from sha256 of base and parts, joined by bars: the first eight bytes, little-endian."""
+    digest = F.sha2(F.concat_ws("|", F.lit(str(base)), *[p.cast("string") for p in parts]), 256)
+    return F.conv(F.concat(*[F.substring(digest, 2 * k + 1, 2) for k in range(7, -1, -1)]), 16, 10)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runs import run_lengths, series
@@ -60,19 +60,48 @@ def summary_counts(df: DataFrame, by: list[str], order: str, state: str, valid:
     return df.select(*by).distinct().join(changes, by, "left").fillna(0, ["n_valid", "n_transitions"])
 
 
-def segments(df: DataFrame, events: DataFrame, by: list[str], order: str, start: int | None, end: int | None) -> DataFrame:
-    """Rows from the event of ordinal start to that of end, both included (None: the series' own end).
+def segment_bounds(df: DataFrame, events: DataFrame, by: list[str], order: str, start: int | str | None, end: int | str | None) -> DataFrame:
+    """(by, first, last, fault): the rows from one event to another, both included.
 
-    A series without these events, or whose end is not after its start, has no rows.
+    An endpoint is an event's ordinal, "first" or "last" event, or None for the series' own
+    end. fault says why a series has no such segment (its event is not there, or is
+    ambiguous, or the end is not after the start), else it is null.
     """
-    point = lambda k: F.max(F.when(F.col("ordinal") == k, F.col(order)))
-    picks = [point(k).alias(n) for n, k in (("_a", start), ("_b", end)) if k is not None]
-    bounds = events.groupBy(*by).agg(*picks) if picks else df.select(*by).distinct()
-    joined = df.join(bounds, by)
-    if start is not None:
-        joined = joined.filter(F.col(order) >= F.col("_a"))
-    if end is not None:
-        joined = joined.filter(F.col(order) <= F.col("_b"))
-    if start is not None and end is not None:
-        joined = joined.filter(F.col("_b") > F.col("_a"))
-    return joined.drop("_a", "_b")
+    rows = df.groupBy(*by).agg(F.min(order).alias("_min"), F.max(order).alias("_max"))
+    found = events.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("ordinal", F.struct(F.col(order).alias("at"), "ambiguous")))).alias("_events"), F.max("ordinal").alias("_top"))
+    rows = rows.join(found, by, "left")
+
+    def point(k: int | str | None, own: str) -> tuple[Column, Column]:
+        if k is None:
+            return F.col(own), F.lit(None).cast("string")
+        ordinal = F.lit(0) if k == "first" else F.col("_top") if k == "last" else F.lit(k)
+        event = F.try_element_at("_events", ordinal.cast("long"))
+        missing = F.when(event.isNull(), f"no event {k}").when(event["ambiguous"], f"event {k} is ambiguous")
+        return event["at"], missing
+
+    (a, no_a), (b, no_b) = point(start, "_min"), point(end, "_max")
+    fault = F.coalesce(no_a, no_b, F.when(b <= a, "the end is not after the start"))
+    return rows.select(*by, a.alias("first"), b.alias("last"), fault.alias("fault"))
+
+
+def segments(df: DataFrame, events: DataFrame, by: list[str], order: str, start: int | str | None, end: int | str | None) -> DataFrame:
+    """The rows of every series' segment; a series with a fault (see segment_bounds) has none."""
+    bounds = segment_bounds(df, events, by, order, start, end).filter("fault is null").select(*by, F.col("first").alias("_a"), F.col("last").alias("_b"))
+    return df.join(bounds, by).filter(F.col(order).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+
+
+def event_errors(a: DataFrame, b: DataFrame, by: list[str], position: list[str]) -> DataFrame:
+    """(by, ordinal, transition, error): the distance between two tracks' positions at events of the same ordinal and transition.
+
+    a and b have by, ordinal, transition and the position columns; an event that the other
+    track has not, or with another transition, has no row.
+    """
+    other = b.select(*by, "ordinal", "transition", *[F.col(c).alias(f"_{c}") for c in position])
+    square = sum((F.pow(F.col(c) - F.col(f"_{c}"), F.lit(2)) for c in position[1:]), F.pow(F.col(position[0]) - F.col(f"_{position[0]}"), F.lit(2)))
+    return a.join(other, [*by, "ordinal", "transition"]).select(*by, "ordinal", "transition", F.sqrt(square).alias("error"))
+
+
+def staleness(df: DataFrame, by: list[str], order: str, ts: str, most: float) -> DataFrame:
+    """(by, stale, worst): rows more than `most` after the one before, and the longest such time."""
+    aged = df.withColumn("_age", F.col(ts) - F.lag(ts).over(series(by, order)))
+    return aged.groupBy(*by).agg(F.count_if(F.col("_age") > most).alias("stale"), F.max("_age").alias("worst"))

@@ -7,6 +7,8 @@ not grow with the data.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,20 +42,27 @@ def dtw(a: np.ndarray, b: np.ndarray, window_ratio: float | None = None) -> tupl
     return float(total[n, m] / ((n + m) / 2)), np.array(path[::-1])
 
 
-def pair_distances(pa: np.ndarray, qa: np.ndarray, pb: np.ndarray, qb: np.ndarray, window_ratio: float | None = None) -> dict[str, float]:
-    """d_pos: alignment cost; d_rot: mean angle in degrees on its path; d_shape: cost without the centroids."""
+def pair_distances(pa: np.ndarray, qa: np.ndarray, pb: np.ndarray, qb: np.ndarray, window_ratio: float | None = None) -> dict:
+    """d_pos: alignment cost; d_rot: mean angle in degrees on its path; d_shape: cost without the centroids;
+
+    offset: the sum of q q^T of the rotations from b to a on the path, row by row; n_path its length.
+    """
     d_pos, path = dtw(pa, pb, window_ratio)
-    product = np.abs((qa[path[:, 0]] * qb[path[:, 1]]).sum(axis=1))
-    d_rot = float(np.degrees(2 * np.arccos(np.minimum(1.0, product))).mean())
+    a, b = qa[path[:, 0]], qb[path[:, 1]]
+    d_rot = float(np.degrees(2 * np.arccos(np.minimum(1.0, np.abs((a * b).sum(axis=1))))).mean())
     d_shape, _ = dtw(pa - pa.mean(axis=0), pb - pb.mean(axis=0), window_ratio)
-    return {"d_pos": d_pos, "d_rot": d_rot, "d_shape": d_shape}
+    v, w = a[:, :3], a[:, 3:]
+    u, s = -b[:, :3], b[:, 3:]  # the inverse of b
+    q = np.concatenate([s * v + w * u + np.cross(u, v), s * w - (u * v).sum(axis=1, keepdims=True)], axis=1)
+    return {"d_pos": d_pos, "d_rot": d_rot, "d_shape": d_shape, "n_path": len(path), "offset": (q.T @ q).ravel().tolist()}
 
 
 def align_pairs(pairs: DataFrame, window_ratio: float | None = None) -> DataFrame:
-    """(a, b, d_pos, d_rot, d_shape) of pairs (a, b, pose_a, pose_b), poses being arrays of 7 numbers.
+    """(a, b, d_pos, d_rot, d_shape, n_path, offset) of pairs (a, b, pose_a, pose_b), poses being arrays of 7 numbers.
 
     A pair that can't be aligned has nulls: failures are data.
     """
+    columns = ["d_pos", "d_rot", "d_shape", "n_path", "offset"]
 
     def run(batches):
         for pdf in batches:
@@ -63,75 +72,121 @@ def align_pairs(pairs: DataFrame, window_ratio: float | None = None) -> DataFram
                 try:
                     d = pair_distances(x[:, :3], x[:, 3:], y[:, :3], y[:, 3:], window_ratio)
                 except ValueError:
-                    d = {"d_pos": None, "d_rot": None, "d_shape": None}
+                    d = dict.fromkeys(columns)
                 rows.append({"a": row.a, "b": row.b, **d})
-            yield pd.DataFrame(rows, columns=["a", "b", "d_pos", "d_rot", "d_shape"])
+            yield pd.DataFrame(rows, columns=["a", "b", *columns]).astype({"n_path": "Int64"})
+
+    return pairs.select("a", "b", "pose_a", "pose_b").mapInPandas(run, "a long, b long, d_pos double, d_rot double, d_shape double, n_path long, offset array<double>")
 
-    return pairs.select("a", "b", "pose_a", "pose_b").mapInPandas(run, "a long, b long, d_pos double, d_rot double, d_shape double")
 
+def mean_rotations(sums: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, qx, qy, qz, qw): the chordal mean of each group from its count n and sum `s` of q q^T (16 numbers).
 
-def propagate(n: int, frames: list[int], values: np.ndarray, method: str = "linear", end_weight: float = 1.0, anchor_weight: float = 100.0, smooth: float = 1e-3) -> np.ndarray:
+    Sums come from a shuffled aggregation; only the 4x4 eigenproblem is NumPy.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            out = pdf[[*by, "n"]].copy()
+            found = [np.linalg.eigh(np.array(s, float).reshape(4, 4))[1][:, -1] for s in pdf["s"]]
+            for k, c in enumerate(("qx", "qy", "qz", "qw")):
+                out[c] = [float(-q[k] if q[3] < 0 else q[k]) for q in found]
+            yield out
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in sums.select(*by).dtypes)
+    return sums.select(*by, "n", "s").mapInPandas(run, f"{kinds}{', ' if by else ''}n long, qx double, qy double, qz double, qw double")
+
+
+def _pentadiagonal(main: np.ndarray, next_: np.ndarray, second: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The solution of a symmetric system with five diagonals, by an L D L^T factorisation; linear in its size."""
+    n = len(main)
+    d, l1, l2 = np.zeros(n), np.zeros(n), np.zeros(n)
+    z = np.array(right, float)
+    for i in range(n):
+        d[i] = main[i] - (d[i - 1] * l1[i - 1] ** 2 if i else 0) - (d[i - 2] * l2[i - 2] ** 2 if i > 1 else 0)
+        if i + 1 < n:
+            l1[i] = (next_[i] - (d[i - 1] * l1[i - 1] * l2[i - 1] if i else 0)) / d[i]
+        if i + 2 < n:
+            l2[i] = second[i] / d[i]
+        z[i] -= (l1[i - 1] * z[i - 1] if i else 0) + (l2[i - 2] * z[i - 2] if i > 1 else 0)
+    z /= d[:, None]
+    for i in range(n - 2, -1, -1):
+        z[i] -= l1[i] * z[i + 1] + (l2[i] * z[i + 2] if i + 2 < n else 0)
+    return z
+
+
+def _bending(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The three upper diagonals of the sum of squared second differences."""
+    main, next_, second = np.zeros(n), np.zeros(max(0, n - 1)), np.ones(max(0, n - 2))
+    for k, (w, v) in enumerate(((1, -2), (4, -2), (1, 0))):
+        if n > 2:
+            main[k : n - 2 + k] += w
+            if k < 2:
+                next_[k : n - 2 + k] += v
+    return main, next_, second
+
+
+def propagate(n: int, frames: list[int], values: np.ndarray, method: str = "linear", end_weight: float = 1.0, anchor_weight: float = 1.0, bend: float = 100.0, magnitude: float = 1e-3) -> np.ndarray:
     """Anchor values over n frames; both ends are zero unless they are anchors.
 
     linear joins the anchors by lines; min_bending keeps them and has the least second
-    differences; smooth_spline trades their weighted misfit for bending.
+    differences; smooth_spline has the least sum of weighted misfit (the ends' weight, or
+    the anchors'), bending and magnitude. Two values for one frame are an error.
     """
-    values = np.asarray(values, float).reshape(len(frames), -1)
-    control: dict[int, np.ndarray] = {0: np.zeros(values.shape[1]), n - 1: np.zeros(values.shape[1])}
-    given: dict[int, np.ndarray] = {}
+    values = np.asarray(values, float)
+    values = values if values.ndim == 2 else values.reshape(len(frames), 1)
+    control: dict[int, np.ndarray] = {}
     for f, v in zip(frames, values, strict=True):
-        if f in given and not np.allclose(given[f], v):
+        if f in control and not np.allclose(control[f], v, atol=1e-10):
             raise ValueError(f"two values for frame {f}")
-        given[f] = control[f] = v
+        control[f] = v
+    control = {0: np.zeros(values.shape[1]), n - 1: np.zeros(values.shape[1])} | control
     at = np.array(sorted(control))
     points = np.array([control[f] for f in at])
-    if method == "linear" or n < 3:
+    if method not in ("linear", "min_bending", "smooth_spline"):
+        raise ValueError(f"no method {method}")
+    if method == "linear" or method == "min_bending" and (n <= 2 or len(at) >= n):
         return np.stack([np.interp(np.arange(n), at, points[:, k]) for k in range(points.shape[1])], axis=1)
-    bend = np.zeros((n - 2, n))
-    for k, c in enumerate((1.0, -2.0, 1.0)):
-        bend[np.arange(n - 2), np.arange(n - 2) + k] = c
-    bending = bend.T @ bend
-    if method == "min_bending":
-        free = np.setdiff1d(np.arange(n), at)
-        out = np.zeros((n, points.shape[1]))
-        out[at] = points
-        if len(free):
-            out[free] = np.linalg.solve(bending[np.ix_(free, free)] + 1e-12 * np.eye(len(free)), -bending[np.ix_(free, at)] @ points)
-        return out
+    main, next_, second = _bending(n)
     if method == "smooth_spline":
         weight = np.zeros(n)
-        weight[at] = [anchor_weight if f in given else end_weight for f in at]
+        weight[at] = np.where((at == 0) | (at == n - 1), end_weight, anchor_weight)
         target = np.zeros((n, points.shape[1]))
-        target[at] = points
-        return np.linalg.solve(np.diag(weight) + smooth * bending + 1e-12 * np.eye(n), weight[:, None] * target)
-    raise ValueError(f"no method {method}")
+        target[at] = weight[at, None] * points
+        return _pentadiagonal(weight + bend * main + max(magnitude, 1e-12), bend * next_, bend * second, target)
+    free = np.setdiff1d(np.arange(n), at)
+    out = np.zeros((n, points.shape[1]))
+    out[at] = points
+    pull = main[:, None] * out  # the bending's gradient at the anchors' values
+    pull[:-1] += next_[:, None] * out[1:]
+    pull[1:] += next_[:, None] * out[:-1]
+    pull[:-2] += second[:, None] * out[2:]
+    pull[2:] += second[:, None] * out[:-2]
+    # Among the free frames two are neighbours in the system if they are one or two apart.
+    gap1, gap2 = np.diff(free), free[2:] - free[:-2]
+    near = np.where(gap1 == 1, next_[np.minimum(free[:-1], n - 2)], np.where(gap1 == 2, second[np.minimum(free[:-1], n - 3)], 0.0))
+    far = np.where(gap2 == 2, second[np.minimum(free[:-2], n - 3)], 0.0)
+    out[free] = _pentadiagonal(main[free] + 1e-12, near, far, -pull[free])
+    return out
 
 
 def debounced(states: list[int | None], least: int) -> list[int | None]:
-    """The first inner run shorter than `least` joins the run before it, again and again; nulls are skipped."""
+    """The first inner run shorter than `least` joins the run before it, again and again; nulls are skipped.
+
+    A run that has joined is long enough, and none before it changes, so one pass does.
+    """
     known = [k for k, s in enumerate(states) if s is not None]
     if least <= 1 or len(known) < 3:
         return list(states)
-    runs: list[list[int]] = []
-    for k in known:
-        if runs and runs[-1][0] == states[k]:
-            runs[-1][1] += 1
+    runs = [(s, len(list(g))) for s, g in itertools.groupby(states[k] for k in known)]
+    stack: list[list[int]] = []
+    for k, (state, length) in enumerate(runs):
+        if stack and (stack[-1][0] == state or 0 < k < len(runs) - 1 and length < least):
+            stack[-1][1] += length
         else:
-            runs.append([states[k], 1])
-    k = 1
-    while k < len(runs) - 1:
-        if runs[k][1] < least:
-            runs[k - 1][1] += runs[k][1]
-            del runs[k]
-            if runs[k - 1][0] == runs[k][0]:
-                runs[k - 1][1] += runs[k][1]
-                del runs[k]
-            k = 1
-        else:
-            k += 1
+            stack.append([state, length])
     out: list[int | None] = list(states)
-    flat = [s for s, n in runs for _ in range(n)]
-    for k, s in zip(known, flat, strict=True):
+    for k, s in zip(known, (s for s, n in stack for _ in range(n)), strict=True):
         out[k] = s
     return out
 
@@ -152,20 +207,83 @@ def limited(values: np.ndarray, valid: np.ndarray, step: float) -> np.ndarray:
     return out
 
 
+def turned(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """The unit quaternion a share of the shorter way from a to b."""
+    d = float(a @ b)
+    b, d = (-b, -d) if d < 0 else (b, d)
+    angle = np.arccos(min(1.0, d))
+    if np.sin(angle) < 1e-9:
+        return b if share >= 0.5 else a
+    return (np.sin((1 - share) * angle) * a + np.sin(share * angle) * b) / np.sin(angle)
+
+
+def limited_poses(positions: np.ndarray, quaternions: np.ndarray, valid: np.ndarray, step: float, turn: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each pose at most `step` away and `turn` (radians) turned from the limited one before it; starts anew after an invalid row.
+
+    A limit of 0 or less is none.
+    """
+    p, q = limited(positions, valid, step), quaternions.astype(float).copy()
+    for k in range(1, len(q)):
+        if turn > 0 and valid[k] and valid[k - 1]:
+            angle = 2 * np.arccos(min(1.0, abs(float(q[k - 1] @ q[k]))))
+            if angle > turn:
+                q[k] = turned(q[k - 1], q[k], turn / angle)
+    return p, q
+
+
 def smoothed_units(vectors: np.ndarray, alpha: float) -> np.ndarray:
     """Exponential mean of unit vectors, each turned to the side of the mean so far."""
     out = np.empty_like(vectors, dtype=float)
     mean = None
     for k, v in enumerate(vectors):
-        v = v / max(1e-12, float(np.linalg.norm(v)))
+        v = v / (float(np.linalg.norm(v)) + 1e-6)
         if mean is not None:
             v = -v if float(v @ mean) < 0 else v
             v = alpha * v + (1 - alpha) * mean
-            v = v / max(1e-12, float(np.linalg.norm(v)))
+            v = v / (float(np.linalg.norm(v)) + 1e-6)
         out[k] = mean = v
     return out
 
 
+def smoothed_frames(x: np.ndarray, y: np.ndarray, alpha_x: float, alpha_y: float) -> np.ndarray:
+    """Rotation matrices, axes as columns, from exponential means of two axes, made orthogonal: x stays, z = x cross y, y = z cross x."""
+    x, y = smoothed_units(x, alpha_x), smoothed_units(y, alpha_y)
+    z = np.cross(x, y)
+    z = z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-6)
+    return np.stack([x, np.cross(z, x), z], axis=2)
+
+
+def filled_gaps(values: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Rows that are not valid become linear between valid ones and hold the outermost ones; zeros if none is valid."""
+    known = np.flatnonzero(valid)
+    if not len(known):
+        return np.zeros_like(values, dtype=float)
+    return np.interp(np.arange(len(values)), known, np.asarray(values, float)[known])
+
+
+def approach(start: np.ndarray, target: np.ndarray, step: float, most_total: float | None = None, most_steps: int = 1000, reachable=None) -> np.ndarray:
+    """Even joint steps from start (left out) to target, none of which moves a joint by more than `step`.
+
+    reachable(before, after) may refuse a step, for what only kinematics can tell; then the
+    number of steps doubles, up to most_steps. Nothing to do gives no steps; a total
+    change of over most_total, or too many steps, is an error.
+    """
+    start, target = np.asarray(start, float), np.asarray(target, float)
+    change = float(np.abs(target - start).max())
+    if change <= 1e-8:
+        return np.zeros((0, len(start)))
+    if most_total is not None and change > most_total:
+        raise ValueError(f"a joint would move by {change:.4f}, over {most_total:.4f}")
+    steps = max(1, int(np.ceil(change / step)))
+    while steps <= most_steps:
+        share = np.arange(1, steps + 1)[:, None] / steps
+        path = (1 - share) * start + share * target
+        if reachable is None or all(reachable(a, b) for a, b in zip([start, *path[:-1]], path, strict=True)):
+            return path
+        steps *= 2
+    raise ValueError(f"no approach within {most_steps} steps")
+
+
 def savitzky_golay(values: np.ndarray, window: int, degree: int = 2) -> np.ndarray:
     """Polynomial smoothing over an odd window of n points at most; the ends follow the outermost fits."""
     n = len(values)

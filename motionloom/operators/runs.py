@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from motionloom.functions import geometry as geo
+
 
 def series(by: list[str], order: str) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(order)
@@ -120,11 +122,17 @@ def longest_run(df: DataFrame, by: list[str], order: str, mask: str) -> DataFram
     return runs.withColumn("_rank", rank).filter("_rank = 1").drop("_rank", "run", mask)
 
 
-def hysteresis(df: DataFrame, by: list[str], order: str, ratio: str, close: float, open_: float, state: str = "state") -> DataFrame:
-    """A latch: 1 below `close`, 0 above `open_`, between them and for nulls as before; 0 at first."""
+def hysteresis(df: DataFrame, by: list[str], order: str, ratio: str, close: float, open_: float, state: str = "state", distance: str | None = None, near: float = 0.105) -> DataFrame:
+    """A latch: 1 below `close`, 0 above `open_`, between them and for nulls as before; 0 at first.
+
+    With a column `distance`, a row without ratio is 1 if its distance is below `near`, and
+    leaves the latch as it is.
+    """
     mark = F.when(F.col(ratio) < close, 1).when(F.col(ratio) > open_, 0)
-    latched = F.last(mark, ignorenulls=True).over(series(by, order))
-    return df.withColumn(state, F.coalesce(latched, F.lit(0)))
+    latched = F.coalesce(F.last(mark, ignorenulls=True).over(series(by, order)), F.lit(0))
+    if distance is not None:
+        latched = F.when(F.col(ratio).isNull(), F.coalesce((F.col(distance) < near).cast("int"), F.lit(0))).otherwise(latched)
+    return df.withColumn(state, latched)
 
 
 def bad_streak(df: DataFrame, by: list[str], order: str, bad: str) -> DataFrame:
@@ -154,11 +162,34 @@ def modes(df: DataFrame, by: list[str], order: str, stop: str, v: str, w: str, t
     return merge_short_runs(median_filter(fixed, by, order, "mode", filter_size), by, order, "mode", least)
 
 
-def phases(df: DataFrame, by: list[str], order: str, v: str, w: str, yaw: str, v_max: float, w_max: float, *, hold: int = 3, debounce: int = 2, close: int = 3, veto: float = 1e9, offset: int = 1, turn: float = 1.0, slow: float = 1.0, least: int = 3, filter_size: int = 5, first_forward: int = 8, finish: int = 3) -> DataFrame:
-    """The whole phase plan: stops, closing, veto, delay, modes and the finished tail, as column mode."""
+def refine_stops(df: DataFrame, by: list[str], order: str, mode: str, hand_speed: str, slow: float, wait: int, margin: int, stop: int = 0, mark: int = 3) -> DataFrame:
+    """Within each run of `stop`, rows before the hands first rest and after they last rest become `mark`.
+
+    The hands rest at a row if the mean speed of `wait` rows, from it on (at the run's
+    beginning) or up to it (at its end), is below `slow`; a missing speed counts as 99. The
+    first and last `margin` rows of the rest become `mark` too. A scan never reaches the
+    last, or the first, `wait` rows of a run, and marks all others if it finds no rest.
+    """
+    runs = with_runs(df, by, order, mode)
+    inside = Window.partitionBy(*by, "run")
+    at = inside.orderBy(order)
+    v = F.coalesce(hand_speed, F.lit(99.0))
+    runs = runs.withColumns({"_i": F.col("run_row") - 1, "_ahead": F.avg(v).over(at.rowsBetween(0, wait - 1)), "_back": F.avg(v).over(at.rowsBetween(-(wait - 1), 0))})
+    early, late = F.col("_i") < F.col("run_length") - wait, F.col("_i") >= wait
+    runs = runs.withColumns({"_first": F.min(F.when(early & (F.col("_ahead") < slow), F.col("_i"))).over(inside), "_last": F.max(F.when(late & (F.col("_back") < slow), F.col("_i"))).over(inside)})
+    moving = (early & F.coalesce(F.col("_i") < F.col("_first"), F.lit(True))) | (late & F.coalesce(F.col("_i") > F.col("_last"), F.lit(True)))
+    edge = F.coalesce(F.col("_i").between(F.col("_first"), F.col("_first") + (margin - 1)), F.lit(False)) | F.coalesce(F.col("_i").between(F.col("_last") - (margin - 1), F.col("_last")), F.lit(False))
+    refined = F.when((F.col(mode) == stop) & (moving | edge), mark).otherwise(F.col(mode))
+    return _without(runs.withColumn(mode, refined)).drop("_i", "_ahead", "_back", "_first", "_last")
+
+
+def phases(df: DataFrame, by: list[str], order: str, v: str, w: str, yaw: str, v_max: float, w_max: float, *, hold: int = 3, debounce: int = 2, least_stop: int = 3, veto: float = 1e9, offset: int = 1, turn: float = 1.0, slow: float = 1.0, least: int = 3, filter_size: int = 5, first_forward: int = 8, extend: int = 0, hand_speed: str | None = None, hand_slow: float = 0.15, wait: int = 5, margin: int = 15, finish: int = 3) -> DataFrame:
+    """The whole phase plan as column mode: stops, closing, veto, delay, modes, hands at rest (if hand_speed names their speed), the finished tail."""
     stopped = stop_mask(df, by, order, v, w, v_max, w_max, hold, debounce)
-    stopped = veto_turning(closed_mask(stopped, by, order, "stop", close), by, order, "stop", yaw, hold, veto)
-    moded = modes(delay_onset(stopped, by, order, "stop", offset), by, order, "stop", v, w, turn, slow, least, filter_size, first_forward)
+    stopped = veto_turning(closed_mask(stopped, by, order, "stop", debounce), by, order, "stop", yaw, least_stop, veto)
+    moded = modes(delay_onset(stopped, by, order, "stop", offset), by, order, "stop", v, w, turn, slow, least, filter_size, first_forward, extend)
+    if hand_speed is not None:
+        moded = refine_stops(moded, by, order, "mode", hand_speed, hand_slow, wait, margin)
     return mark_finish(moded, by, order, "mode", finish)
 
 
@@ -188,3 +219,31 @@ def speed(df: DataFrame, by: list[str], order: str, value: str, dt: Column, vali
         last = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
         return df.withColumn("speed", F.when(F.col(valid), F.coalesce((F.col(value) - last) / dt, F.lit(0.0))))
     return df.withColumn("speed", F.when(F.col(valid), F.coalesce((known - F.lag(known).over(w)) / dt, F.lit(0.0))))
+
+
+def pose_speed(df: DataFrame, by: list[str], order: str, position: list[str], quaternion: list[str], dt: Column, valid: str, bridge: bool) -> DataFrame:
+    """linear (a vector) and angular (the rotation's logarithm in the earlier frame) over dt, acceleration of the linear speed.
+
+    With bridge from the last valid row whatever the gap, else zero after a gap; the first
+    valid row has zero. acceleration is null on a series' first row and next to a gap.
+    """
+    w = series(by, order)
+    row = F.when(F.col(valid), F.struct(*position, *quaternion))
+    before = F.last(row, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) if bridge else F.lag(row).over(w)
+    met = df.withColumn("_b", before)
+    step = tuple((F.col(c) - F.col(f"_b.{c}")) / dt for c in position)
+    turn = geo.rotation_vector(geo.quaternion_product(geo.conjugate(tuple(F.col(f"_b.{c}") for c in quaternion)), tuple(F.col(c) for c in quaternion)))
+    vector = lambda parts: F.when(F.col(valid), F.array(*[F.coalesce(p, F.lit(0.0)) for p in parts]))
+    met = met.withColumns({"linear": vector(step), "angular": vector(tuple(t / dt for t in turn)), "_v": F.when(F.col(valid) & F.col("_b").isNotNull(), geo.norm(step))}).drop("_b")
+    return met.withColumn("acceleration", (F.col("_v") - F.lag("_v").over(w)) / dt).drop("_v")
+
+
+def odometry(df: DataFrame, by: list[str], order: str, ts: str, position: list[str], yaw: str) -> DataFrame:
+    """unwrapped (yaw without jumps, from the first row's), speed over ground and yaw_rate; zero on the first row and for a time step of zero."""
+    w = series(by, order)
+    turned = unwrapped(df, by, order, yaw)
+    dt = F.col(ts) - F.lag(ts).over(w)
+    step = F.sqrt(sum((F.pow(F.col(c) - F.lag(c).over(w), F.lit(2)) for c in position[1:]), F.pow(F.col(position[0]) - F.lag(position[0]).over(w), F.lit(2))))
+    rate = lambda x: F.coalesce(F.when(dt > 0, x / dt), F.lit(0.0))
+    found = turned.withColumns({"speed": rate(step), "yaw_rate": rate(F.abs(F.col("unwrapped") - F.lag("unwrapped").over(w)))})
+    return found.withColumn("unwrapped", F.col("unwrapped") - F.first("unwrapped").over(w))

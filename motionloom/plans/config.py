@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
-from collections.abc import Iterable, Mapping
+import re
+from collections.abc import Iterable, Iterator, Mapping
 from pathlib import Path
 
 import numpy as np
@@ -34,13 +35,13 @@ def names(spec: str, known: Iterable[str]) -> list[str]:
     return [x for x in known if x in wanted]
 
 
-def segment(spec: str) -> tuple[int | None, int | None]:
-    """START:END as event ordinals; blank, first and last are None at their own end."""
-    start, sep, end = spec.partition(":")
-    if not sep:
+def segment(spec: str) -> tuple[int | str | None, int | str | None]:
+    """START:END, each an event's ordinal, `first` or `last` (event), or blank for the series' own end."""
+    ends = spec.split(":")
+    if len(ends) != 2:
         raise ValueError("a segment is START:END")
-    point = lambda x, blank: None if x.strip() in ("", blank) else int(x)
-    return point(start, "first"), point(end, "last")
+    start, end = (x if x in ("first", "last") else int(x) if x else None for x in map(str.strip, ends))
+    return start, end
 
 
 def run_product(first: Mapping[str, object], second: Mapping[str, object], runs: list[Mapping] | None = None) -> list[dict]:
@@ -70,19 +71,21 @@ def trajectory_options(raw: Mapping) -> dict:
     return {"arm_mode": mode, "sides": sides, **trims}
 
 
+def _lists(value: object) -> Iterator[tuple[str, list]]:
+    """(key, list) of all lists in nested mappings and lists."""
+    open_ = [("", value)]
+    while open_:
+        key, x = open_.pop()
+        if isinstance(x, list):
+            yield key, x
+        inner = x.items() if isinstance(x, Mapping) else (("", y) for y in x) if isinstance(x, list) else ()
+        open_ += [(str(k), y) for k, y in inner]
+
+
 def leaked(value: object, held_out: set[str]) -> set[str]:
     """Held-out ids in any list whose key speaks of calibration episodes (or is `calibration`) and not of ego."""
-    found: set[str] = set()
-    if isinstance(value, Mapping):
-        for key, inner in value.items():
-            k = str(key).lower()
-            if isinstance(inner, list) and "ego" not in k and (k == "calibration" or ("calibration" in k and "episode" in k)):
-                found |= {str(x) for x in inner} & held_out
-            found |= leaked(inner, held_out)
-    elif isinstance(value, list):
-        for inner in value:
-            found |= leaked(inner, held_out)
-    return found
+    speaks = re.compile(r"(?!.*ego)(?:calibration$|.*calibration.*episode|.*episode.*calibration)", re.IGNORECASE)
+    return held_out.intersection(str(x) for key, ids in _lists(value) if speaks.match(key) for x in ids)
 
 
 def first_existing(candidates: Iterable[str | Path]) -> Path:
@@ -113,13 +116,41 @@ def stable_seed(base: int, *parts: object) -> int:
 
 
 def sampled_target(mean: np.ndarray, covariance: np.ndarray, mode: str, seed: int, most: float, tries: int = 1000) -> np.ndarray:
-    """The mean, or a draw within `most` Mahalanobis units of it."""
+    """The mean, or the first of `tries` draws within `most` Mahalanobis units of it; 0 or less means any."""
+    mean = np.asarray(mean, float)
     if mode == "mean":
-        return np.asarray(mean, float)
-    rng, inverse = np.random.default_rng(seed), np.linalg.inv(covariance)
-    for _ in range(tries):
-        x = rng.multivariate_normal(mean, covariance)
-        d = x - mean
-        if float(d @ inverse @ d) <= most**2:
-            return x
-    raise ValueError("no draw within the limit")
+        return mean
+    draws = np.random.default_rng(seed).multivariate_normal(mean, covariance, size=tries)
+    far = np.einsum("ij,jk,ik->i", draws - mean, np.linalg.pinv(covariance), draws - mean)
+    near = np.flatnonzero(np.full(tries, most <= 0) | (np.sqrt(np.maximum(far, 0)) <= most))
+    if not len(near):
+        raise ValueError(f"none of {tries} draws within {most}")
+    return draws[near[0]]
+
+
+def plain(value: object) -> object:
+    """NumPy values, paths and tuples as what JSON knows, keys as text."""
+    if isinstance(value, Mapping):
+        return {str(k): plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [plain(v) for v in value]
+    if isinstance(value, (np.ndarray, np.generic)):
+        return plain(value.tolist())
+    return str(value) if isinstance(value, Path) else value
+
+
+def ratio_split(ids: Iterable[int], share: float, seed: int, name: str) -> tuple[set[int], set[int]]:
+    """(train, eval) of episode ids, shuffled by seed and the name's characters; neither is empty."""
+    if not 0 < share < 1:
+        raise ValueError("the share must lie between 0 and 1")
+    values = np.array(sorted(ids), np.int64)
+    np.random.default_rng(seed + sum(map(ord, name))).shuffle(values)
+    n = min(max(1, round(len(values) * share)), len(values) - 1)
+    return set(values[:n].tolist()), set(values[n:].tolist())
+
+
+def checked_split(train: set[int], held_out: set[int], ids: set[int]) -> tuple[set[int], set[int]]:
+    """A split given by hand or by an artifact, which must part the ids."""
+    if train & held_out or train | held_out != ids:
+        raise ValueError(f"the split does not part the ids {sorted(ids)}")
+    return train, held_out

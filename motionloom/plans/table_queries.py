@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from motionloom.functions import scalars as sc
 from motionloom.operators import datasets as ds
+from motionloom.operators import events as ev
+from motionloom.operators import guards, stats
 from motionloom.operators import resample as rs
-from motionloom.operators import stats
 
 from .proxies import FRAMES_SQL, R6, frames, table
 from .registry import ORACLES, QUERIES
@@ -121,49 +122,67 @@ def _k12(spark: SparkSession, d: str) -> DataFrame:
     return found.select("l_linestatus", "n", "min", "max", R6("mean").alias("mean"), R6("std").alias("std"), "q50")
 
 
-@query("j1_all_pairs", "SELECT c.c_custkey AS ego, n.n_nationkey AS real FROM (SELECT c_custkey FROM customer WHERE c_custkey <= 20) c CROSS JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) n")
+@query("j1_all_pairs", "SELECT s_suppkey AS ego, n_nationkey AS real FROM supplier CROSS JOIN nation")
 def _j1(spark: SparkSession, d: str) -> DataFrame:
-    ego = table(spark, d, "customer").filter("c_custkey <= 20").select(F.col("c_custkey").alias("ego"))
-    real = table(spark, d, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("real"))
-    return ds.paired(ego, real)
+    return ds.paired(table(spark, d, "supplier").select(F.col("s_suppkey").alias("ego")), table(spark, d, "nation").select(F.col("n_nationkey").alias("real")))
 
 
-@query("j1_fixed_pairs", "SELECT o_custkey AS ego, o_orderkey AS real FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+@query("j1_fixed_pairs", "SELECT o_custkey AS ego, o_orderkey AS real FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def _j1b(spark: SparkSession, d: str) -> DataFrame:
-    ego = table(spark, d, "customer").filter("c_nationkey < 5").select(F.col("c_custkey").alias("ego"))
-    real = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("real"))
+    ego = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("ego"))
+    real = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("real"))
     return ds.paired(ego, real, table(spark, d, "orders").select(F.col("o_custkey").alias("ego"), F.col("o_orderkey").alias("real")))
 
 
-@query("j4_positional_zip", """WITH a AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_type = 'click'),
-       b AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_type = 'error')
+@query("j4_positional_zip", """WITH a AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+       b AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS i FROM events)
        SELECT a.user_id, round(a.value, 6) AS left_value, round(b.value, 6) AS right_value FROM a JOIN b ON a.user_id = b.user_id AND a.i = b.i""")
 def _j4(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events as they came beside the same in order of value."""
     e = table(spark, d, "events")
-    side = lambda kind, name: e.filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(f"{name}_id"), R6("value").alias(f"{name}_value"))
-    return ds.zipped(side("click", "left"), side("error", "right"), ["user_id"], "left_id", "right_id").select("user_id", "left_value", "right_value")
+    left = e.select("user_id", "event_id", R6("value").alias("left_value"))
+    right = e.select("user_id", F.struct("value", "event_id").alias("at"), R6("value").alias("right_value"))
+    return ds.zipped(left, right, ["user_id"], "event_id", "at").select("user_id", "left_value", "right_value")
 
 
-@query("j5_common_frames", f"WITH {FRAMES_SQL} SELECT a.frame_idx, count(*) AS n FROM f a JOIN f b ON a.frame_idx = b.frame_idx AND a.episode_id = b.episode_id + 1 WHERE a.valid AND b.valid GROUP BY a.frame_idx")
-def _j5(spark: SparkSession, d: str) -> DataFrame:
+_SIDES_SQL = f"""{FRAMES_SQL}, sd AS (SELECT episode_id // 2 AS pair, CASE WHEN episode_id % 2 = 0 THEN 'left' ELSE 'right' END AS side, frame_idx, state FROM f WHERE valid)"""
+
+
+def _sides(spark: SparkSession, d: str) -> DataFrame:
+    """Two users' valid rows as the two arms of one series."""
     f = frames(spark, d).filter("valid")
-    other = f.select((F.col("episode_id") + 1).alias("episode_id"), "frame_idx")
-    return f.select("episode_id", "frame_idx").join(other, ["episode_id", "frame_idx"]).groupBy("frame_idx").agg(F.count(F.lit(1)).alias("n"))
+    return f.select(F.floor(F.col("episode_id") / 2).alias("pair"), F.when(F.col("episode_id") % 2 == 0, "left").otherwise("right").alias("side"), "frame_idx", "state")
+
+
+def _thin_sql(of: str, count: int) -> str:
+    """CTE pk: frames of {of} (pair, frame_idx, l, r: the states) that are thinned, or next to a change."""
+    w = "(PARTITION BY pair ORDER BY frame_idx)"
+    return f"""n0 AS (SELECT *, row_number() OVER {w} - 1 AS k, count(*) OVER (PARTITION BY pair) AS c, lag(l) OVER {w} AS l0, lag(r) OVER {w} AS r0, lead(l) OVER {w} AS l1, lead(r) OVER {w} AS r1 FROM {of}),
+       pt AS (SELECT DISTINCT pair, round_even(i * (c - 1) / {count - 1}.0, 0)::BIGINT AS k FROM n0 CROSS JOIN range({count}) t(i)),
+       pk AS (SELECT n0.pair, frame_idx FROM n0 LEFT JOIN pt ON n0.pair = pt.pair AND n0.k = pt.k WHERE c <= {count} OR pt.k IS NOT NULL OR l0 <> l OR r0 <> r OR l1 <> l OR r1 <> r)"""
+
+
+_BOTH_SQL = "cm AS (SELECT pair, frame_idx, max(state) FILTER (WHERE side = 'left') AS l, max(state) FILTER (WHERE side = 'right') AS r FROM {of} GROUP BY pair, frame_idx HAVING count(DISTINCT side) = 2)"
 
 
-@query("j6_first_event_entry", f"""WITH {FRAMES_SQL}, c AS (SELECT *, lag(state) OVER (PARTITION BY episode_id ORDER BY frame_idx) AS s0 FROM f), e AS (SELECT episode_id, min(frame_idx) AS entry FROM c WHERE s0 <> state GROUP BY episode_id)
-       SELECT episode_id, entry, (SELECT max(entry) FROM e) AS latest FROM e""")
+@query("j5_common_frames", f"WITH {_SIDES_SQL}, {_BOTH_SQL.format(of='sd')}, {_thin_sql('cm', 12)} SELECT pair, frame_idx FROM pk")
+def _j5(spark: SparkSession, d: str) -> DataFrame:
+    return ds.common_frames(_sides(spark, d), ["pair"], "side", "frame_idx", "state", ["left", "right"], 12)
+
+
+@query("j6_first_event_entry", f"""WITH {_SIDES_SQL}, ch AS (SELECT *, lag(state) OVER (PARTITION BY pair, side ORDER BY frame_idx) AS s0 FROM sd), en AS (SELECT pair, side, min(frame_idx) AS entry FROM ch WHERE s0 <> state GROUP BY pair, side),
+       lt AS (SELECT pair, max(entry) AS latest FROM en GROUP BY pair HAVING count(*) = 2), tl AS (SELECT sd.* FROM sd JOIN lt ON sd.pair = lt.pair AND frame_idx > latest), {_BOTH_SQL.format(of='tl')}, {_thin_sql('cm', 9)}
+       SELECT en.pair, side, entry AS frame_idx FROM en JOIN lt ON en.pair = lt.pair UNION ALL SELECT pair, unnest(['left', 'right']), frame_idx FROM pk""")
 def _j6(spark: SparkSession, d: str) -> DataFrame:
-    f = frames(spark, d)
-    c = f.withColumn("s0", F.lag("state").over(Window.partitionBy("episode_id").orderBy("frame_idx"))).filter("s0 <> state")
-    e = c.groupBy("episode_id").agg(F.min("frame_idx").alias("entry"))
-    return e.join(F.broadcast(e.agg(F.max("entry").alias("latest"))))  # one row
+    return ds.entries_and_tail(_sides(spark, d), ["pair"], "side", "frame_idx", "state", ["left", "right"], 10)
 
 
 @query("j8_task_remap", """WITH t AS (SELECT p_type AS name, min(p_partkey) AS k FROM part GROUP BY 1), i AS (SELECT name, row_number() OVER (ORDER BY k) - 1 AS task_index FROM t) SELECT p_partkey, task_index FROM part JOIN i ON p_type = name""")
 def _j8(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("name"))
-    return part.join(ds.task_indices(part, ["p_partkey"], "name"), "name").select("p_partkey", "task_index")
+    """Each brand has an index of its own for its types; all get one list in order of first appearance."""
+    part = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("source"), F.col("p_type").alias("task"), F.xxhash64("p_type").alias("task_index"))
+    tasks = part.select("source", "task_index", "task").distinct()
+    return ds.remapped_tasks(part.drop("task"), tasks, ["p_partkey"]).select("p_partkey", "task_index")
 
 
 @query("k7_comparable", """WITH s AS (SELECT l_linestatus AS variant, l_returnflag AS side, list_sort(list(DISTINCT l_suppkey)) AS p FROM lineitem GROUP BY 1, 2), b AS (SELECT side, arg_min(p, variant) AS base FROM s GROUP BY side)
@@ -173,9 +192,14 @@ def _k7(spark: SparkSession, d: str) -> DataFrame:
     return ds.comparable(rows, "variant", "side", ["l_suppkey"])
 
 
-@query("k8_mask_counts", "SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'O') AS n_open, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+@query("k8_cotrain_episodes", """WITH a AS (SELECT l_orderkey, l_linenumber, l_linestatus = 'O' AS real, l_quantity::DOUBLE AS x, l_returnflag AS pattern FROM lineitem)
+       SELECT l_orderkey AS episode, CASE WHEN bool_and(real) THEN 1 ELSE 0 END AS domain, count(*) AS length, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std,
+              count(*) FILTER (WHERE pattern = 'A') AS n_head, count(*) FILTER (WHERE pattern = 'N') AS n_both, count(*) FILTER (WHERE pattern = 'R') AS n_left FROM a GROUP BY l_orderkey""")
 def _k8(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_if(F.col("l_linestatus") == "O").alias("n_open"), F.count(F.lit(1)).alias("n"))
+    """Orders as episodes of two domains (open ones as real), with statistics and the counts of their camera masks."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("episode"), F.col("l_quantity").cast("double").alias("x"), F.col("l_returnflag").alias("pattern"), (F.col("l_linestatus") == "O").alias("real"))
+    found = ds.cotrain_episodes(rows, "episode", "real", "x", "pattern", {"head": "A", "both": "N", "left": "R"})
+    return found.select("episode", "domain", "length", R6("mean").alias("mean"), R6("std").alias("std"), "n_head", "n_both", "n_left")
 
 
 @query("k10_latest_record", "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
@@ -183,9 +207,11 @@ def _k10(spark: SparkSession, d: str) -> DataFrame:
     return ds.latest(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-@query("k11_run_summary", "SELECT o_orderpriority AS run, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS complete FROM orders GROUP BY 1")
+@query("k11_run_summary", "SELECT o_orderpriority AS run, o_custkey AS episode, count(*) AS n_records, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status, bool_or(o_orderstatus = 'F') AS ever_complete FROM orders GROUP BY 1, 2")
 def _k11(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("run")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("complete"))
+    """Run by episode: how many records, the last one's status, and whether any was complete."""
+    orders = table(spark, d, "orders").select(F.col("o_orderpriority").alias("run"), F.col("o_custkey").alias("episode"), F.col("o_orderstatus").alias("status"), "o_orderdate", "o_orderkey")
+    return ds.run_report(orders, "run", "episode", "status", ["o_orderdate", "o_orderkey"], "F")
 
 
 @query("u1_reindexed_union", """WITH a AS (SELECT 0 AS source, o_custkey AS source_episode, o_orderkey AS o FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 1, o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'O')
@@ -224,12 +250,12 @@ def _p5(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey").join(F.broadcast(ids), "c_custkey", "left_semi")  # a list typed by hand
 
 
-@query("p7_split_faults", """WITH s AS (SELECT o_orderpriority AS part, o_custkey AS item FROM orders WHERE o_orderkey % 7 = 0), c AS (SELECT item, count(*) AS n, count(DISTINCT part) AS p FROM s GROUP BY item)
+@query("p7_split_faults", """WITH s AS (SELECT o_orderpriority AS part, o_custkey AS item FROM orders), c AS (SELECT item, count(*) AS n, count(DISTINCT part) AS p FROM s GROUP BY item)
        SELECT item, 'in several parts' AS fault FROM c WHERE p > 1 UNION ALL SELECT item, 'repeated' FROM c WHERE n > p
-       UNION ALL SELECT DISTINCT item, 'unknown' FROM s WHERE item NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)""")
+       UNION ALL SELECT DISTINCT item, 'unknown' FROM s WHERE item NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)""")
 def _p7(spark: SparkSession, d: str) -> DataFrame:
-    split = table(spark, d, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderpriority").alias("part"), F.col("o_custkey").alias("item"))
-    known = table(spark, d, "customer").filter("c_nationkey < 20").select(F.col("c_custkey").alias("item"))
+    split = table(spark, d, "orders").select(F.col("o_orderpriority").alias("part"), F.col("o_custkey").alias("item"))
+    known = table(spark, d, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("item"))
     return ds.split_faults(split, known, "part", "item")
 
 
@@ -247,7 +273,7 @@ def _p9(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p11_confidence_filter", "SELECT event_id, CASE WHEN value >= 40 THEN event_type END AS kept FROM events")
 def _p11(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.when(F.col("value") >= 40, F.col("event_type")).alias("kept"))
+    return ds.confident(table(spark, d, "events"), "value", 40.0, ["event_type"]).select("event_id", F.col("event_type").alias("kept"))
 
 
 @query("p12_dominant_side", """WITH s AS (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS side, sum(value) AS total FROM events GROUP BY 1, 2)
@@ -259,8 +285,15 @@ def _p12(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p16_freshness", f"WITH {FRAMES_SQL}, g AS (SELECT *, t - lag(t) OVER (PARTITION BY episode_id ORDER BY frame_idx) AS age FROM f) SELECT episode_id, count(*) FILTER (WHERE age > 100000) AS stale, round(max(age), 4) AS worst FROM g GROUP BY episode_id")
 def _p16(spark: SparkSession, d: str) -> DataFrame:
-    g = frames(spark, d).withColumn("age", F.col("t") - F.lag("t").over(Window.partitionBy("episode_id").orderBy("frame_idx")))
-    return g.groupBy("episode_id").agg(F.count_if(F.col("age") > 100_000).alias("stale"), F.round(F.max("age"), 4).alias("worst"))
+    return ev.staleness(frames(spark, d), ["episode_id"], "frame_idx", "t", 100_000.0).withColumn("worst", F.round("worst", 4))
+
+
+@query("p16_camera_faults", """WITH a AS (SELECT o_custkey, o_orderstatus, epoch(o_orderdate::TIMESTAMP) AS t FROM orders), g AS (SELECT o_custkey, count(DISTINCT o_orderstatus) AS n, max(915148800 - t) AS age, max(t) - min(t) AS skew FROM a GROUP BY 1)
+       SELECT o_custkey, CASE WHEN n < 3 THEN 'camera missing' WHEN age > 86400 * 2300 THEN 'too old' WHEN skew > 86400 * 1800 THEN 'skew' END AS fault FROM g""")
+def _p16b(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's orders as frames of three cameras, by status."""
+    stamps = table(spark, d, "orders").select("o_custkey", "o_orderstatus", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("t"), F.lit(915_148_800).alias("now"))
+    return guards.camera_faults(stamps, ["o_custkey"], "o_orderstatus", "t", "now", ["F", "O", "P"], 86_400 * 2300, 86_400 * 1800)
 
 
 @query("p20_single_task", "SELECT o_custkey, count(DISTINCT o_orderpriority) = 1 AS single FROM orders GROUP BY o_custkey")
@@ -268,13 +301,29 @@ def _p20(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_custkey").agg((F.count_distinct("o_orderpriority") == 1).alias("single"))
 
 
-@query("p21_names_to_columns", "SELECT vec_id, round(embedding[3]::DOUBLE, 6) AS gripper FROM embeddings")
+@query("p21_names_to_columns", "SELECT vec_id, round(embedding[3]::DOUBLE, 6) AS gripper, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings")
 def _p21(spark: SparkSession, d: str) -> DataFrame:
-    names = F.array(*[F.lit(x) for x in ("x", "y", "gripper", "w")])
-    place = F.array_position(names, "gripper").cast("int")
-    return table(spark, d, "embeddings").select("vec_id", R6(F.element_at("embedding", place).cast("double")).alias("gripper"))
+    picked = sc.column_of(["x", "y", "gripper", "w"], ["gripper", "x"], F.col("embedding"))
+    return table(spark, d, "embeddings").select("vec_id", R6(picked[0].cast("double")).alias("gripper"), R6(picked[1].cast("double")).alias("x"))
+
+
+@query("p17_package_faults", """WITH e AS (SELECT o_orderkey, o_custkey::VARCHAR || '.json' AS source, sha256(o_comment_) AS fp, o_orderstatus AS sg FROM (SELECT *, o_orderpriority AS o_comment_ FROM orders)),
+       p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'moved.json' ELSE source END AS source, CASE WHEN o_orderkey % 7 = 0 THEN 'x' WHEN o_orderkey % 3 = 0 THEN NULL ELSE fp END AS fp, CASE WHEN sg = 'P' THEN 'F' ELSE sg END AS sg FROM e WHERE o_orderkey % 11 <> 0)
+       SELECT e.o_orderkey AS episode, CASE WHEN p.o_orderkey IS NULL THEN 'not packaged' WHEN e.sg <> p.sg THEN 'another package' WHEN e.source <> p.source THEN 'another source' ELSE 'another fingerprint' END AS fault
+       FROM e LEFT JOIN p ON e.o_orderkey = p.o_orderkey WHERE p.o_orderkey IS NULL OR e.sg <> p.sg OR e.source <> p.source OR e.fp <> p.fp""")
+def _p17(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as packaged episodes, some of them missing, moved, of another signature or content."""
+    k = F.col("o_orderkey")
+    own = table(spark, d, "orders").select(F.lit("e").alias("experiment"), F.lit("v").alias("variant"), k.alias("episode"), F.col("o_orderstatus").alias("signature"), F.concat(F.col("o_custkey").cast("string"), F.lit(".json")).alias("source"), F.sha2("o_orderpriority", 256).alias("fingerprint"))
+    e = F.col("episode")
+    packaged = own.filter(e % 11 != 0).withColumns({"source": F.when(e % 5 == 0, "moved.json").otherwise(F.col("source")), "fingerprint": F.when(e % 7 == 0, "x").when(e % 3 == 0, None).otherwise(F.col("fingerprint")), "signature": F.when(F.col("signature") == "P", "F").otherwise(F.col("signature"))})
+    return guards.package_faults(packaged, own).select("episode", "fault")
 
 
-@query("f20_short_variants", "SELECT DISTINCT p_type, replace(p_type || '_hys085', '_hys085', '') AS short FROM part")
+@query("f20_short_variants", """SELECT DISTINCT p_type, p_brand, p_type || CASE p_brand WHEN 'Brand#1' THEN '' WHEN 'Brand#2' THEN '+xyz' WHEN 'Brand#3' THEN '+xyz_all' ELSE '+' || p_brand END AS short FROM part""")
 def _f20(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_type").distinct().select("p_type", sc.short_variant(F.concat("p_type", F.lit("_hys085"))).alias("short"))
+    correction = F.col("p_brand")
+    for maker, name in (("Brand#1", "none"), ("Brand#2", "xyz_mean_target_min_bending"), ("Brand#3", "xyz_mean_target_min_bending_all_anchors")):
+        correction = F.when(F.col("p_brand") == maker, name).otherwise(correction)
+    kinds = table(spark, d, "part").select("p_type", "p_brand").distinct()
+    return kinds.select("p_type", "p_brand", sc.short_variant(F.concat("p_type", F.lit("_hys085")), correction).alias("short"))

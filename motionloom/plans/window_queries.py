@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from motionloom.operators import corrections as co
 from motionloom.operators import events as ev
+from motionloom.operators import guards, runs
 from motionloom.operators import resample as rs
-from motionloom.operators import runs
 
 from .proxies import BY, FRAMES_SQL, ORDER, R6, frames
 from .registry import FLAGSHIP, ORACLES, QUERIES
+from .sqltext import Chain
 
 MAX_GAP = 3600.0
 _W = "(PARTITION BY episode_id ORDER BY frame_idx)"
@@ -38,9 +40,11 @@ _EVENTS_SQL = f""",
                  frame_idx - i0 > 1 AND t - t0 > {MAX_GAP} AS ambiguous, CASE WHEN frame_idx - i0 > 1 THEN t - t0 ELSE 0 END AS invalid_gap FROM g WHERE s0 <> state)"""
 
 
-@query("w21_grasp_hysteresis", "SELECT episode_id, frame_idx, state::INT AS state FROM f")
+@query("w21_grasp_hysteresis", " SELECT episode_id, frame_idx, CASE WHEN NOT valid THEN (value < 20)::INT ELSE coalesce(last_value(CASE WHEN valid AND value < 30 THEN 1 WHEN valid AND value > 60 THEN 0 END IGNORE NULLS) OVER (PARTITION BY episode_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING), 0) END::INT AS state FROM f")
 def _w21(f: DataFrame) -> DataFrame:
-    return f.select("episode_id", "frame_idx", "state")
+    """Rows without a ratio take their distance, and leave the latch alone."""
+    ratio = f.withColumn("ratio", F.when(F.col("valid"), F.col("value")))
+    return runs.hysteresis(ratio, BY, ORDER, "ratio", 30.0, 60.0, distance="value", near=20.0).select("episode_id", "frame_idx", F.col("state").cast("int").alias("state"))
 
 
 @query("w1_transitions", _EVENTS_SQL + " SELECT episode_id, ordinal, frame_idx, round(t, 6) AS t, transition, ambiguous, round(invalid_gap, 6) AS invalid_gap FROM e")
@@ -139,20 +143,16 @@ def _w12(f: DataFrame) -> DataFrame:
     return runs.merge_short_runs(f, BY, ORDER, "state", 3).select("episode_id", "frame_idx", "state")
 
 
-@query("w13_modes")
+@query("w13_modes", _SPEED + Chain("s").step("SELECT *, v < 60 AND w < 50 AS stop FROM {of}").filled("stop", 2).dropped("stop", 2).modes("stop", "v", "w", 40, 40, 3, 5, 8, 2).sql("SELECT episode_id, frame_idx, mode::INT AS mode"))
 def _w13(f: DataFrame) -> DataFrame:
     stopped = runs.stop_mask(_speeds(f), BY, ORDER, "v", "w", 60.0, 50.0, 3, 2)
     return runs.modes(stopped, BY, ORDER, "stop", "v", "w", 40.0, 40.0, 3, 5, 8, 2).select("episode_id", "frame_idx", F.col("mode").cast("int").alias("mode"))
 
 
-@query("w14_manipulation_window", f""", a AS (SELECT *, avg(CASE WHEN valid THEN value ELSE 99.0 END) OVER (PARTITION BY episode_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS m,
-      count(*) OVER (PARTITION BY episode_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS c FROM f)
-      SELECT episode_id, min(frame_idx) AS first_slow, max(frame_idx) AS last_slow, count(*) AS windows FROM a WHERE m < 40 AND c = 3 GROUP BY episode_id""")
+@query("w14_manipulation_window", Chain("f").refined("state", "CASE WHEN valid THEN value END", 45, 3, 2).sql("SELECT episode_id, frame_idx, state::INT AS state"))
 def _w14(f: DataFrame) -> DataFrame:
-    ahead = runs.series(BY, ORDER).rowsBetween(0, 2)
-    mean = F.avg(F.when(F.col("valid"), F.col("value")).otherwise(99.0)).over(ahead)
-    slow = f.withColumns({"m": mean, "c": F.count(F.lit(1)).over(ahead)}).filter("m < 40 and c = 3")
-    return slow.groupBy(*BY).agg(F.min(ORDER).alias("first_slow"), F.max(ORDER).alias("last_slow"), F.count(F.lit(1)).alias("windows"))
+    hands = f.withColumn("speed", F.when(F.col("valid"), F.col("value")))
+    return runs.refine_stops(hands, BY, ORDER, "state", "speed", 45.0, 3, 2).select("episode_id", "frame_idx", F.col("state").cast("int").alias("state"))
 
 
 @query("w15_mark_finish", "," + _runs_sql("state") + """, l AS (SELECT *, max(CASE WHEN state <> 3 THEN run END) OVER (PARTITION BY episode_id) AS lastrun FROM r)
@@ -161,10 +161,17 @@ def _w15(f: DataFrame) -> DataFrame:
     return runs.mark_finish(f, BY, ORDER, "state", 2).select("episode_id", "frame_idx", F.col("state").cast("int").alias("state"))
 
 
-@query("w16_phases")
+_PHASES = (
+    Chain("s").step("SELECT *, v < 60 AND w < 50 AS stop FROM {of}").filled("stop", 2).dropped("stop", 2).closed("stop", 2).vetoed("stop", "value", 3, 60.0).delayed("stop", 1)
+    .modes("stop", "v", "w", 40, 40, 3, 5, 8, 2).refined("mode", "CASE WHEN valid THEN value END", 45, 2, 1).finished("mode", 3)
+)
+
+
+@query("w16_phases", _SPEED + _PHASES.sql("SELECT episode_id, frame_idx, mode::INT AS mode"))
 def _w16(f: DataFrame) -> DataFrame:
-    done = runs.phases(_speeds(f), BY, ORDER, "v", "w", "value", 60.0, 50.0, turn=40.0, slow=40.0, veto=60.0)
-    return done.groupBy(*BY, F.col("mode").cast("int").alias("mode")).agg(F.count(F.lit(1)).alias("n_rows"), F.min(ORDER).alias("first"), F.max(ORDER).alias("last"))
+    hands = _speeds(f).withColumn("hand", F.when(F.col("valid"), F.col("value")))
+    done = runs.phases(hands, BY, ORDER, "v", "w", "value", 60.0, 50.0, turn=40.0, slow=40.0, veto=60.0, extend=2, hand_speed="hand", hand_slow=45.0, wait=2, margin=1)
+    return done.select("episode_id", "frame_idx", F.col("mode").cast("int").alias("mode"))
 
 
 @query("w17_longest_run", "," + _runs_sql("valid") + """, g AS (SELECT episode_id, run, min(frame_idx) AS "first", max(frame_idx) AS "last", count(*) AS length FROM r WHERE valid GROUP BY episode_id, run)
@@ -174,13 +181,15 @@ def _w17(f: DataFrame) -> DataFrame:
 
 
 @query("w18_unwrapped_yaw", f""", a AS (SELECT *, value / 30.0 - floor(value / 30.0 / (2 * pi())) * 2 * pi() AS yaw FROM f),
-      b AS (SELECT *, yaw - lag(yaw) OVER {_W} AS d FROM a),
+      b AS (SELECT *, yaw - lag(yaw) OVER {_W} AS d, t - lag(t) OVER {_W} AS dt FROM a),
       c AS (SELECT *, yaw + 2 * pi() * sum(CASE WHEN d IS NULL OR abs(d) < pi() THEN 0 ELSE -floor((d + pi()) / (2 * pi())) END) OVER {_W} AS u FROM b)
-      SELECT episode_id, frame_idx, round(u, 6) AS unwrapped, round(abs(u - lag(u) OVER {_W}), 6) AS rate FROM c""")
+      SELECT episode_id, frame_idx, round(u - first_value(u) OVER {_W}, 6) + 0 AS unwrapped, round(coalesce(CASE WHEN dt > 0 THEN 1e6 * abs(u - lag(u) OVER {_W}) / dt END, 0), 5) AS rate,
+             round(coalesce(CASE WHEN dt > 0 THEN 1e6 * sqrt((value - lag(value) OVER {_W})**2 + (value / 2 - lag(value / 2) OVER {_W})**2) / dt END, 0), 4) AS speed FROM c""")
 def _w18(f: DataFrame) -> DataFrame:
     angle = F.col("value") / 30.0
-    turned = runs.unwrapped(f.withColumn("yaw", angle - F.floor(angle / (2 * F.pi())) * 2 * F.pi()), BY, ORDER, "yaw")
-    return turned.select("episode_id", "frame_idx", R6("unwrapped").alias("unwrapped"), R6(F.abs(F.col("unwrapped") - F.lag("unwrapped").over(runs.series(BY, ORDER)))).alias("rate"))
+    turning = f.withColumns({"yaw": angle - F.floor(angle / (2 * F.pi())) * 2 * F.pi(), "y": F.col("value") / 2})
+    found = runs.odometry(turning, BY, ORDER, "t", ["value", "y"], "yaw")
+    return found.select("episode_id", "frame_idx", (R6("unwrapped") + 0.0).alias("unwrapped"), F.round(1e6 * F.col("yaw_rate"), 5).alias("rate"), F.round(1e6 * F.col("speed"), 4).alias("speed"))
 
 
 @query("w19_speed_reset", f""" SELECT episode_id, frame_idx, CASE WHEN valid THEN round(coalesce((value - lag(CASE WHEN valid THEN value END) OVER {_W}) / 0.5, 0), 6) END AS speed FROM f""")
@@ -244,12 +253,64 @@ def _p19(f: DataFrame) -> DataFrame:
     return ev.summary_counts(f, BY, ORDER, "state", "valid")
 
 
-@query("g2_event_segment", _EVENTS_SQL + """, b AS (SELECT episode_id, max(frame_idx) FILTER (WHERE ordinal = 0) AS a, max(frame_idx) FILTER (WHERE ordinal = 3) AS z FROM e GROUP BY episode_id)
-       SELECT f.episode_id, frame_idx, round(value, 6) AS value FROM f JOIN b ON f.episode_id = b.episode_id AND frame_idx BETWEEN a AND z AND z > a""")
+@query("g2_event_segment", _EVENTS_SQL + """, b AS (SELECT episode_id, max(frame_idx) FILTER (WHERE ordinal = 0) AS a, max(frame_idx) FILTER (WHERE ordinal = 3) AS z, bool_or(ambiguous) FILTER (WHERE ordinal IN (0, 3)) AS am FROM e GROUP BY episode_id)
+       SELECT f.episode_id, frame_idx, round(value, 6) AS value FROM f JOIN b ON f.episode_id = b.episode_id AND frame_idx BETWEEN a AND z AND z > a AND NOT am""")
 def _g2(f: DataFrame) -> DataFrame:
     return ev.segments(f, _events(f), BY, ORDER, 0, 3).select("episode_id", "frame_idx", R6("value").alias("value"))
 
 
+@query("g2_segment_bounds", _EVENTS_SQL + """, q AS (SELECT episode_id, min(frame_idx) AS lo, max(frame_idx) AS hi FROM f GROUP BY episode_id), x AS (SELECT episode_id, max(ordinal) AS top FROM e GROUP BY episode_id),
+       b AS (SELECT q.episode_id, lo, hi, l.frame_idx AS z, l.ambiguous AS am, top FROM q LEFT JOIN x ON q.episode_id = x.episode_id LEFT JOIN e l ON q.episode_id = l.episode_id AND l.ordinal = x.top)
+       SELECT episode_id, lo AS "first", z AS "last", CASE WHEN z IS NULL THEN 'no event last' WHEN am THEN 'event last is ambiguous' WHEN z <= lo THEN 'the end is not after the start' END AS fault FROM b""")
+def _g2b(f: DataFrame) -> DataFrame:
+    """From a series' beginning to its last event; why some have no such segment."""
+    return ev.segment_bounds(f, _events(f), BY, ORDER, None, "last")
+
+
+_TARGETS = [("start", None, 45.0, 20.0), ("0", "close", 20.0, 12.0), ("2", "close", 18.0, 9.0), ("end", None, 55.0, 30.0)]
+_TARGETS_SQL = ", ".join(f"('{a}', {repr(t) if t else 'NULL'}, {x}, {y})" for a, t, x, y in _TARGETS)
+_G7_SQL = f"""{_EVENTS_SQL}, tg(anchor, wanted, tx, ty) AS (VALUES {_TARGETS_SQL}), q AS (SELECT episode_id, min(frame_idx) FILTER (WHERE valid) AS lo, max(frame_idx) FILTER (WHERE valid) AS hi, max(frame_idx) AS n1 FROM f GROUP BY episode_id),
+       an AS (SELECT q.episode_id, anchor, tx, ty, CASE anchor WHEN 'start' THEN lo WHEN 'end' THEN hi ELSE e.frame_idx END AS pos,
+                     CASE WHEN anchor IN ('start', 'end') THEN CASE WHEN lo IS NULL THEN 'no valid row' END WHEN e.episode_id IS NULL THEN 'no such event' WHEN ambiguous THEN 'ambiguous event' WHEN transition <> wanted THEN 'another transition' END AS fault
+              FROM q CROSS JOIN tg LEFT JOIN e ON q.episode_id = e.episode_id AND e.ordinal::VARCHAR = anchor),
+       re AS (SELECT episode_id, min(anchor || ': ' || fault) AS reason FROM an GROUP BY episode_id),
+       d AS (SELECT an.episode_id, pos AS frame_idx, tx - value AS dx, ty - value / 2 AS dy FROM an JOIN f ON an.episode_id = f.episode_id AND pos = f.frame_idx WHERE an.episode_id NOT IN (SELECT episode_id FROM re WHERE reason IS NOT NULL)),
+       w AS (SELECT f.*, CASE WHEN d.dx IS NOT NULL THEN d.dx WHEN f.frame_idx IN (0, n1) THEN 0 END AS cx, CASE WHEN d.dy IS NOT NULL THEN d.dy WHEN f.frame_idx IN (0, n1) THEN 0 END AS cy FROM f JOIN q ON f.episode_id = q.episode_id LEFT JOIN d ON f.episode_id = d.episode_id AND f.frame_idx = d.frame_idx),
+       z AS (SELECT *, last_value(CASE WHEN cx IS NOT NULL THEN frame_idx END IGNORE NULLS) OVER p AS x0, first_value(CASE WHEN cx IS NOT NULL THEN frame_idx END IGNORE NULLS) OVER n AS x1, last_value(cx IGNORE NULLS) OVER p AS a0, first_value(cx IGNORE NULLS) OVER n AS a1,
+                    last_value(cy IGNORE NULLS) OVER p AS b0, first_value(cy IGNORE NULLS) OVER n AS b1 FROM w
+             WINDOW p AS (PARTITION BY episode_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING), n AS (PARTITION BY episode_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+       m AS (SELECT *, CASE WHEN x1 > x0 THEN (frame_idx - x0) / (x1 - x0)::DOUBLE ELSE 0 END AS sh FROM z)
+       SELECT m.episode_id, frame_idx, round(value + CASE WHEN valid AND reason IS NULL THEN a0 + (a1 - a0) * sh ELSE 0 END, 5) + 0 AS x, round(value / 2 + CASE WHEN valid AND reason IS NULL THEN b0 + (b1 - b0) * sh ELSE 0 END, 5) + 0 AS y, reason FROM m JOIN re ON m.episode_id = re.episode_id"""
+
+
+def _corrected(f: DataFrame, method: str) -> DataFrame:
+    rows = f.withColumns({"x": F.col("value"), "y": F.col("value") / 2})
+    targets = f.sparkSession.createDataFrame(_TARGETS, "anchor string, transition string, x double, y double")
+    done = co.corrected_positions(rows, _events(f), targets, BY, ORDER, "valid", ["x", "y"], [a for a, *_ in _TARGETS], method)
+    return done.select("episode_id", "frame_idx", *[(F.round(c, 5) + 0.0).alias(c) for c in "xy"], "reason")
+
+
+@query("g7_position_correction", _G7_SQL)
+def _g7(f: DataFrame) -> DataFrame:
+    """Series drawn to targets at their ends and at two events, by lines between; others say what they lack."""
+    return _corrected(f, "linear")
+
+
+@query("g7_position_correction_min_bending")
+def _g7b(f: DataFrame) -> DataFrame:
+    return _corrected(f, "min_bending")
+
+
+@query("j9_anchor_correspondence", _EVENTS_SQL + """ SELECT a.episode_id AS a, a.ordinal, a.transition, round(abs(x.value - y.value), 6) AS error FROM e a JOIN e b ON b.episode_id = a.episode_id + 1 AND b.ordinal = a.ordinal AND a.transition = b.transition
+       JOIN f x ON x.episode_id = a.episode_id AND x.frame_idx = a.frame_idx JOIN f y ON y.episode_id = b.episode_id AND y.frame_idx = b.frame_idx""")
+def _j9(f: DataFrame) -> DataFrame:
+    """A series' events against those of the next series, as of two tracks of one take."""
+    at = _events(f).select("episode_id", "ordinal", "transition", ORDER).join(f.select("episode_id", ORDER, "value"), ["episode_id", ORDER])
+    left = at.withColumnRenamed("episode_id", "a")
+    right = at.withColumn("a", F.col("episode_id") - 1)
+    return ev.event_errors(left, right, ["a"], ["value"]).select("a", "ordinal", "transition", R6("error").alias("error"))
+
+
 @query("g11_short_gap_interpolation", f""", a AS (SELECT *, {_KNOWN} AS k, CASE WHEN valid THEN frame_idx END AS i FROM f),
       b AS (SELECT *, last_value(i IGNORE NULLS) OVER p AS x0, first_value(i IGNORE NULLS) OVER n AS x1, last_value(k IGNORE NULLS) OVER p AS y0, first_value(k IGNORE NULLS) OVER n AS y1 FROM a
             WINDOW p AS (PARTITION BY episode_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING), n AS (PARTITION BY episode_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
@@ -271,25 +332,33 @@ def _g16(f: DataFrame) -> DataFrame:
     return rs.thinned(f, BY, ORDER, 9).select("episode_id", "frame_idx")
 
 
-@query("g1_resampled", f""", z AS (SELECT episode_id, min(t) AS a, max(t) AS b FROM f GROUP BY episode_id),
-      tg AS (SELECT episode_id, i AS sample, CASE WHEN i = 19 THEN b ELSE a + i * ((b - a) / 19) END AS tt FROM z CROSS JOIN range(20) r(i)),
-      p AS (SELECT tg.*, f.t AS pt, f.value AS pv, f.state AS ps, f.valid AS pok FROM tg ASOF JOIN f ON tg.episode_id = f.episode_id AND tg.tt >= f.t),
-      n AS (SELECT p.*, f.t AS nt, f.value AS nv, f.state AS ns, f.valid AS nok FROM p ASOF LEFT JOIN f ON p.episode_id = f.episode_id AND p.tt < f.t),
-      x AS (SELECT *, CASE WHEN nt IS NOT NULL AND abs(nt - tt) <= 1e-10 + 1e-5 * abs(nt) AND pt <> tt THEN 1 WHEN abs(pt - tt) <= 1e-10 + 1e-5 * abs(pt) THEN 0 END AS hit,
-                   coalesce(pok AND nok AND nt - pt <= 200000, false) AS ok, (tt - pt) / (nt - pt) AS al FROM n)
-      SELECT episode_id, sample, round(tt, 6) AS t, round(CASE WHEN hit = 1 THEN CASE WHEN nok THEN nv END WHEN hit = 0 THEN CASE WHEN pok THEN pv END WHEN ok THEN pv + al * (nv - pv) END, 6) AS value,
-             CASE WHEN hit = 1 THEN CASE WHEN nok THEN ns END WHEN hit = 0 THEN CASE WHEN pok THEN ps END WHEN ok THEN CASE WHEN al < 0.5 THEN ps ELSE ns END END::INT AS state,
-             CASE WHEN hit = 1 THEN nok WHEN hit = 0 THEN pok ELSE ok END AS valid FROM x""")
+_GRID = ", z AS (SELECT episode_id, min(t) AS a, max(t) AS b FROM f GROUP BY episode_id), tg AS (SELECT episode_id, i AS sample, CASE WHEN i = 19 THEN b ELSE a + i * ((b - a) / 19) END AS tt FROM z CROSS JOIN range(20) r(i))"
+
+
+@query("g1_resampled", _GRID + """, lf AS (SELECT tg.*, f.t AS pt, f.value AS pv, f.state AS ps, f.valid AS pok FROM tg ASOF LEFT JOIN f ON tg.episode_id = f.episode_id AND tg.tt > f.t),
+      rt AS (SELECT lf.*, f.t AS nt, f.value AS nv, f.state AS ns, f.valid AS nok FROM lf ASOF LEFT JOIN f ON lf.episode_id = f.episode_id AND lf.tt <= f.t),
+      x AS (SELECT *, nt IS NOT NULL AND abs(nt - tt) <= 1e-10 + 1e-5 * abs(tt) AS hit, coalesce(pok AND nok AND nt - pt <= 200000, false) AS ok, (tt - pt) / (nt - pt) AS al FROM rt)
+      SELECT episode_id, sample, round(tt, 6) AS t, round(CASE WHEN hit THEN CASE WHEN nok THEN nv END WHEN ok THEN pv + al * (nv - pv) END, 6) AS value,
+             CASE WHEN hit THEN CASE WHEN nok THEN ns END WHEN ok THEN CASE WHEN al < 0.5 THEN ps ELSE ns END END::INT AS state, CASE WHEN hit THEN nok ELSE ok END AS valid FROM x""")
 def _g1(f: DataFrame) -> DataFrame:
-    return rs.resampled(f, BY, "t", "value", "state", "valid", 20, 200_000.0).withColumns({"t": R6("t"), "value": R6("value")})
+    found = rs.resampled(f, BY, "t", "valid", 200_000.0, 20, linear=["value"], nearest=["state"])
+    return found.withColumns({"t": R6("t"), "value": R6("value")})
 
 
-@query("s2_timestamps", f""", a AS (SELECT *, CASE WHEN episode_id % 5 = 0 AND frame_idx = 3 THEN NULL ELSE t * 1e9 END AS ns FROM f), b AS (SELECT *, ns - lag(ns) OVER {_W} AS st FROM a),
-      c AS (SELECT *, bool_and(ns IS NOT NULL) OVER (PARTITION BY episode_id) AS known, first_value(ns) OVER {_W} AS n0, quantile_cont(st, 0.5) OVER (PARTITION BY episode_id) AS md FROM b)
-      SELECT episode_id, frame_idx, round(CASE WHEN known THEN (ns - n0) * (CASE WHEN coalesce(md, 0) > 1e3 THEN 1e-9 ELSE 1 END) ELSE frame_idx / 10.0 END, 6) AS t FROM c""")
+@query("s2_timestamps", f""", a AS (SELECT *, CASE WHEN episode_id % 5 = 0 AND frame_idx = 3 THEN NULL ELSE t * 1e9 END AS ns, CASE WHEN episode_id % 3 = 0 THEN t / 2 WHEN frame_idx <> 2 THEN t END AS sec FROM f), b AS (SELECT *, ns - lag(ns) OVER {_W} AS st FROM a),
+      c AS (SELECT *, bool_and(sec IS NOT NULL) OVER (PARTITION BY episode_id) AS timed, bool_and(ns IS NOT NULL) OVER (PARTITION BY episode_id) AS known, first_value(ns) OVER {_W} AS n0, quantile_cont(st, 0.5) OVER (PARTITION BY episode_id) AS md FROM b)
+      SELECT episode_id, frame_idx, round(CASE WHEN timed THEN sec WHEN known THEN (ns - n0) * (CASE WHEN coalesce(md, 0) > 1e3 THEN 1e-9 ELSE 1 END) ELSE frame_idx / 10.0 END, 6) AS t FROM c""")
 def _s2(f: DataFrame) -> DataFrame:
-    ns = f.withColumn("ns", F.when(~((F.col("episode_id") % 5 == 0) & (F.col("frame_idx") == 3)), F.col("t") * 1e9)).drop("t")
-    return rs.rebased(ns, BY, ORDER, "ns", 10.0).select("episode_id", "frame_idx", F.round("t", 6).alias("t"))
+    ns = F.when(~((F.col("episode_id") % 5 == 0) & (F.col("frame_idx") == 3)), F.col("t") * 1e9)
+    seconds = F.when(F.col("episode_id") % 3 == 0, F.col("t") / 2).when(F.col("frame_idx") != 2, F.col("t"))
+    timed = f.withColumns({"ns": ns, "sec": seconds, "fps": F.lit(10.0)}).drop("t")
+    return rs.resolved_times(timed, BY, ORDER, "sec", "ns", "fps").select("episode_id", "frame_idx", F.round("t", 6).alias("t"))
+
+
+@query("s2_rebased", f""", b AS (SELECT *, t * 1e9 AS ns FROM f) SELECT episode_id, frame_idx, round((ns - first_value(ns) OVER {_W}) * 1e-9, 6) AS t FROM b""")
+def _s2b(f: DataFrame) -> DataFrame:
+    """Nanoseconds from the first row; a series of one row, without a step, keeps its zero."""
+    return rs.rebased(f.withColumn("ns", F.col("t") * 1e9).drop("t"), BY, ORDER, "ns", 10.0).select("episode_id", "frame_idx", F.round("t", 6).alias("t"))
 
 
 @query("p6_trimmed", """, n AS (SELECT *, count(*) OVER (PARTITION BY episode_id) AS c FROM f) SELECT episode_id, frame_idx FROM n WHERE frame_idx >= 2 AND frame_idx < c - 4""")
@@ -297,11 +366,13 @@ def _p6(f: DataFrame) -> DataFrame:
     return rs.trimmed(f, BY, ORDER, 0.25, 0.35, 10.0).select("episode_id", "frame_idx")
 
 
-@query("p1_validation", f""", a AS (SELECT *, lag(t) OVER {_W} AS t0 FROM f) SELECT episode_id, bool_and(t0 IS NULL OR t > t0) AS increasing, bool_and(state IN (0, 1)) AS binary_state, bool_and(NOT valid OR isfinite(value)) AS finite, count(*) AS n_rows FROM a GROUP BY episode_id""")
+@query("p1_validation", f""", a AS (SELECT *, CASE WHEN frame_idx = 5 AND episode_id % 4 = 0 THEN t - 1e9 ELSE t END AS u, CASE WHEN episode_id % 6 = 0 AND frame_idx = 2 THEN 'inf'::DOUBLE ELSE value END AS x FROM f), b AS (SELECT *, lag(u) OVER {_W} AS u0 FROM a)
+       SELECT episode_id, bool_and(u0 IS NULL OR u > u0) AS increasing, bool_and(state IN (0, 1)) AS binary_state, bool_and(NOT valid OR isfinite(x)) AS finite, count(*) AS n_rows FROM b GROUP BY episode_id""")
 def _p1(f: DataFrame) -> DataFrame:
-    stepped = f.withColumn("t0", F.lag("t").over(runs.series(BY, ORDER)))
-    finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
-    return stepped.groupBy(*BY).agg(F.every(F.col("t0").isNull() | (F.col("t") > F.col("t0"))).alias("increasing"), F.every(F.col("state").isin(0, 1)).alias("binary_state"), F.every(~F.col("valid") | finite).alias("finite"), F.count(F.lit(1)).alias("n_rows"))
+    """Some series have a time that falls, some a value that is not finite."""
+    late = F.when((F.col("frame_idx") == 5) & (F.col("episode_id") % 4 == 0), F.col("t") - 1e9).otherwise(F.col("t"))
+    value = F.when((F.col("episode_id") % 6 == 0) & (F.col("frame_idx") == 2), float("inf")).otherwise(F.col("value"))
+    return guards.trajectory_rules(f.withColumns({"t": late, "value": value}), BY, ORDER, "t", "state", "valid", ["value"]).drop("unit")
 
 
 @query("a20_median_jump", f""", a AS (SELECT *, count(*) OVER (PARTITION BY episode_id) AS c, quantile_cont(value, 0.5) OVER (PARTITION BY episode_id ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS b,
