@@ -159,20 +159,42 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """members (h, node, ...) of groups h in several components, with label; main, the label most of them have, a member of it, and their number."""
-    seen = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    shares = seen.groupBy("h", "label").agg(F.count("*").alias("c"), F.min("node").alias("center")).groupBy("h")
-    groups = shares.agg(F.max(F.struct("c", "label", "center")).alias("top"), F.count("*").alias("labels"), F.sum("c").alias("members")).filter("labels > 1")
-    groups = written(groups.select("h", F.col("top.label").alias("main"), F.col("top.center").alias("center"), "members"), "groups")
-    return written(seen.join(bounded(groups), "h"), "mixed")
+def _components(links: DataFrame) -> DataFrame:
+    """(node, label) of the links' components, written."""
+    return written(components(links.toDF("u", "v")), "labels")
+
+
+def _widened(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after more links (a, b): only the components that these touch are put together, as one node each."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("u"), F.coalesce("lb", "b").alias("v"))
+    ends = written(ends.filter("u <> v").distinct(), "edges")
+    if ends.isEmpty():
+        return labels
+    moved = written(components(ends), "moved").select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = labels.join(bounded(moved), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    alone = moved.join(labels.select(F.col("node").alias("label")), "label", "left_anti")  # nodes that had no component
+    return written(old.union(alone.select(F.col("label").alias("node"), F.col("to").alias("label"))), "labels")
+
+
+def _outsiders(loose: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of loose (h, center, members, node) those in another component than their center, with label and main (the center's), in buckets that are not done; written.
+
+    A bucket is done if its members, but for the center, which has met them all, are in one component.
+    """
+    out = loose.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    out = out.join(labels.select(F.col("node").alias("center"), F.col("label").alias("main")), "center", "left").withColumn("main", F.coalesce("main", "center"))
+    out = written(out.filter("label <> main"), "outsiders")
+    one = out.groupBy("h").agg(F.count("*").alias("outside"), F.min("label").alias("least"), F.max("label").alias("most"))
+    done = one.join(out.select("h", "members").distinct(), "h").filter("outside = members - 1 and least = most").select("h")
+    return written(out.join(done, "h", "left_anti"), "outsiders")
 
 
 def _met(members: DataFrame, least: float, percent: int) -> DataFrame:
     """Links (a, b) between components within buckets of BLOCK members at most.
 
-    members has h, node, label, main, n, regs and s. In a task, members outside the main
-    component meet all others, likeliest first, on the full sets, until one link to each
+    members has h, node, label, main, n, regs and s. In a task, members outside the center's
+    component (main) meet all others, likeliest first, on the full sets, until one link to each
     other component is found. Of the bands that a pair shares only the first takes it.
     """
 
@@ -244,13 +266,14 @@ def _pairs_of_few(groups: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components within groups of FEW members at most, if sizes and places allow the similarity."""
     side = lambda x: groups.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "place", "n")])
     both = side("a").join(side("b"), "h").filter("node_a < node_b and label_a <> label_b")
-    rest = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) - 1 + F.least("place_a", "place_b")
-    able = (100 + percent) * rest >= percent * (F.col("n_a") + F.col("n_b"))
+    # Both sets hold an element at these places of the common order: what can be shared lies before it in both, or after it in both.
+    shared = F.least("place_a", "place_b") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    able = (100 + percent) * shared >= percent * (F.col("n_a") + F.col("n_b"))
     return both.filter(able).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _pairs_of_blocks(groups: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different components over the estimate within groups, those outside the main component against all, a block against a block in a task."""
+    """Pairs (a, b) of different components over the estimate within groups, outsiders (outside = 1) against all, a block against a block in a task."""
 
     def run(group: pa.Table) -> pa.Table:
         node, label, n, outside = (group.column(x).to_numpy() for x in ("node", "label", "n", "outside"))
@@ -266,49 +289,67 @@ def _pairs_of_blocks(groups: DataFrame, classes: DataFrame, least: float) -> Dat
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    outsiders = groups.filter("label <> main").groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("lefts"))
-    sized = groups.select("h", "node", "label", "main", F.ceil(F.col("members") / BLOCK).cast("int").alias("rights")).join(bounded(written(outsiders, "outsiders")), "h")
+    sizes = groups.groupBy("h").agg(F.ceil(F.sum("outside") / BLOCK).cast("int").alias("lefts"), F.ceil(F.count("*") / BLOCK).cast("int").alias("rights"))
+    sized = groups.select("h", "node", "label", "outside").join(bounded(written(sizes, "sizes")), "h")
     place = lambda many: F.pmod(F.xxhash64("node"), F.col(many)).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
     inside = sized.select("h", "node", "label", every("lefts").alias("left"), place("rights").alias("right"), F.lit(0).alias("outside"))
-    outside = sized.filter("label <> main").select("h", "node", "label", place("lefts").alias("left"), every("rights").alias("right"), F.lit(1).alias("outside"))
+    outside = sized.filter("outside = 1").select("h", "node", "label", place("lefts").alias("left"), every("rights").alias("right"), F.lit(1).alias("outside"))
     dealt = inside.union(outside).join(classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "regs"), "node")
     return dealt.groupBy("h", "left", "right").applyInArrow(run, "a long, b long").distinct()
 
 
-def _linked(links: DataFrame) -> DataFrame:
-    return written(components(links.toDF("u", "v")), "labels")
-
-
 def _completed(held: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, label) after links between members of a bucket, other than its center, that are still in different components.
 
-    held has h and node, links a and b.
+    held has h, a (the center), members and rep, links a and b. Members that are linked to
+    their center are in its component; only the others are looked at.
     """
     least = percent / 100 - MARGIN
-    labels = _linked(links)
-    mixed_ = _mixed(held, labels)
-    if mixed_.isEmpty():
+    labels = _components(links)
+    loose = held.filter("members > 2").join(links.withColumnRenamed("b", "rep"), ["a", "rep"], "left_anti")
+    loose = written(loose.select("h", F.col("a").alias("center"), "members", F.col("rep").alias("node")), "loose")
+    out = _outsiders(loose, labels)
+    if out.isEmpty():
         return labels
-    small, large = mixed_.filter(F.col("members") <= BLOCK), mixed_.filter(F.col("members") > BLOCK)
-    nodes = written(small.select("node").distinct(), "nodes")
+
+    # Small buckets: all members in one task, with their sets.
+    few = written(out.filter(F.col("members") <= BLOCK).select("h", "main").distinct(), "buckets")
+    rows = held.select("h", F.col("rep").alias("node")).join(bounded(few), "h").join(out.select("h", "node", "label"), ["h", "node"], "left")
+    rows = written(rows.withColumn("label", F.coalesce("label", "main")), "members")
+    nodes = written(rows.select("node").distinct(), "nodes")
     sets = _sets(nodes.withColumnRenamed("node", "doc_id"), docs, shingle)
     whole = classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "regs").join(bounded(nodes), "node", "left_semi")
     whole = whole.join(sets.withColumnRenamed("doc_id", "node"), "node")
-    links = written(links.union(_met(small.join(whole, "node"), least, percent)), "links")
-    if large.isEmpty():
-        return _linked(links)
+    labels = _widened(labels, written(_met(rows.join(whole, "node"), least, percent), "met"))
 
+    # Large ones: outsiders first meet two more members, then what shares a rare shingle with them.
     sure = lambda pairs: written(confirmed(written(_likely(written(pairs, "pairs"), classes, least), "pairs"), docs, shingle, percent), "links")
-    prefixes = _prefixes(large.select("node").distinct(), docs, shingle, percent)
-    groups = _mixed(prefixes, _linked(links))
-    wide = groups.filter((F.col("members") > BLOCK) & (F.col("label") != F.col("main")))
-    if not wide.isEmpty():  # first against one of the main component
-        links = written(links.union(sure(wide.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())), "links")
-        groups = _mixed(prefixes, _linked(links))
-    pairs = _pairs_of_few(groups.filter(F.col("members") <= FEW), percent)
-    pairs = pairs.union(_pairs_of_blocks(groups.filter(F.col("members") > FEW), classes, least)).distinct()
-    return _linked(links.union(sure(pairs)))
+    large = lambda: _outsiders(loose.filter(F.col("members") > BLOCK), labels)
+    out = out.filter(F.col("members") > BLOCK)
+    for other in (F.max("rep"), F.min_by("rep", F.xxhash64("rep"))):
+        if out.isEmpty():
+            return labels
+        centers = held.join(bounded(written(out.select("h").distinct(), "buckets")), "h", "left_semi").groupBy("h").agg(other.alias("other"))
+        pairs = out.join(bounded(written(centers, "centers")), "h").filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        labels = _widened(labels, sure(pairs.distinct()))
+        out = large()
+    if out.isEmpty():
+        return labels
+    outside = written(out.select("node").distinct(), "nodes")
+    buckets = bounded(written(out.select("h").distinct(), "buckets"))
+    inside = held.join(buckets, "h", "left_semi").select(F.col("rep").alias("node")).distinct().join(bounded(outside), "node", "left_anti")
+    nodes = written(outside.withColumn("outside", F.lit(1)).union(inside.withColumn("outside", F.lit(0))), "nodes")
+    prefixes = _prefixes(nodes.select("node"), docs, shingle, percent)
+    marked = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sought = prefixes.join(bounded(outside), "node", "left_semi").select("h").distinct()
+    groups = prefixes.join(bounded(written(sought, "sought")), "h", "left_semi").join(bounded(written(marked, "marked")), "node")
+    groups = written(groups, "groups")
+    size = groups.groupBy("h").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
+    size = bounded(written(size.select("h", "size"), "sizes"))
+    pairs = _pairs_of_few(groups.join(size, "h").filter(F.col("size") <= FEW), percent)
+    pairs = pairs.union(_pairs_of_blocks(groups.join(size, "h").filter(F.col("size") > FEW), classes, least)).distinct()
+    return _widened(labels, sure(pairs))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -344,7 +385,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("doc_id", "a")
         repeated = members.join(several, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
         links = written(links.union(repeated), "links")
-    labels = _completed(held.filter("members > 2").select("h", F.col("rep").alias("node")), links, classes, docs, shingle, percent)
+    labels = _completed(held, links, classes, docs, shingle, percent)
 
     owned = classes.select(*KEYS, "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     owned = owned.select(*KEYS, F.coalesce("label", "rep").alias("label"))
