@@ -20,7 +20,13 @@ def _files(spark: SparkSession, path: str):
 def read_provenance(spark: SparkSession, path: str) -> dict | None:
     """What write_episodes noted of a dataset, None if there is none."""
     there, files = _files(spark, f"{path}/{PROVENANCE}")
-    return json.loads("\n".join(r.value for r in spark.read.text(f"{path}/{PROVENANCE}").collect())) if files.exists(there) else None
+    if not files.exists(there):
+        return None
+    stream = files.open(there)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def write_episodes(rows: DataFrame, path: str, episode: str = "episode_index", order: str = "frame_index", signature: str | None = None, provenance: dict | None = None) -> bool:

@@ -111,9 +111,9 @@ def test_continuous_quaternions_equal_a_loop(spark):
 
 def test_resampling_does_not_skip_an_invalid_neighbour(spark):
     df = series(spark, t=[0.0, 1.0, 2.0, 3.0, 4.0], x=[0.0, 1.0, 2.0, 3.0, 4.0], s=[0, 0, 1, 1, 1], ok=[True, True, False, True, True])
-    found = rs.resampled(df, BY, "t", "x", "s", "ok", 9, 1.5).orderBy("sample").collect()
-    assert [r.value for r in found] == [0.0, 0.5, 1.0, None, None, None, 3.0, 3.5, 4.0]
-    assert [r.valid for r in found] == [True, True, True, False, False, False, True, True, True]
+    found = rs.resampled(df, BY, "t", "ok", 1.5, 9, linear=["x"], nearest=["s"]).orderBy("sample").collect()
+    assert [r.x for r in found] == [0.0, 0.5, 1.0, None, None, None, 3.0, 3.5, 4.0]
+    assert [r.ok for r in found] == [True, True, True, False, False, False, True, True, True]
 
 
 def test_floors_and_pooled_statistics(spark):
@@ -151,11 +151,40 @@ def test_dtw():
         numeric.dtw(a[:1], b)
 
 
-@pytest.mark.parametrize("method", ["linear", "min_bending", "smooth_spline"])
+@pytest.mark.parametrize("method", ["linear", "min_bending"])
 def test_propagation_keeps_ends_and_anchor(method):
     out = numeric.propagate(11, [5], np.array([[2.0]]), method)[:, 0]
-    tolerance = 0.2 if method == "smooth_spline" else 1e-9
-    assert abs(out[0]) < tolerance and abs(out[-1]) < tolerance and abs(out[5] - 2) < tolerance
+    assert abs(out[0]) < 1e-9 and abs(out[-1]) < 1e-9 and abs(out[5] - 2) < 1e-9
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 7, 40])
+def test_propagation_equals_dense_systems(n):
+    rng = np.random.default_rng(n)
+    bend = np.zeros((max(0, n - 2), n))
+    for k in range(n - 2):
+        bend[k, k : k + 3] = 1, -2, 1
+    for count in range(0, min(n, 4)):
+        frames = sorted(rng.choice(n, count, replace=False).tolist())
+        values = rng.normal(size=(count, 2))
+        control = {0: np.zeros(2), n - 1: np.zeros(2)} | dict(zip(frames, values, strict=True))
+        at = np.array(sorted(control))
+        points = np.array([control[f] for f in at])
+        weight = np.zeros(n)
+        weight[at] = np.where((at == 0) | (at == n - 1), 3.0, 2.0)
+        target = np.zeros((n, 2))
+        target[at] = weight[at, None] * points
+        smooth = np.linalg.solve(np.diag(weight) + 7 * bend.T @ bend + 0.1 * np.eye(n), target)
+        assert np.allclose(numeric.propagate(n, frames, values, "smooth_spline", 3.0, 2.0, 7.0, 0.1), smooth)
+        free = np.setdiff1d(np.arange(n), at)
+        if n > 2 and len(free):
+            h = bend.T @ bend
+            want = np.zeros((n, 2))
+            want[at] = points
+            want[free] = np.linalg.solve(h[np.ix_(free, free)] + 1e-12 * np.eye(len(free)), -h[np.ix_(free, at)] @ points)
+            assert np.allclose(numeric.propagate(n, frames, values, "min_bending"), want, atol=1e-6)
+    assert abs(numeric.propagate(11, [5], np.array([[2.0]]), "smooth_spline")[5, 0] - 0.83) < 0.01
+    with pytest.raises(ValueError, match="two values"):
+        numeric.propagate(5, [2, 2], np.array([[1.0], [2.0]]))
 
 
 def test_sequential_numerics():
@@ -221,7 +250,7 @@ def test_driver_side_metadata(tmp_path):
 
     assert config.merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}, "d": 4}) == {"a": {"b": 3, "c": 2}, "d": 4}
     assert config.names("all", ["x", "y"]) == ["x", "y"] and config.names("y,x", ["x", "y"]) == ["x", "y"]
-    assert config.segment("first:3") == (None, 3) and config.segment("0:last") == (0, None) and config.segment(":") == (None, None)
+    assert config.segment("first:3") == ("first", 3) and config.segment("0:last") == (0, "last") and config.segment(":") == (None, None)
     assert [r["id"] for r in config.run_product({"p": 1, "q": 2}, {"z": 3})] == ["p+z", "q+z"]
     assert config.leaked({"sides": {"calibration_episode_ids": [1, 2], "ego_calibration_episodes": [3]}, "calibration": [4]}, {"2", "3", "4"}) == {"2", "4"}
     assert config.stable_seed(1, "a") == config.stable_seed(1, "a") != config.stable_seed(2, "a")
@@ -235,12 +264,33 @@ def test_driver_side_metadata(tmp_path):
 
 
 def test_manifest_and_catalog(spark, tmp_path):
-    (tmp_path / "m.json").write_text(json.dumps({"schema": "m", "schema_version": 1, "episodes": [{"episode_index": 1, "path": "a"}, {"episode_index": 2, "path": "b"}]}))
-    assert {(r.episode_id, r.path) for r in trajectories.read_manifest(spark, str(tmp_path / "m.json")).collect()} == {("1", "a"), ("2", "b")}
-    rows = spark.createDataFrame([(7, 60, 0, 3, 2.0)], "`episode_index` long, length long, `data/chunk_index` long, `data/file_index` long, `videos/head/from_timestamp` double")
-    rows.write.parquet(str(tmp_path / "set" / "meta" / "episodes"))
-    found = trajectories.read_catalog(spark, str(tmp_path / "set"), "data/chunk-{chunk}/file-{file}.parquet", "head").first()
+    def manifest(*ids, name="m"):
+        (tmp_path / "m.json").write_text(json.dumps({"schema": name, "schema_version": 1, "episodes": [{"episode_index": i, "path": f"{i}.json"} for i in ids]}))
+        return trajectories.read_manifest(spark, str(tmp_path / "m.json"), "m", 1, str(tmp_path))
+
+    for i in (1, 2):
+        (tmp_path / f"{i}.json").write_text("{}")
+    assert {(r.episode_id, r.path) for r in manifest(1, 2).collect()} == {("1", "1.json"), ("2", "2.json")}
+    for ids, error, what in (((), ValueError, "no episodes"), ((1, 1), ValueError, "twice"), ((1, 3), FileNotFoundError, "3.json")):
+        with pytest.raises(error, match=what):
+            manifest(*ids)
+    with pytest.raises(ValueError, match="not a manifest"):
+        manifest(1, name="other")
+    kinds = "`episode_index` long, length long, `data/chunk_index` long, `data/file_index` long, `videos/head/chunk_index` long, `videos/head/file_index` long, `videos/head/from_timestamp` double"
+    root = tmp_path / "set"
+    spark.createDataFrame([(7, 60, 0, 3, 0, 1, 2.0)], kinds).write.parquet(str(root / "meta" / "episodes"))
+    found = trajectories.read_catalog(spark, str(root), "data/chunk-{chunk}/file-{file}.parquet", "head").first()
     assert found.data_file == "data/chunk-000/file-003.parquet" and found.from_timestamp == 2.0
+    (root / "meta" / "info.json").write_text(json.dumps({"fps": 30, "data_path": "data/chunk-{chunk_index:03d}/file-{file_index:03d}.parquet", "video_path": "videos/{video_key}/chunk-{chunk_index:03d}/file-{file_index:03d}.mp4"}))
+    found = trajectories.read_catalog(spark, str(root), video_key="head").first()
+    assert (found.data_file, found.video_file, found.start_frame) == ("data/chunk-000/file-003.parquet", "videos/head/chunk-000/file-001.mp4", 60)
+    spark.createDataFrame([(7, 60, 0, 3, 0, 1, 2.0)], kinds).write.mode("append").parquet(str(root / "meta" / "episodes"))
+    with pytest.raises(ValueError, match="listed twice"):
+        trajectories.read_catalog(spark, str(root))
+    (root / "meta" / "tasks.jsonl").write_text('{"task_index": 1, "task": "b"}\n{"task_index": 0, "task": "a"}\n')
+    assert [r.task for r in trajectories.read_tasks(spark, str(root), 2).collect()] == ["a", "b"]
+    with pytest.raises(ValueError, match="3 declared"):
+        trajectories.read_tasks(spark, str(root), 3)
 
 
 def test_grasp_smoothing():
