@@ -1,17 +1,18 @@
 """Operator 8: personal data replaced by surrogates.
 
 E-mail and IP addresses, phone, card and bank account numbers, and names after a form of
-address are found by pattern, and the parts of such a name wherever else they stand in
-the document. Each distinct value gets one surrogate, drawn from a keyed
+address, a title or words that introduce a name are found by pattern, and the parts of
+such a name wherever else they stand in the document. Each distinct value gets one surrogate, drawn from a keyed
 hash: digits for digits and letters for letters in the same script, names that fit the
-form of address's gender and the name's script. A surrogate that two values would share,
+form of address's gender and the name's script, card and account numbers with the check
+digits that theirs have. A surrogate that two values would share,
 or that is itself a value of the corpus, is drawn again, so distinct values stay
 distinct and a value has the same surrogate wherever it stands, in whatever format.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import numbered, text_key, written
@@ -19,6 +20,9 @@ from .common import numbered, text_key, written
 # Forms of address by gender.
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"]
+# Titles of either gender, and words that introduce a name.
+NEUTRAL = ["Dr", "Prof", "Doctor", "Professor", "Доктор", "Профессор"]
+INTRODUCED = ["my name is", "My name is", "ich heiße", "Ich heiße", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo", "меня зовут", "Меня зовут"]
 _SYLLABLES = {
     "latin": "ba de fi lo mu na pe ri so tu ka le mi no ru va",
     "cyrillic": "ба де фи ло му на пе ри со ту ка ле ми но ру ва",
@@ -39,7 +43,8 @@ LETTERS = {
 
 # A name's part: a capitalised word or one of a script without capitals, an initial; small words may stand between parts.
 _PART = "(?:\\p{Lu}['’])?[\\p{Lu}\\p{Lo}][\\p{L}\\p{M}]*(?:['’-][\\p{Lu}\\p{Lo}][\\p{L}\\p{M}]*)*"
-_FORMS = "(?:" + "|".join(MALE + FEMALE) + ")\\.? "
+_FORMS = "(?:(?:" + "|".join(INTRODUCED) + ") )?(?:(?:" + "|".join(MALE + FEMALE + NEUTRAL) + ")\\.? )+|(?:" + "|".join(INTRODUCED) + ") "
+_FORMS = f"(?:{_FORMS})"
 
 # Patterns by kind; a form of address needs a capitalised name, all else ignores case.
 PATTERNS = {
@@ -54,7 +59,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must hold for the patterns to be tried at all.
-HINT = "[0-9@]|::|" + "|".join(MALE + FEMALE)
+HINT = "[0-9@]|::|" + "|".join(MALE + FEMALE + NEUTRAL + INTRODUCED)
 DIGITS = ["phone", "card", "iban"]
 
 
@@ -70,8 +75,37 @@ def _bare(kind: Column, value: Column) -> Column:
     return F.when(kind.isin(DIGITS), F.upper(F.regexp_replace(value, "[^\\p{L}\\p{N}]", ""))).otherwise(F.lower(value))
 
 
-def _address(value: Column) -> Column:
-    return F.regexp_extract(value, "^(\\p{L}+)", 1)
+def _gender(name: Column) -> Column:
+    """f or m by the forms of address before a name, empty for a title or an introduction alone."""
+    before = F.regexp_extract(name, "^" + _FORMS, 0)
+    said = lambda forms: before.rlike("(?<!\\p{L})(?:" + "|".join(forms) + ")(?!\\p{L})")
+    return F.when(said(FEMALE), "f").when(said(MALE), "m").otherwise("")
+
+
+def _luhn(digits: Column) -> Column:
+    """The check digit that makes a number (which ends in any one) pass the Luhn sum."""
+    places = F.transform(F.reverse(F.split(digits, "")), lambda c, i: F.when(i == 0, 0).otherwise(F.when(i % 2 == 1, F.get(F.array(*[F.lit(d) for d in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]), c.cast("int"))).otherwise(c.cast("int"))))
+    return F.pmod(-F.aggregate(places, F.lit(0), lambda a, x: a + x), F.lit(10)).cast("string")
+
+
+def _mod97(text: Column) -> Column:
+    """A number written in digits and letters (A is 10), modulo 97."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
+
+
+def _checked(kind: Column, bare: Column, number: Column) -> Column:
+    """number with valid check digits if bare has them: the last one of a card, the third and fourth place of an account."""
+    card = F.concat(F.substring(number, F.lit(1), F.length(number) - 1), _luhn(number))
+    is_card = (kind == "card") & bare.rlike("^[0-9]+$")
+    valid_card = F.when(is_card, F.substring(bare, -1, 1) == _luhn(bare)).otherwise(False)
+    country = F.substring(bare, 1, 2)
+    moved = lambda x, digits: F.concat(F.substring(x, F.lit(5), F.length(x)), country, digits)
+    is_account = (kind == "iban") & bare.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$")
+    valid_account = F.when(is_account, _mod97(moved(bare, F.substring(bare, 3, 2))) == 1).otherwise(False)
+    plain = F.upper(number)
+    account = F.concat(country, F.lpad((98 - _mod97(moved(plain, F.lit("00")))).cast("string"), 2, "0"), F.substring(plain, F.lit(5), F.length(plain)))
+    return F.when(valid_card, card).when(valid_account, account).otherwise(number)
 
 
 def _filled(bare: Column, stream: Column) -> Column:
@@ -101,7 +135,7 @@ def _name(bare: Column, gender: Column, stream: Column, attempt: Column) -> Colu
         table = F.array(*[F.lit(s) for s in _SYLLABLES[script].split()])
         syllable = lambda k: F.element_at(table, (F.conv(F.substring(stream, k, F.lit(1)), 16, 10).cast("int") + 1))
         syllables = F.transform(F.sequence(F.lit(1), F.least(attempt + 4, F.lit(120))), syllable)
-        return F.concat(F.array_join(syllables, ""), F.when(gender == "f", endings[0]).otherwise(endings[1]))
+        return F.concat(F.array_join(syllables, ""), F.when(gender == "f", endings[0]).when(gender == "m", endings[1]).otherwise(""))
 
     name = of("latin", ("na", "n"))
     for script, endings in ENDINGS.items():
@@ -114,23 +148,28 @@ def _drawn(entities: DataFrame, key: str) -> DataFrame:
     stream = F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "gender", "bare", F.col("attempt").cast("string")), 512)
     octet = lambda k: (F.pmod(F.conv(F.substring(stream, 3 * k, 3), 16, 10).cast("int"), F.lit(254)) + 1).cast("string")
     ip = F.concat_ws(".", *[octet(k) for k in range(1, 5)])
-    domain = F.regexp_extract("bare", "(\\.[^.]*)$", 1)  # an address keeps its top-level domain, a number its first two places
+    domain = F.regexp_extract("bare", "(\\.[^.]*)$", 1)  # an address keeps its top-level domain
     email = F.concat(_filled(F.regexp_replace("bare", "\\.[^.]*$", ""), stream), domain)
-    number = F.concat(F.substring("bare", 1, 1), _filled(F.substring("bare", 2, 60), stream))
+    # A number keeps its first place; if most numbers of its length are taken, later draws have more digits.
+    more = F.substring(F.translate(F.substring(stream, 61, 60), "abcdef", "123456"), F.lit(1), F.greatest(F.lit(0), F.col("attempt") - 8))
+    drawn = F.concat(F.substring("bare", 1, 1), _filled(F.substring("bare", F.lit(2), F.length("bare")), stream), F.when(F.col("kind") == "card", "").otherwise(more))
+    number = _checked(F.col("kind"), F.col("bare"), drawn)
+    # Likewise an address of four numbers, of which there are few, is one of eight after many draws.
     ip6 = F.concat_ws(":", *[F.substring(stream, 4 * k + 61, 4) for k in range(8)])
-    surrogate = F.when(F.col("kind") == "ip", ip).when(F.col("kind") == "ip6", ip6).when(F.col("kind") == "email", email).when(F.col("kind") == "name", _name(F.col("bare"), F.col("gender"), stream, F.col("attempt"))).otherwise(number)
+    surrogate = F.when((F.col("kind") == "ip") & (F.col("attempt") <= 12), ip).when(F.col("kind") == "ip", ip6).when(F.col("kind") == "ip6", ip6).when(F.col("kind") == "email", email).when(F.col("kind") == "name", _name(F.col("bare"), F.col("gender"), stream, F.col("attempt"))).otherwise(number)
     return entities.withColumn("surrogate", surrogate)
 
 
-def surrogates(entities: DataFrame, key: str, rounds: int = 50) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, gender, bare, surrogate) for distinct entities (kind, gender, bare), one to one within a kind.
 
     Of values that draw the same surrogate the least keeps it; the others, and those that
-    draw a value of the corpus, draw again.
+    draw a value of the corpus, draw again, as often as need be: what can be drawn grows
+    with the attempts.
     """
     values = entities.select("kind", F.col("bare").alias("surrogate")).distinct()
     settled, pending = None, _drawn(entities.withColumn("attempt", F.lit(0)), key)
-    for _ in range(rounds):
+    while True:
         drawn = written(pending, "drawn")
         owner = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("gender", "bare")).alias("owner"))
         free = owner.join(values, ["kind", "surrogate"], "left_anti")
@@ -144,7 +183,6 @@ def surrogates(entities: DataFrame, key: str, rounds: int = 50) -> DataFrame:
         if again.isEmpty():
             return settled
         pending = _drawn(again, key)
-    raise ValueError(f"after {rounds} draws some values have no surrogate of their own")
 
 
 def _shown(value: Column, kind: Column, surrogate: Column) -> Column:
@@ -152,6 +190,8 @@ def _shown(value: Column, kind: Column, surrogate: Column) -> Column:
     chars = F.split(value, "")
     place = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), "[^\\p{L}\\p{N}]", ""))
     number = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[\\p{L}\\p{N}]"), F.substring(surrogate, place(i), F.lit(1))).otherwise(c)), "")
+    own = F.length(F.regexp_replace(value, "[^\\p{L}\\p{N}]", ""))
+    number = F.concat(number, F.substring(surrogate, own + 1, F.length(surrogate)))
     cased = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("\\p{Lu}"), F.upper(F.substring(surrogate, i + 1, F.lit(1)))).otherwise(F.substring(surrogate, i + 1, F.lit(1)))), "")
     name = F.when(value.rlike("^\\p{Lu}{2,}$"), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     return F.when(kind.isin(DIGITS), number).when(kind == "email", cased).when(kind == "name", name).otherwise(surrogate)
@@ -162,10 +202,12 @@ def _found(docs: DataFrame) -> DataFrame:
     hinted = docs.filter(F.col("text").rlike(HINT))
     values = hinted.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"), F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("place", "value"))
     values = values.withColumn("kind", _kind(F.col("value"))).filter("kind is not null")
-    gender = F.when(F.col("kind") != "name", "").when(_address(F.col("value")).isin(FEMALE), "f").otherwise("m")
+    gender = F.when(F.col("kind") != "name", "").otherwise(_gender(F.col("value")))
     pieces = F.when(F.col("kind") == "name", _parts(F.col("value"))).otherwise(F.array("value"))
     each = values.withColumn("gender", gender).select("doc_id", "tk", "place", "kind", "gender", F.posexplode(pieces).alias("part", "value"))
-    return each.withColumn("bare", _bare(F.col("kind"), F.col("value")))
+    each = each.withColumn("bare", _bare(F.col("kind"), F.col("value")))
+    known = F.max("gender").over(Window.partitionBy("doc_id", "tk", "kind", "bare"))  # a title alone takes the gender that a form of address says elsewhere
+    return each.withColumn("gender", F.when(F.col("gender") == "", known).otherwise(F.col("gender")))
 
 
 def _parts(name: Column) -> Column:
@@ -192,7 +234,8 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
 
     A text without personal data stays as it is. A null text stays null, an empty one
     empty, both with no entities. Rows that repeat a doc_id are told apart by their text;
-    rows alike in both get the same result; a null doc_id is allowed. An empty table
+    rows alike in both get the same result; a null doc_id is allowed. A very long text is
+    rewritten whole, in one task. An empty table
     gives an empty result. A column named n_entities is replaced.
     """
     rows, names, doc_id, text = numbered(docs, ("n_entities",))
@@ -208,7 +251,7 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
 
     hinted = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tk"))
-    touched = rows.filter(hinted).withColumn("_key", text_key(F.col(text))).join(per_doc.hint("shuffle_hash"), same, "left")
+    touched = rows.filter(hinted).withColumn("_key", text_key(F.col(text))).join(per_doc, same, "left")
     touched = touched.withColumns({"_parts": F.split(text, ANY), "_values": F.regexp_extract_all(text, F.lit(ANY), F.lit(0))})
     pieces = F.transform(F.col("_parts"), lambda p, i: F.concat(_mentions(p), F.coalesce(_rewritten(F.get("_values", i), i), F.lit(""))))
     new = F.when(F.col("_shown").isNull(), F.col(text)).otherwise(F.array_join(pieces, ""))

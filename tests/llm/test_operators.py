@@ -351,6 +351,34 @@ def test_quality_distances_equal_brute_force(docs, texts):
                 assert abs(jsd(p, q) - good[good.doc_id == i].word_distance.iloc[0]) < 1e-6
 
 
+def test_quality_character_distance_equals_brute_force(docs, texts):
+    """Classes and runs of symbols of every judged document against its language's sums, with NumPy."""
+    rows = quality.quality(docs, ["doc_id", "lang"]).toPandas()
+
+    def histograms(t):
+        kind = lambda c: (
+            4 if c in " \t\n\v\f\r" else 3 if c in quality.SYMBOLS else 0 if unicodedata.category(c) == "Lu" else 2 if unicodedata.category(c) == "Nd" else 1 if unicodedata.category(c)[0] == "L" else 5
+        )
+        classes = np.bincount([kind(c) for c in t], minlength=6)
+        runs = re.findall(r"[#*$%&|<>]+", t)
+        words = [w for w in re.split(r"[\W\d_]+", t.lower()) if w]
+        return classes, np.array([*[sum(r[0] == s for r in runs) for s in quality.SYMBOLS], len(words)])
+
+    def distance(a, b):
+        p, q = a / max(1, a.sum()), b / max(1, b.sum())
+        m = (p + q) / 2
+        part = lambda x: np.sum(np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(m > 0, m, 1)), 0))
+        return np.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+    good = rows[~rows.base_failed & (rows.n_words >= quality.MIN_WORDS)]
+    for _, some in good.groupby("lang"):
+        each = {i: histograms(texts[i]) for i in some.doc_id}
+        total = [np.sum([h[k] for h in each.values()], axis=0) for k in (0, 1)]
+        for r in some.itertuples():
+            if not np.isnan(r.char_distance):
+                assert abs(r.char_distance - max(distance(each[r.doc_id][k], total[k]) for k in (0, 1))) < 1e-6
+
+
 @pytest.mark.parametrize("joint", [" | ", "|", " # "])
 def test_quality_finds_symbols_between_all_words(spark, joint):
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -525,6 +553,29 @@ def test_secrets_of_every_kind_are_found(spark):
     assert all(rows[r.doc_id][1][r.start : r.start + r.length] == r.token for r in found if r.doc_id < 100)
 
 
+def features_by_definition(token, before, after, path):
+    """The forest's features in Python."""
+    b, near = before.lower(), f"{before.lower()} {after.lower()}"
+    count = lambda p, x=token: len(re.findall(p, x))
+    n = len(token)
+    return {
+        "marks": count(r"[^A-Za-z0-9+/_=-]") / n, "length": n, "transitions": count(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])") / n,
+        "distinct": len(set(token)) / n, "digits": count("[0-9]") / n, "uppers": count("[A-Z]") / n, "hex": bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", token)),
+        "separators": count("[-_/=+]") / n, "dictionary": 1 - len(re.sub("|".join(secrets.DICTIONARY), "", token.lower())) / n,
+        "path": bool(re.search(r"(?:://|/)\S*\Z", b)) or count("/") >= 3, "harmless_path": bool(re.search(secrets.HARMLESS_PATHS, path.lower())),
+        "harmless_near": bool(re.search(rf"\b(?:{secrets.HARMLESS_WORDS})\b", near)), "assigned": bool(re.search(r"[:=]\s*[\"']?\Z", b)), "quoted": bool(re.search(r"[\"']\Z", b)),
+    }
+
+
+def test_secret_features_equal_their_definition(spark):
+    rows = secrets.features(secrets.labelled_findings(spark, 400).selectExpr("*", "path AS place")).collect()
+    for r in rows:
+        if "\n" in r.token + r.before or not r.token.isascii():
+            continue
+        for name, want in features_by_definition(r.token, r.before, r.after, r.place).items():
+            assert abs(float(r[name]) - float(want)) < 1e-9, (name, r.token, r.before)
+
+
 # 8
 
 
@@ -585,6 +636,49 @@ def test_pii_names_are_never_exhausted_and_keep_their_script(spark):
         assert all(unicodedata.name(c).startswith(script) for c in r.surrogate)
 
 
+def luhn(digits):
+    return sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def account_is_valid(text):
+    bare = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
+def test_pii_titles_introductions_and_check_digits(spark):
+    rows = [
+        (1, "Mr. Smith came. Later Smith left with Dr. Brown and Prof. Dr. Smith."), (2, "Hello, my name is Anna Karlsson. Ich hei\u00dfe Jos\u00e9."),
+        (3, "4111 1111 1111 1111 or 378282246310005"), (4, "GB82 WEST 1234 5698 7654 32 and DE89370400440532013000"), (5, "\u03c0\u03b1\u03c0\u03b1@example.gr"),
+    ]
+    found = {r.doc_id: r.text for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    m = re.fullmatch(r"Mr\. (\w+) came\. Later (\w+) left with Dr\. (\w+) and Prof\. Dr\. (\w+)\.", found[1])
+    assert m[1] == m[2] == m[4] != m[3] and not {"Smith", "Brown"} & set(m.groups())
+    assert not any(x in found[2] for x in ("Anna", "Karlsson", "Jos\u00e9")) and found[2].startswith("Hello, my name is ")
+    cards = [re.sub(r"\D", "", x) for x in found[3].split(" or ")]
+    assert [len(c) for c in cards] == [16, 15] and all(map(luhn, cards)) and cards != ["4111111111111111", "378282246310005"]
+    accounts = found[4].split(" and ")
+    assert all(map(account_is_valid, accounts)) and accounts[0][:2] == "GB" and accounts[1][:2] == "DE" and accounts != rows[3][1].split(" and ")
+    assert all(unicodedata.name(c).startswith("GREEK") for c in found[5].split("@")[0])
+
+
+def test_pii_draws_grow_when_a_format_is_used_up(spark):
+    rows = spark.range(100, 200).selectExpr("'phone' AS kind", "'' AS gender", "cast(id AS string) AS bare")
+    found = pii.surrogates(rows, "k").toPandas()
+    assert len(found) == 100 == found.surrogate.nunique() and not set(found.surrogate) & set(found.bare)
+
+
+def test_pii_finds_what_the_patterns_find_in_python(spark, docs, texts):
+    import regex
+
+    pattern = regex.compile(pii.ANY)
+    found = pii.pseudonymised(docs.select("doc_id", "text"), "k").collect()
+    for r in found:
+        values = {m.group() for m in pattern.finditer(texts[r.doc_id])}
+        assert bool(values) == (r.n_entities > 0) and (values or r.text == texts[r.doc_id])
+        numbers = {v for v in values if not regex.match(pii._FORMS, v)}
+        assert not any(v in r.text for v in numbers)
+
+
 # 9
 
 
