@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from motionloom.llm import bpe, decontaminate, line_dedup, near_dedup, pii, quality, queries, secrets, span_dedup, toxicity, url_filter
+from motionloom.llm import bpe, components, decontaminate, line_dedup, near_dedup, pii, quality, queries, secrets, span_dedup, toxicity, url_filter
 from motionloom.llm.wordhash import shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -489,6 +489,28 @@ def test_near_dedup_of_edited_copies_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == wanted
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_equal_brute_force(spark, monkeypatch, few):
+    """By rounds and in one task: paths, stars, random graphs, loops and nulls."""
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    rng = np.random.default_rng(0)
+    edges = [(k, k + 1) for k in range(60)] + [(200, 200 + k) for k in range(1, 40)] + [tuple(map(int, e)) for e in rng.integers(300, 400, (45, 2))] + [(500, 500), (7, 6)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    made = spark.createDataFrame([*edges, (None, 3)], "u long, v long")
+    found = {r.node: r.label for r in components.components(made).collect()}
+    assert found == {x: find(x) for e in edges for x in e if e[0] != e[1]}
+    assert components.components(made.limit(0)).count() == 0
+
+
 def test_near_dedup_on_awkward_rows(awkward):
     found = near_dedup.near_duplicates(awkward, 2, 80).collect()
     assert len(found) == len(AWKWARD)
