@@ -267,7 +267,7 @@ def _g2b(f: DataFrame) -> DataFrame:
     return ev.segment_bounds(f, _events(f), BY, ORDER, None, "last")
 
 
-_TARGETS = [("start", None, 45.0, 20.0), ("0", "close", 20.0, 12.0), ("2", "close", 18.0, 9.0), ("end", None, 55.0, 30.0)]
+_TARGETS = [("start", None, 45.0123457, 20.0345679), ("0", "close", 20.0567891, 12.0789123), ("2", "close", 18.0912347, 9.0134579), ("end", None, 55.0356791, 30.0579137)]
 _TARGETS_SQL = ", ".join(f"('{a}', {repr(t) if t else 'NULL'}, {x}, {y})" for a, t, x, y in _TARGETS)
 _G7_SQL = f"""{_EVENTS_SQL}, tg(anchor, wanted, tx, ty) AS (VALUES {_TARGETS_SQL}), q AS (SELECT episode_id, min(frame_idx) FILTER (WHERE valid) AS lo, max(frame_idx) FILTER (WHERE valid) AS hi, max(frame_idx) AS n1 FROM f GROUP BY episode_id),
        an AS (SELECT q.episode_id, anchor, tx, ty, CASE anchor WHEN 'start' THEN lo WHEN 'end' THEN hi ELSE e.frame_idx END AS pos,
@@ -345,12 +345,12 @@ def _g1(f: DataFrame) -> DataFrame:
     return found.withColumns({"t": R6("t"), "value": R6("value")})
 
 
-@query("s2_timestamps", f""", a AS (SELECT *, CASE WHEN episode_id % 5 = 0 AND frame_idx = 3 THEN NULL ELSE t * 1e9 END AS ns, CASE WHEN episode_id % 3 = 0 THEN t / 2 WHEN frame_idx <> 2 THEN t END AS sec FROM f), b AS (SELECT *, ns - lag(ns) OVER {_W} AS st FROM a),
+@query("s2_timestamps", f""", a AS (SELECT *, CASE WHEN episode_id % 5 = 0 AND frame_idx = 3 THEN NULL ELSE t * 1e9 END AS ns, CASE WHEN episode_id % 3 = 0 THEN t * 2 WHEN frame_idx <> 2 THEN t END AS sec FROM f), b AS (SELECT *, ns - lag(ns) OVER {_W} AS st FROM a),
       c AS (SELECT *, bool_and(sec IS NOT NULL) OVER (PARTITION BY episode_id) AS timed, bool_and(ns IS NOT NULL) OVER (PARTITION BY episode_id) AS known, first_value(ns) OVER {_W} AS n0, quantile_cont(st, 0.5) OVER (PARTITION BY episode_id) AS md FROM b)
       SELECT episode_id, frame_idx, round(CASE WHEN timed THEN sec WHEN known THEN (ns - n0) * (CASE WHEN coalesce(md, 0) > 1e3 THEN 1e-9 ELSE 1 END) ELSE frame_idx / 10.0 END, 6) AS t FROM c""")
 def _s2(f: DataFrame) -> DataFrame:
     ns = F.when(~((F.col("episode_id") % 5 == 0) & (F.col("frame_idx") == 3)), F.col("t") * 1e9)
-    seconds = F.when(F.col("episode_id") % 3 == 0, F.col("t") / 2).when(F.col("frame_idx") != 2, F.col("t"))
+    seconds = F.when(F.col("episode_id") % 3 == 0, F.col("t") * 2).when(F.col("frame_idx") != 2, F.col("t"))
     timed = f.withColumns({"ns": ns, "sec": seconds, "fps": F.lit(10.0)}).drop("t")
     return rs.resolved_times(timed, BY, ORDER, "sec", "ns", "fps").select("episode_id", "frame_idx", F.round("t", 6).alias("t"))
 
