@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from motionloom.llm import queries
 
-from .test_operators import base_figures, brute_force_components, brute_force_lines, plain, reference_round_trip, shingles
+from .test_operators import AWKWARD, SCHEMA, base_figures, brute_force_components, brute_force_lines, plain, reference_round_trip, shingles
 
 
 def test_stages_equal_brute_force(spark, sf):
@@ -46,3 +46,20 @@ def test_stages_equal_brute_force(spark, sf):
     for r in coded[:20]:
         assert tuple(r)[1:] == reference_round_trip(now[r.doc_id], queries.vocabulary())
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, coded))
+
+
+def test_stages_on_awkward_rows_and_empty_tables(spark, sf):
+    """Nulls, empty and long texts, repeated rows and ids, columns named like the operators' own."""
+    awkward = spark.createDataFrame(AWKWARD, SCHEMA)
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=lambda i: (i is None, i))
+    every = sorted((r[0] for r in AWKWARD), key=lambda i: (i is None, i))
+    wanted = {
+        "quality_rules": [1, 5, 6, 7, 7], "line_dedup": every, "near_dedup": [i for i in every if i != 6], "decontamination": every, "bpe": every,
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, awkward, sf)
+        assert ids(found) == wanted[name], name
+        assert name == "bpe" or found.columns == awkward.columns
+        assert stage(spark, awkward.limit(0), sf).count() == 0
+    lines = corpus_pipeline.line_runs(spark, awkward, sf).collect()
+    assert {r.text for r in lines if r.doc_id == 7} == {"More."} and [r.text for r in lines if r.doc_id in (2, 3)] == [None, ""]
