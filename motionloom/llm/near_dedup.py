@@ -323,17 +323,17 @@ def _completed(held: DataFrame, links: DataFrame, classes: DataFrame, docs: Data
     whole = whole.join(sets.withColumnRenamed("doc_id", "node"), "node")
     labels = _widened(labels, written(_met(rows.join(whole, "node"), least, percent), "met"))
 
-    # Large ones: outsiders first meet two more members, then what shares a rare shingle with them.
+    # Large ones: outsiders first meet two more members of their center's component, then what shares a rare shingle with them.
     sure = lambda pairs: written(confirmed(written(_likely(written(pairs, "pairs"), classes, least), "pairs"), docs, shingle, percent), "links")
-    large = lambda: _outsiders(loose.filter(F.col("members") > BLOCK), labels)
     out = out.filter(F.col("members") > BLOCK)
-    for other in (F.max("rep"), F.min_by("rep", F.xxhash64("rep"))):
-        if out.isEmpty():
-            return labels
-        centers = held.join(bounded(written(out.select("h").distinct(), "buckets")), "h", "left_semi").groupBy("h").agg(other.alias("other"))
-        pairs = out.join(bounded(written(centers, "centers")), "h").filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        labels = _widened(labels, sure(pairs.distinct()))
-        out = large()
+    if out.isEmpty():
+        return labels
+    # Two members of each main component, the same in all its buckets, so that few pairs meet.
+    known = labels.groupBy("label").agg(F.array(F.max("node"), F.min_by("node", F.xxhash64("node"))).alias("others"))
+    met = out.select("node", F.col("main").alias("label")).distinct().join(known, "label").select("node", F.explode(F.array_distinct("others")).alias("other"))
+    pairs = met.filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    labels = _widened(labels, sure(pairs.distinct()))
+    out = _outsiders(loose.filter(F.col("members") > BLOCK), labels)
     if out.isEmpty():
         return labels
     outside = written(out.select("node").distinct(), "nodes")
