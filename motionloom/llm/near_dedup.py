@@ -12,8 +12,8 @@ A band's members all meet its least one. If they are then in several components,
 others meet too: in one task if they are few; else by prefixes. Sets of similarity t that
 are sorted alike share an element among their first (1 - t) * n + 1. Sorted by rarity,
 these are a text's own shingles and not those of a template that very many texts share, so
-unlike texts part at once. What even then is in a large group is compared by registers, a
-block against a block in a task, and only pairs over the estimate fetch their full sets.
+unlike texts part at once. What even then is in a large group is compared a block against
+a block in a task, likeliest first, until a link to each other component is found.
 
 At a similarity of exactly 0.8 no band agrees with probability (1 - 0.8**7)**48 = 1e-5,
 and the estimate, whose standard error is 0.022 there, falls short by MARGIN with
@@ -227,7 +227,7 @@ def _met(members: DataFrame, least: float, percent: int) -> DataFrame:
     return members.groupBy("h").applyInArrow(run, "a long, b long").distinct()
 
 
-def _prefixes(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(h, node, place, n): the rarest shingles h of each node's set of n, as many as sets of that similarity must share one of; written.
 
     A histogram of BINS bins over all the nodes' shingles tells how rare each is; any one
@@ -243,7 +243,6 @@ def _prefixes(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
         for k in range(0, len(bins), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(bins[k : k + 50_000]), pa.array(total[bins[k : k + 50_000]])], ["bin", "n"])
 
-    sets = _sets(nodes.select(F.col("node").alias("doc_id")), docs, shingle)
     found = sets.mapInArrow(counted, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # BINS rows at most
     often = np.zeros(BINS, np.int32)
     often[found.column("bin").to_numpy()] = found.column("n").to_numpy()
@@ -272,22 +271,30 @@ def _pairs_of_few(groups: DataFrame, percent: int) -> DataFrame:
     return both.filter(able).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def _pairs_of_blocks(groups: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different components over the estimate within groups, outsiders (outside = 1) against all, a block against a block in a task."""
+def _links_of_blocks(groups: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) between components within groups, outsiders (outside = 1) against all, a block against a block in a task.
+
+    An outsider meets the likeliest first, on the full sets, until it is linked to each other component of the block.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         node, label, n, outside = (group.column(x).to_numpy() for x in ("node", "label", "n", "outside"))
         regs = _regs(group.column("regs"))
+        each = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("s")]
         right = np.flatnonzero(outside == 0)
-        out_a, out_b = [], []
-        for i in np.flatnonzero(outside == 1):
+        out: list[tuple[int, int]] = []
+        for i in np.flatnonzero(outside == 1).tolist():
             j = right[(label[right] != label[i]) & ((regs[right] == regs[i]).sum(axis=1) >= (least - 0.1) * M)]
-            if len(j):
-                j = j[estimates(np.broadcast_to(regs[i], (len(j), M)), regs[j], np.full(len(j), float(n[i])), n[j].astype(float)) >= least]
-            out_a.append(np.minimum(node[i], node[j]))
-            out_b.append(np.maximum(node[i], node[j]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            value = estimates(np.broadcast_to(regs[i], (len(j), M)), regs[j], np.full(len(j), float(n[i])), n[j].astype(float)) if len(j) else np.zeros(0)
+            done: set[int] = set()
+            for k in np.argsort(-value, kind="stable").tolist():
+                y = int(j[k])
+                if value[k] < least:
+                    break
+                if int(label[y]) not in done and _similar(each[i], each[y], percent):
+                    done.add(int(label[y]))
+                    out.append((int(node[i]), int(node[y])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     sizes = groups.groupBy("h").agg(F.ceil(F.sum("outside") / BLOCK).cast("int").alias("lefts"), F.ceil(F.count("*") / BLOCK).cast("int").alias("rights"))
     sized = groups.select("h", "node", "label", "outside").join(bounded(written(sizes, "sizes")), "h")
@@ -296,6 +303,7 @@ def _pairs_of_blocks(groups: DataFrame, classes: DataFrame, least: float) -> Dat
     inside = sized.select("h", "node", "label", every("lefts").alias("left"), place("rights").alias("right"), F.lit(0).alias("outside"))
     outside = sized.filter("outside = 1").select("h", "node", "label", place("lefts").alias("left"), every("rights").alias("right"), F.lit(1).alias("outside"))
     dealt = inside.union(outside).join(classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "regs"), "node")
+    dealt = dealt.join(sets.withColumnRenamed("doc_id", "node"), "node")
     return dealt.groupBy("h", "left", "right").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -340,7 +348,8 @@ def _completed(held: DataFrame, links: DataFrame, classes: DataFrame, docs: Data
     buckets = bounded(written(out.select("h").distinct(), "buckets"))
     inside = held.join(buckets, "h", "left_semi").select(F.col("rep").alias("node")).distinct().join(bounded(outside), "node", "left_anti")
     nodes = written(outside.withColumn("outside", F.lit(1)).union(inside.withColumn("outside", F.lit(0))), "nodes")
-    prefixes = _prefixes(nodes.select("node"), docs, shingle, percent)
+    sets = _sets(nodes.select(F.col("node").alias("doc_id")), docs, shingle)
+    prefixes = _prefixes(sets, percent)
     marked = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sought = prefixes.join(bounded(outside), "node", "left_semi").select("h").distinct()
     groups = prefixes.join(bounded(written(sought, "sought")), "h", "left_semi").join(bounded(written(marked, "marked")), "node")
@@ -348,8 +357,8 @@ def _completed(held: DataFrame, links: DataFrame, classes: DataFrame, docs: Data
     size = groups.groupBy("h").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
     size = bounded(written(size.select("h", "size"), "sizes"))
     pairs = _pairs_of_few(groups.join(size, "h").filter(F.col("size") <= FEW), percent)
-    pairs = pairs.union(_pairs_of_blocks(groups.join(size, "h").filter(F.col("size") > FEW), classes, least)).distinct()
-    return _widened(labels, sure(pairs))
+    links = _links_of_blocks(groups.join(size, "h").filter(F.col("size") > FEW), classes, sets, least, percent)
+    return _widened(labels, sure(pairs).union(links))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
