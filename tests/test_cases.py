@@ -253,6 +253,29 @@ def test_hands_become_grippers(spark):
     assert angles.none is None
 
 
+def test_joint_angles_stay_a_small_expression_and_equal_numpy(spark):
+    assert len(str(hands.joint_angles(F.col("p")))) < 200_000  # it is part of the plan, which the driver holds
+    rng = np.random.default_rng(5)
+    p = rng.normal(size=(21, 3))
+    v = lambda a, b: p[hands.POINTS[b]] - p[hands.POINTS[a]]
+    angle = lambda a, b: np.degrees(np.arccos(np.clip(a @ b / ((np.linalg.norm(a) + 1e-6) * (np.linalg.norm(b) + 1e-6)), -1, 1)))
+    side = np.cross(v("wrist", "index_mcp"), v("wrist", "middle_mcp"))
+    normal = side / (np.linalg.norm(side) + 1e-6)
+    flat = lambda a: a - (a @ normal) * normal
+    ahead = flat(v("middle_mcp", "middle_pip"))
+    expected = {"Thumb_CMC_Flex": angle(v("wrist", "middle_mcp"), v("wrist", "thumb_mcp")), "Thumb_CMC_Abd": angle(flat(v("wrist", "thumb_mcp")), ahead), "Middle_MCP_Abd": 0.0}
+    expected |= {"Thumb_MCP_Flex": angle(v("wrist", "thumb_mcp"), v("thumb_mcp", "thumb_ip")), "Thumb_IP_Flex": angle(v("thumb_mcp", "thumb_ip"), v("thumb_ip", "thumb_tip"))}
+    for finger in hands.FINGERS:
+        chain = ["wrist", *[f"{finger}_{j}" for j in ("mcp", "pip", "dip", "tip")]]
+        bones = [v(a, b) for a, b in zip(chain, chain[1:], strict=False)]
+        expected |= {f"{finger.capitalize()}_{j}_Flex": angle(a, b) for j, a, b in zip(("MCP", "PIP", "DIP"), bones, bones[1:], strict=False)}
+        if finger != "middle":
+            expected[f"{finger.capitalize()}_MCP_Abd"] = angle(flat(bones[1]), ahead)
+    df = spark.createDataFrame([(p.tolist(),), (p[:20].tolist(),)], "p array<array<double>>")
+    whole, short = (r.a for r in df.select(hands.joint_angles(F.col("p")).alias("a")).collect())
+    assert short is None and whole.keys() == expected.keys() and all(np.isclose(whole[k], x, atol=1e-9) for k, x in expected.items())
+
+
 def test_guards(spark):
     one = spark.range(1)
     array = lambda *v: F.array(*[F.lit(float(x)) for x in v])
