@@ -13,7 +13,8 @@ others meet too: in one task if they are few; else by prefixes. Sets of similari
 are sorted alike share an element among their first (1 - t) * n + 1. Sorted by rarity,
 these are a text's own shingles and not those of a template that very many texts share, so
 unlike texts part at once. What even then is in a large group is compared a block against
-a block in a task, likeliest first, until a link to each other component is found.
+a block in a task, likeliest first, until a link to each other component is found. Full
+sets come to a task only for members that the registers find a likely partner for.
 
 At a similarity of exactly 0.8 no band agrees with probability (1 - 0.8**7)**48 = 1e-5,
 and the estimate, whose standard error is 0.022 there, falls short by MARGIN with
@@ -23,7 +24,7 @@ probability 2e-5; a link can be missed in no other way.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -190,41 +191,73 @@ def _outsiders(loose: DataFrame, labels: DataFrame) -> DataFrame:
     return written(out.join(done, "h", "left_anti"), "outsiders")
 
 
-def _met(members: DataFrame, least: float, percent: int) -> DataFrame:
-    """Links (a, b) between components within buckets of BLOCK members at most.
+def _likely_within(group: pa.Table, least: float, banded: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) in a group of an outsider (outside = 1) and a member of another component whose estimate is at least `least`, likeliest first.
 
-    members has h, node, label, main, n, regs and s. In a task, members outside the center's
-    component (main) meet all others, likeliest first, on the full sets, until one link to each
-    other component is found. Of the bands that a pair shares only the first takes it.
+    An outsider meets all members, and of the bands that a pair shares only the first takes it
+    (banded), or else those with outside = 0.
     """
+    label, n, outside = (group.column(x).to_numpy() for x in ("label", "n", "outside"))
+    regs = _regs(group.column("regs"))
+    band = int(group.column("h")[0].as_py()) & 63
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for i in np.flatnonzero(outside == 1):
+        same = regs == regs[i]
+        near = (label != label[i]) & (same.sum(axis=1) >= (least - 0.1) * M)
+        j = np.flatnonzero(near if banded else near & (outside == 0))
+        if banded:
+            j = j[same[j].reshape(len(j), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        if len(j):
+            value = estimates(np.broadcast_to(regs[i], (len(j), M)), regs[j], np.full(len(j), float(n[i])), n[j].astype(float))
+            j, value = j[value >= least], value[value >= least]
+            found.append((np.full(len(j), i), j, value))
+    i, j, value = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(-value, kind="stable")
+    return i[order], j[order]
+
+
+def _links_within(rows: DataFrame, keys: list[str], banded: bool, nodes: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float, percent: int) -> DataFrame:
+    """Links (a, b) between components within the groups of rows (keys, node, label, outside), each in a task; nodes are those of rows, written.
+
+    Registers are dealt out first, and tell which rows have a likely partner. Only these come
+    again with their full sets (sets_of: node, s), which are much larger: an outsider then meets
+    the likeliest first, until it is linked to each other component of the group.
+    """
+    columns = [*keys, "node", "label", "outside"]
+    whole = classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "regs")
+
+    def seen(group: pa.Table) -> pa.Table:
+        return group.select(columns).take(pa.array(np.unique(np.concatenate(_likely_within(group, least, banded)))))
 
     def run(group: pa.Table) -> pa.Table:
-        band = int(group.column("h")[0].as_py()) & 63
-        node, label, main, n = (group.column(x).to_numpy() for x in ("node", "label", "main", "n"))
-        regs = _regs(group.column("regs"))
+        node, label = (group.column(x).to_numpy() for x in ("node", "label"))
         each = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("s")]
-        pairs_i, pairs_j = [], []
-        for i in np.flatnonzero(label != main):
-            same = regs == regs[i]
-            agree = same.reshape(len(regs), BANDS, ROWS).all(axis=2)
-            j = np.flatnonzero((label != label[i]) & (agree.argmax(axis=1) == band) & (same.sum(axis=1) >= (least - 0.1) * M))
-            pairs_i.append(np.full(len(j), i))
-            pairs_j.append(j)
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pairs_i, pairs_j))
         out: list[tuple[int, int]] = []
         done: set[tuple[int, int]] = set()
-        if len(i):
-            value = np.concatenate([estimates(regs[i[k : k + 4096]], regs[j[k : k + 4096]], n[i[k : k + 4096]].astype(float), n[j[k : k + 4096]].astype(float)) for k in range(0, len(i), 4096)])
-            for k in np.argsort(-value, kind="stable"):
-                if value[k] < least:
-                    break
-                x, y = int(i[k]), int(j[k])
-                if (x, int(label[y])) not in done and _similar(each[x], each[y], percent):
-                    done.add((x, int(label[y])))
-                    out.append((int(node[x]), int(node[y])))
+        for x, y in zip(*(at.tolist() for at in _likely_within(group, least, banded)), strict=True):
+            if (x, int(label[y])) not in done and _similar(each[x], each[y], percent):
+                done.add((x, int(label[y])))
+                out.append((int(node[x]), int(node[y])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return members.groupBy("h").applyInArrow(run, "a long, b long").distinct()
+    rows = rows.select(*columns)
+    dealt = rows.join(whole.join(bounded(nodes), "node", "left_semi"), "node")
+    near = written(dealt.groupBy(*keys).applyInArrow(seen, rows.schema), "near")
+    if near.isEmpty():
+        return near.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    nodes = written(near.select("node").distinct(), "nodes")
+    dealt = near.join(whole.join(bounded(nodes), "node", "left_semi"), "node").join(sets_of(nodes), "node")
+    return dealt.groupBy(*keys).applyInArrow(run, "a long, b long").distinct()
+
+
+def _unlike(held: DataFrame) -> DataFrame:
+    """h of the buckets of held (h, a, rep), but of those with the same members only the first band's.
+
+    Pairs are taken by the first band that they share, so the others have nothing to add.
+    """
+    mark = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    named = held.groupBy("h", "a").agg(F.count("*").alias("size"), *mark)
+    return named.groupBy("a", "size", "mark0", "mark1").agg(F.min_by("h", F.col("h").bitwiseAND(F.lit(63))).alias("h")).select("h")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -272,39 +305,16 @@ def _pairs_of_few(groups: DataFrame, percent: int) -> DataFrame:
 
 
 def _links_of_blocks(groups: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
-    """Links (a, b) between components within groups, outsiders (outside = 1) against all, a block against a block in a task.
-
-    An outsider meets the likeliest first, on the full sets, until it is linked to each other component of the block.
-    """
-
-    def run(group: pa.Table) -> pa.Table:
-        node, label, n, outside = (group.column(x).to_numpy() for x in ("node", "label", "n", "outside"))
-        regs = _regs(group.column("regs"))
-        each = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("s")]
-        right = np.flatnonzero(outside == 0)
-        out: list[tuple[int, int]] = []
-        for i in np.flatnonzero(outside == 1).tolist():
-            j = right[(label[right] != label[i]) & ((regs[right] == regs[i]).sum(axis=1) >= (least - 0.1) * M)]
-            value = estimates(np.broadcast_to(regs[i], (len(j), M)), regs[j], np.full(len(j), float(n[i])), n[j].astype(float)) if len(j) else np.zeros(0)
-            done: set[int] = set()
-            for k in np.argsort(-value, kind="stable").tolist():
-                y = int(j[k])
-                if value[k] < least:
-                    break
-                if int(label[y]) not in done and _similar(each[i], each[y], percent):
-                    done.add(int(label[y]))
-                    out.append((int(node[i]), int(node[y])))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
+    """Links (a, b) between components within groups, outsiders (outside = 1) against all, a block against a block in a task."""
     sizes = groups.groupBy("h").agg(F.ceil(F.sum("outside") / BLOCK).cast("int").alias("lefts"), F.ceil(F.count("*") / BLOCK).cast("int").alias("rights"))
     sized = groups.select("h", "node", "label", "outside").join(bounded(written(sizes, "sizes")), "h")
     place = lambda many: F.pmod(F.xxhash64("node"), F.col(many)).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
     inside = sized.select("h", "node", "label", every("lefts").alias("left"), place("rights").alias("right"), F.lit(0).alias("outside"))
     outside = sized.filter("outside = 1").select("h", "node", "label", place("lefts").alias("left"), every("rights").alias("right"), F.lit(1).alias("outside"))
-    dealt = inside.union(outside).join(classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "regs"), "node")
-    dealt = dealt.join(sets.withColumnRenamed("doc_id", "node"), "node")
-    return dealt.groupBy("h", "left", "right").applyInArrow(run, "a long, b long").distinct()
+    nodes = written(sized.select("node").distinct(), "nodes")
+    sets_of = lambda few: sets.withColumnRenamed("doc_id", "node").join(bounded(few), "node", "left_semi")
+    return _links_within(inside.union(outside), ["h", "left", "right"], False, nodes, classes, sets_of, least, percent)
 
 
 def _completed(held: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -321,15 +331,14 @@ def _completed(held: DataFrame, links: DataFrame, classes: DataFrame, docs: Data
     if out.isEmpty():
         return labels
 
-    # Small buckets: all members in one task, with their sets.
+    # Small buckets: all members in one task.
     few = written(out.filter(F.col("members") <= BLOCK).select("h", "main").distinct(), "buckets")
+    few = written(few.join(_unlike(held.join(bounded(few), "h", "left_semi")), "h"), "buckets")
     rows = held.select("h", F.col("rep").alias("node")).join(bounded(few), "h").join(out.select("h", "node", "label"), ["h", "node"], "left")
-    rows = written(rows.withColumn("label", F.coalesce("label", "main")), "members")
+    rows = written(rows.select("h", "node", F.coalesce("label", "main").alias("label"), F.col("label").isNotNull().cast("int").alias("outside")), "members")
     nodes = written(rows.select("node").distinct(), "nodes")
-    sets = _sets(nodes.withColumnRenamed("node", "doc_id"), docs, shingle)
-    whole = classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "regs").join(bounded(nodes), "node", "left_semi")
-    whole = whole.join(sets.withColumnRenamed("doc_id", "node"), "node")
-    labels = _widened(labels, written(_met(rows.join(whole, "node"), least, percent), "met"))
+    sets_of = lambda few: _sets(few.withColumnRenamed("node", "doc_id"), docs, shingle).withColumnRenamed("doc_id", "node")
+    labels = _widened(labels, written(_links_within(rows, ["h"], True, nodes, classes, sets_of, least, percent), "met"))
 
     # Large ones: outsiders first meet two more members of their center's component, then what shares a rare shingle with them.
     sure = lambda pairs: written(confirmed(written(_likely(written(pairs, "pairs"), classes, least), "pairs"), docs, shingle, percent), "links")

@@ -473,6 +473,27 @@ def test_near_dedup_of_unlike_texts_with_a_common_template(spark, monkeypatch, b
     assert {r.doc_id: r.component_id for r in found} == {k: k - (k % 10 == 9) for k, _ in rows}
 
 
+@pytest.mark.parametrize(("n", "block", "few"), [(200, 512, 32), (300, 40, 3)])
+def test_near_dedup_asks_for_the_sets_of_likely_members_only(spark, monkeypatch, n, block, few):
+    """Unlike texts that share a bucket with others cost their registers, not their sets, which are several times as large."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    dealt = []
+    frame = type(spark.range(0))
+    real = frame.groupBy
+
+    def counted(df, *keys):
+        if "s" in df.columns:
+            dealt.append(df.count())
+        return real(df, *keys)
+
+    monkeypatch.setattr(frame, "groupBy", counted)
+    rows = template_rows(n, 30)
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert {r.doc_id: r.component_id for r in found} == {k: k - (k % 10 == 9) for k, _ in rows}
+    assert sum(dealt) <= n // 2, dealt
+
+
 def test_near_dedup_of_edited_copies_in_blocks(spark, monkeypatch):
     """Near copies around the threshold, by prefixes and in several blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 40)
