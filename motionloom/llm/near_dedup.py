@@ -200,19 +200,19 @@ def _likely_within(group: pa.Table, least: float, banded: bool) -> tuple[np.ndar
     label, n, outside = (group.column(x).to_numpy() for x in ("label", "n", "outside"))
     regs = _regs(group.column("regs"))
     band = int(group.column("h")[0].as_py()) & 63
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for i in np.flatnonzero(outside == 1):
         same = regs == regs[i]
         near = (label != label[i]) & (same.sum(axis=1) >= (least - 0.1) * M)
         j = np.flatnonzero(near if banded else near & (outside == 0))
         if banded:
             j = j[same[j].reshape(len(j), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-        if len(j):
-            value = estimates(np.broadcast_to(regs[i], (len(j), M)), regs[j], np.full(len(j), float(n[i])), n[j].astype(float))
-            j, value = j[value >= least], value[value >= least]
-            found.append((np.full(len(j), i), j, value))
-    i, j, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.append((np.full(len(j), i), j))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    parts = [(i[k : k + 4096], j[k : k + 4096]) for k in range(0, len(i), 4096)]
+    value = np.concatenate([np.zeros(0), *[estimates(regs[x], regs[y], n[x].astype(float), n[y].astype(float)) for x, y in parts]])
     order = np.argsort(-value, kind="stable")
+    order = order[value[order] >= least]
     return i[order], j[order]
 
 
