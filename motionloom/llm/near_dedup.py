@@ -186,8 +186,8 @@ def _outsiders(loose: DataFrame, labels: DataFrame) -> DataFrame:
     out = loose.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     out = out.join(labels.select(F.col("node").alias("center"), F.col("label").alias("main")), "center", "left").withColumn("main", F.coalesce("main", "center"))
     out = written(out.filter("label <> main"), "outsiders")
-    one = out.groupBy("h").agg(F.count("*").alias("outside"), F.min("label").alias("least"), F.max("label").alias("most"))
-    done = one.join(out.select("h", "members").distinct(), "h").filter("outside = members - 1 and least = most").select("h")
+    one = out.groupBy("h").agg(F.count("*").alias("outside"), F.first("members").alias("members"), F.min("label").alias("least"), F.max("label").alias("most"))
+    done = one.filter("outside = members - 1 and least = most").select("h")
     return written(out.join(done, "h", "left_anti"), "outsiders")
 
 
@@ -304,10 +304,8 @@ def _pairs_of_few(groups: DataFrame, percent: int) -> DataFrame:
     return both.filter(able).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def _links_of_blocks(groups: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
-    """Links (a, b) between components within groups, outsiders (outside = 1) against all, a block against a block in a task."""
-    sizes = groups.groupBy("h").agg(F.ceil(F.sum("outside") / BLOCK).cast("int").alias("lefts"), F.ceil(F.count("*") / BLOCK).cast("int").alias("rights"))
-    sized = groups.select("h", "node", "label", "outside").join(bounded(written(sizes, "sizes")), "h")
+def _links_of_blocks(sized: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) between components within groups of so many blocks (lefts, rights), outsiders (outside = 1) against all, a block against a block in a task."""
     place = lambda many: F.pmod(F.xxhash64("node"), F.col(many)).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
     inside = sized.select("h", "node", "label", every("lefts").alias("left"), place("rights").alias("right"), F.lit(0).alias("outside"))
@@ -363,10 +361,12 @@ def _completed(held: DataFrame, links: DataFrame, classes: DataFrame, docs: Data
     sought = prefixes.join(bounded(outside), "node", "left_semi").select("h").distinct()
     groups = prefixes.join(bounded(written(sought, "sought")), "h", "left_semi").join(bounded(written(marked, "marked")), "node")
     groups = written(groups, "groups")
-    size = groups.groupBy("h").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-    size = bounded(written(size.select("h", "size"), "sizes"))
-    pairs = _pairs_of_few(groups.join(size, "h").filter(F.col("size") <= FEW), percent)
-    links = _links_of_blocks(groups.join(size, "h").filter(F.col("size") > FEW), classes, sets, least, percent)
+    blocks = [F.ceil(n / BLOCK).cast("int").alias(x) for x, n in (("lefts", F.sum("outside")), ("rights", F.count("*")))]
+    sizes = groups.groupBy("h").agg(F.count("*").alias("size"), *blocks, F.min("label").alias("least"), F.max("label").alias("most"))
+    sizes = written(sizes.filter("least <> most").select("h", "size", "lefts", "rights"), "sizes")
+    sized = written(groups.join(bounded(sizes), "h"), "sized")  # all below reads these rows: they meet their group's size once
+    pairs = _pairs_of_few(sized.filter(F.col("size") <= FEW), percent)
+    links = _links_of_blocks(sized.filter(F.col("size") > FEW), classes, sets, least, percent)
     return _widened(labels, sure(pairs).union(links))
 
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from motionloom.llm import bpe, components, decontaminate, line_dedup, near_dedup, pii, quality, queries, secrets, span_dedup, toxicity, url_filter
 from motionloom.llm.wordhash import shingle_sets
@@ -510,6 +511,43 @@ def test_near_dedup_of_edited_copies_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == wanted
 
 
+def rows_of_joins(spark, since, keys):
+    """Rows out of each inner join by keys alone in executions since, as their metrics say."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    found = []
+    for run in (runs.apply(k).executionId() for k in range(since, runs.size())):
+        metrics, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if re.match(rf"\w+Join \[{keys}#\d+L?\], \[{keys}#\d+L?\], Inner(, Build\w+, false)?$", node.desc()):
+                values = [metrics.get(m.accumulatorId()) for m in (node.metrics().apply(k) for k in range(node.metrics().size())) if m.name() == "number of output rows"]
+                found += [int(v.get().replace(",", "")) for v in values if v.isDefined()]
+    return found
+
+
+def test_near_dedup_rows_meet_the_size_of_their_group_once(spark, monkeypatch):
+    """Of unlike texts with a template, in large buckets only, each row that shares a rare shingle is joined with its group's size and never again."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    monkeypatch.setattr(near_dedup, "FEW", 3)
+    mixed, since = [], []  # rows of groups of several components; executions before these meet anything
+    real = near_dedup.written
+
+    def kept(df, name):
+        table = real(df, name)
+        if name == "groups":
+            mixed.append(sum(r.n for r in table.groupBy("h").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).filter("labels > 1").collect()))
+            since.append(spark._jsparkSession.sharedState().statusStore().executionsList().size())
+        return table
+
+    monkeypatch.setattr(near_dedup, "written", kept)
+    rows = template_rows(150, 12)
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert {r.doc_id: r.component_id for r in found} == {k: k - (k % 10 == 9) for k, _ in rows}
+    joined = rows_of_joins(spark, since[0], "h")
+    assert mixed[0] > 0
+    assert sum(joined) == mixed[0], (joined, mixed)
+
+
 @pytest.mark.parametrize("few", [0, 10**6])
 def test_components_equal_brute_force(spark, monkeypatch, few):
     """By rounds and in one task: paths, stars, random graphs, loops and nulls."""
