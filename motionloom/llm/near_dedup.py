@@ -12,9 +12,12 @@ A band's members all meet its least one. If they are then in several components,
 others meet too: in one task if they are few; else by prefixes. Sets of similarity t that
 are sorted alike share an element among their first (1 - t) * n + 1. Sorted by rarity,
 these are a text's own shingles and not those of a template that very many texts share, so
-unlike texts part at once. What even then is in a large group is compared a block against
-a block in a task, likeliest first, until a link to each other component is found. Full
-sets come to a task only for members that the registers find a likely partner for.
+unlike texts part at once. A pair need only meet at the first element that it shares, and
+what it shares then lies behind that in both: a member stays in a group only if from its
+place on it could still reach the similarity with another's size and place. What even then
+is in a large group is compared a block against a block in a task, likeliest first, until a
+link to each other component is found. Full sets come to a task only for members that the
+registers find a likely partner for.
 
 At a similarity of exactly 0.8 no band agrees with probability (1 - 0.8**7)**48 = 1e-5,
 and the estimate, whose standard error is 0.022 there, falls short by MARGIN with
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, written
+from .common import MAX_BROADCAST, bounded, written
 from .components import components
 from .wordhash import mixed, shingle_sets
 
@@ -195,15 +198,15 @@ def _likely_within(group: pa.Table, least: float, banded: bool) -> tuple[np.ndar
     """Places (i, j) in a group of an outsider (outside = 1) and a member of another component whose estimate is at least `least`, likeliest first.
 
     An outsider meets all members, and of the bands that a pair shares only the first takes it
-    (banded), or else those with outside = 0.
+    (banded), or else those with outside = 0, if they are able to be similar.
     """
-    label, n, outside = (group.column(x).to_numpy() for x in ("label", "n", "outside"))
+    label, n, far, outside = (group.column(x).to_numpy() for x in ("label", "n", "far", "outside"))
     regs = _regs(group.column("regs"))
     band = int(group.column("h")[0].as_py()) & 63
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for i in np.flatnonzero(outside == 1):
         same = regs == regs[i]
-        near = (label != label[i]) & (same.sum(axis=1) >= (least - 0.1) * M)
+        near = (label != label[i]) & (n <= far[i]) & (n[i] <= far) & (same.sum(axis=1) >= (least - 0.1) * M)
         j = np.flatnonzero(near if banded else near & (outside == 0))
         if banded:
             j = j[same[j].reshape(len(j), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
@@ -217,13 +220,13 @@ def _likely_within(group: pa.Table, least: float, banded: bool) -> tuple[np.ndar
 
 
 def _links_within(rows: DataFrame, keys: list[str], banded: bool, nodes: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float, percent: int) -> DataFrame:
-    """Links (a, b) between components within the groups of rows (keys, node, label, outside), each in a task; nodes are those of rows, written.
+    """Links (a, b) between components within the groups of rows (keys, node, label, far, outside), each in a task; nodes are those of rows, written.
 
     Registers are dealt out first, and tell which rows have a likely partner. Only these come
     again with their full sets (sets_of: node, s), which are much larger: an outsider then meets
     the likeliest first, until it is linked to each other component of the group.
     """
-    columns = [*keys, "node", "label", "outside"]
+    columns = [*keys, "node", "label", "far", "outside"]
     whole = classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "regs")
 
     def seen(group: pa.Table) -> pa.Table:
@@ -246,7 +249,9 @@ def _links_within(rows: DataFrame, keys: list[str], banded: bool, nodes: DataFra
     if near.isEmpty():
         return near.select(F.col("node").alias("a"), F.col("node").alias("b"))
     nodes = written(near.select("node").distinct(), "nodes")
-    dealt = near.join(whole.join(bounded(nodes), "node", "left_semi"), "node").join(sets_of(nodes), "node")
+    # Registers and sets meet once for each node, not for each of its rows.
+    both = whole.join(bounded(nodes), "node", "left_semi").join(sets_of(nodes), "node")
+    dealt = near.join(both, "node")
     return dealt.groupBy(*keys).applyInArrow(run, "a long, b long").distinct()
 
 
@@ -260,12 +265,15 @@ def _unlike(held: DataFrame) -> DataFrame:
     return named.groupBy("a", "size", "mark0", "mark1").agg(F.min_by("h", F.col("h").bitwiseAND(F.lit(63))).alias("h")).select("h")
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(h, node, place, n): the rarest shingles h of each node's set of n, as many as sets of that similarity must share one of; written.
+def _prefixes(sets: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
+    """(h, node, label, outside, place, n, far): the rarest shingles h of each node's set of n, as many as sets of that similarity must share one of; written.
 
-    A histogram of BINS bins over all the nodes' shingles tells how rare each is; any one
-    order loses nothing, so bins that hold several shingles do no harm.
+    A set whose first shared shingle is h, at this place, can reach the similarity with sets
+    of up to far shingles. marked has node, label and outside. A histogram of BINS bins over
+    all the nodes' shingles tells how rare each is; any one order loses nothing, so bins that
+    hold several shingles do no harm.
     """
+    columns = ["h", "node", "label", "outside", "place", "n", "far"]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, np.int64)
@@ -283,33 +291,50 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[np.ndarray] = []
-            for node, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for x, *own in zip(batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 s = np.frombuffer(x.as_buffer(), np.uint64)
                 size = len(s) + (-percent * len(s)) // 100 + 1
                 first = s[np.lexsort((s, often[(s >> np.uint64(44)).astype(np.int64)]))[:size]]
-                found.append(np.stack([first.view(np.int64), np.full(size, node), np.arange(size), np.full(size, len(s))]))
+                place = np.arange(size)
+                far = (100 + percent) * (len(s) - place) // percent - len(s)
+                found.append(np.stack([first.view(np.int64), *(np.full(size, v) for v in own), place, np.full(size, len(s)), far]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], ["h", "node", "place", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], columns)
 
-    return written(sets.mapInArrow(run, "h long, node long, place long, n long"), "prefixes")
+    told = sets.join(bounded(marked), sets.doc_id == marked.node).select("s", "node", "label", F.col("outside").cast("long"))
+    return written(told.mapInArrow(run, ", ".join(f"{x} long" for x in columns)), "prefixes")
 
 
-def _pairs_of_few(groups: DataFrame, percent: int) -> DataFrame:
+def _able(groups: DataFrame) -> DataFrame:
+    """Of groups (rows of prefixes) those whose group has several components and holds, for an outsider, a row or, for others, an outsider that they can reach the similarity with: neither set is larger than the other's far.
+
+    A group is known by the least n and the most far of its size classes (2 % wide), which
+    leaves a few rows too many and none too few.
+    """
+    out = lambda x: F.when(F.col("outside") == 1, F.col(x))
+    ends = [F.min("label").alias("least"), F.max("label").alias("most")]
+    kinds = groups.groupBy("h", F.floor(F.log2("n") * 32)).agg(F.min("n").alias("n"), F.max("far").alias("far"), F.min(out("n")).alias("n1"), F.max(out("far")).alias("far1"), *ends)
+    listed = lambda n, far: F.collect_list(F.when(F.col(n).isNotNull(), F.struct(F.col(n).alias("n"), F.col(far).alias("far"))))
+    known = kinds.groupBy("h").agg(listed("n", "far").alias("all"), listed("n1", "far1").alias("outsiders"), F.min("least").alias("least"), F.max("most").alias("most"))
+    known = bounded(written(known.filter("least <> most").select("h", "all", "outsiders"), "kinds"), MAX_BROADCAST // 8)
+    fits = lambda e: (e.n <= F.col("far")) & (F.col("n") <= e.far)
+    able = F.when(F.col("outside") == 1, F.exists("all", fits)).otherwise(F.exists("outsiders", fits))
+    return written(groups.join(known, "h").select(*groups.columns, able.alias("able")), "able").filter("able").drop("able")
+
+
+def _pairs_of_few(groups: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components within groups of FEW members at most, if sizes and places allow the similarity."""
-    side = lambda x: groups.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "place", "n")])
+    side = lambda x: groups.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "far")])
     both = side("a").join(side("b"), "h").filter("node_a < node_b and label_a <> label_b")
-    # Both sets hold an element at these places of the common order: what can be shared lies before it in both, or after it in both.
-    shared = F.least("place_a", "place_b") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    able = (100 + percent) * shared >= percent * (F.col("n_a") + F.col("n_b"))
-    return both.filter(able).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return both.filter("n_a <= far_b and n_b <= far_a").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _links_of_blocks(sized: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
     """Links (a, b) between components within groups of so many blocks (lefts, rights), outsiders (outside = 1) against all, a block against a block in a task."""
     place = lambda many: F.pmod(F.xxhash64("node"), F.col(many)).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
-    inside = sized.select("h", "node", "label", every("lefts").alias("left"), place("rights").alias("right"), F.lit(0).alias("outside"))
-    outside = sized.filter("outside = 1").select("h", "node", "label", place("lefts").alias("left"), every("rights").alias("right"), F.lit(1).alias("outside"))
+    inside = sized.select("h", "node", "label", "far", every("lefts").alias("left"), place("rights").alias("right"), F.lit(0).alias("outside"))
+    outside = sized.filter("outside = 1").select("h", "node", "label", "far", place("lefts").alias("left"), every("rights").alias("right"), F.lit(1).alias("outside"))
     nodes = written(sized.select("node").distinct(), "nodes")
     sets_of = lambda few: sets.withColumnRenamed("doc_id", "node").join(bounded(few), "node", "left_semi")
     return _links_within(inside.union(outside), ["h", "left", "right"], False, nodes, classes, sets_of, least, percent)
@@ -333,7 +358,8 @@ def _completed(held: DataFrame, links: DataFrame, classes: DataFrame, docs: Data
     few = written(out.filter(F.col("members") <= BLOCK).select("h", "main").distinct(), "buckets")
     few = written(few.join(_unlike(held.join(bounded(few), "h", "left_semi")), "h"), "buckets")
     rows = held.select("h", F.col("rep").alias("node")).join(bounded(few), "h").join(out.select("h", "node", "label"), ["h", "node"], "left")
-    rows = written(rows.select("h", "node", F.coalesce("label", "main").alias("label"), F.col("label").isNotNull().cast("int").alias("outside")), "members")
+    any_size = F.lit(2**62).alias("far")  # nothing is known of places here
+    rows = written(rows.select("h", "node", F.coalesce("label", "main").alias("label"), any_size, F.col("label").isNotNull().cast("int").alias("outside")), "members")
     nodes = written(rows.select("node").distinct(), "nodes")
     sets_of = lambda few: _sets(few.withColumnRenamed("node", "doc_id"), docs, shingle).withColumnRenamed("doc_id", "node")
     labels = _widened(labels, written(_links_within(rows, ["h"], True, nodes, classes, sets_of, least, percent), "met"))
@@ -356,16 +382,15 @@ def _completed(held: DataFrame, links: DataFrame, classes: DataFrame, docs: Data
     inside = held.join(buckets, "h", "left_semi").select(F.col("rep").alias("node")).distinct().join(bounded(outside), "node", "left_anti")
     nodes = written(outside.withColumn("outside", F.lit(1)).union(inside.withColumn("outside", F.lit(0))), "nodes")
     sets = _sets(nodes.select(F.col("node").alias("doc_id")), docs, shingle)
-    prefixes = _prefixes(sets, percent)
-    marked = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sought = prefixes.join(bounded(outside), "node", "left_semi").select("h").distinct()
-    groups = prefixes.join(bounded(written(sought, "sought")), "h", "left_semi").join(bounded(written(marked, "marked")), "node")
-    groups = written(groups, "groups")
+    marked = written(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "marked")
+    prefixes = _prefixes(sets, marked, percent)
+    sought = written(prefixes.filter("outside = 1").select("h").distinct(), "sought")
+    groups = _able(written(prefixes.join(bounded(sought), "h", "left_semi"), "groups"))
     blocks = [F.ceil(n / BLOCK).cast("int").alias(x) for x, n in (("lefts", F.sum("outside")), ("rights", F.count("*")))]
     sizes = groups.groupBy("h").agg(F.count("*").alias("size"), *blocks, F.min("label").alias("least"), F.max("label").alias("most"))
     sizes = written(sizes.filter("least <> most").select("h", "size", "lefts", "rights"), "sizes")
     sized = written(groups.join(bounded(sizes), "h"), "sized")  # all below reads these rows: they meet their group's size once
-    pairs = _pairs_of_few(sized.filter(F.col("size") <= FEW), percent)
+    pairs = _pairs_of_few(sized.filter(F.col("size") <= FEW))
     links = _links_of_blocks(sized.filter(F.col("size") > FEW), classes, sets, least, percent)
     return _widened(labels, sure(pairs).union(links))
 

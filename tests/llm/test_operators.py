@@ -548,6 +548,26 @@ def test_near_dedup_rows_meet_the_size_of_their_group_once(spark, monkeypatch):
     assert sum(joined) == mixed[0], (joined, mixed)
 
 
+def test_near_dedup_deals_out_members_that_can_still_be_similar(spark, monkeypatch):
+    """Near copies of which some are just not linked: few rows of a large bucket meet their registers, and no link is lost."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    monkeypatch.setattr(near_dedup, "FEW", 3)
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{i}" for i in range(147)], []
+    for k in range(300):
+        w = list(base)
+        for at in rng.integers(0, len(w), int(rng.integers(8, 11) if k % 5 == 4 else rng.integers(0, 4))):
+            w[at] = f"x{k}_{at}"
+        rows.append((int(k), " ".join(w)))
+    wanted = brute_force_components(rows, 2, 80)
+    assert len({c for _, c in wanted.values()}) > 20
+    since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == wanted
+    joined = rows_of_joins(spark, since, "node")
+    assert sum(joined) <= 10 * len(rows), joined
+
+
 @pytest.mark.parametrize("few", [0, 10**6])
 def test_components_equal_brute_force(spark, monkeypatch, few):
     """By rounds and in one task: paths, stars, random graphs, loops and nulls."""
